@@ -98,99 +98,101 @@ def dotted_text(v: Column, path: Column | str | None) -> Column:
     return scalar_text(dotted_get(v, path))
 
 
-def kind_of(schema_text: Column) -> Column:
+_KIND_SQL = (
+    "CASE WHEN {t} LIKE 'OBJECT<%' THEN 'object'"
+    " WHEN {t} = 'STRING' THEN 'string' WHEN {t} = 'BOOLEAN' THEN 'bool'"
+    " WHEN {t} = 'VOID' THEN 'null' WHEN {t} = 'VARIANT' THEN 'mixed'"
+    " WHEN {t} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR {t} LIKE 'DECIMAL%' THEN 'number'"
+    " WHEN {t} LIKE 'ARRAY<%' THEN {array} ELSE 'unknown' END"
+)
+
+
+def kind_sql(text: str) -> str:
     """Observed kind from ``schema_of_variant`` text; arrays are only 'array' here."""
-    return (
-        F.when(schema_text.startswith("OBJECT<"), "object")
-        .when(schema_text.startswith("ARRAY<"), "array")
-        .when(schema_text == "STRING", "string")
-        .when(schema_text == "BOOLEAN", "bool")
-        .when(schema_text == "VOID", "null")
-        .when(
-            schema_text.isin("BIGINT", "DOUBLE", "FLOAT") | schema_text.startswith("DECIMAL"),
-            "number",
-        )
-        .otherwise("unknown")
-    )
+    return _KIND_SQL.format(t=text, array="'array'")
 
 
-def array_kind(v: Column) -> Column:
-    """``array<element>`` where nulls yield to any other element kind."""
-    items = v.try_cast(ARRAY_TYPE)
-    kinds = F.array_distinct(F.transform(items, lambda x: kind_of(F.schema_of_variant(x))))
-    solid = F.array_remove(kinds, "null")
-    return (
-        F.when(F.size(items) == 0, "array<>")
-        .when(F.size(solid) == 0, "array<null>")
-        .when(F.size(solid) == 1, F.concat(F.lit("array<"), solid[0], F.lit(">")))
-        .otherwise("array<mixed>")
+def observed_sql(value: str, text: str) -> str:
+    """The type recorded for one value.
+
+    The element type inside ``ARRAY<...>`` already follows the rules wanted:
+    nulls yield to anything, two kinds make VARIANT.  Only ``[]`` and ``[null]``
+    share a text and are told apart by size.
+    """
+    element = kind_sql(f"substring({text}, 7, length({text}) - 7)")
+    array = (
+        f"(CASE WHEN {text} <> 'ARRAY<VOID>' THEN concat('array<', {element}, '>')"
+        f" WHEN size(try_cast({value} AS array<variant>)) = 0 THEN 'array<>' ELSE 'array<null>' END)"
     )
+    return _KIND_SQL.format(t=text, array=array)
 
 
-def observed_type(v: Column, schema_text: Column | None = None) -> Column:
-    """The type recorded for one value."""
-    text = F.schema_of_variant(v) if schema_text is None else schema_text
-    return F.when(text.startswith("ARRAY<"), array_kind(v)).otherwise(kind_of(text))
+def observed_type(value: str) -> Column:
+    """The type recorded for the value of a column or field."""
+    return F.expr(observed_sql(value, f"schema_of_variant({value})"))
 
 
 _LEAF = "array<struct<path:string,type:string>>"
 
 
-def flatten_shape(record: Column, depth: int = MAX_SHAPE_DEPTH) -> Column:
-    """A4, A5: every ``(path, type)`` of one record, objects entered down to ``depth``.
-
-    Objects inside arrays are never entered.  The result may repeat a path when
-    a key itself contains a dot; merging happens in the aggregate.
-    """
-
-    def below(node: Column, prefix: Column | None, left: int) -> Column:
-        entries = F.transform(
-            F.map_entries(node.try_cast(OBJECT_TYPE)),
-            lambda e: F.struct(
-                (
-                    e["key"]
-                    if prefix is None
-                    else F.when(prefix == "", e["key"]).otherwise(
-                        F.concat(prefix, F.lit("."), e["key"])
-                    )
-                ).alias("path"),
-                e["value"].alias("value"),
-                F.schema_of_variant(e["value"]).alias("text"),
-            ),
+def _below_sql(node: str, prefix: str | None, left: int, level: int = 0) -> str:
+    """Leaves under one object, with ``left`` levels still to enter."""
+    e, x = f"e{level}", f"x{level}"
+    path = (
+        f"{e}.key"
+        if prefix is None
+        else f"if({prefix} = '', {e}.key, concat({prefix}, '.', {e}.key))"
+    )
+    entries = (
+        f"transform(map_entries(try_cast({node} AS {OBJECT_TYPE})), {e} -> named_struct("
+        f"'path', {path}, 'value', {e}.value, 'text', schema_of_variant({e}.value)))"
+    )
+    kind = observed_sql(f"{x}.value", f"{x}.text")
+    leaf = f"array(named_struct('path', {x}.path, 'type', {kind}))"
+    if left > 1:
+        deeper = _below_sql(f"{x}.value", f"{x}.path", left - 1, level + 1)
+        leaf = (
+            f"concat({leaf}, CASE WHEN {x}.text LIKE 'OBJECT<%' THEN {deeper}"
+            f" ELSE CAST(array() AS {_LEAF}) END)"
         )
+    return f"flatten(transform({entries}, {x} -> {leaf}))"
 
-        def leaf(n: Column) -> Column:
-            kind = observed_type(n["value"], n["text"])
-            return F.array(F.struct(n["path"].alias("path"), kind.alias("type")))
-
-        def grow(n: Column) -> Column:
-            if left <= 1:
-                return leaf(n)
-            return F.when(
-                n["text"].startswith("OBJECT<"),
-                F.concat(leaf(n), below(n["value"], n["path"], left - 1)),
-            ).otherwise(leaf(n))
 
-        return F.flatten(F.transform(entries, grow))
+def flatten_shape(record: str, depth: int = MAX_SHAPE_DEPTH) -> Column:
+    """A4, A5: every ``(path, type)`` of one record, objects entered down to ``depth``.
 
-    return F.filter(below(record, None, depth).cast(_LEAF), lambda n: n["path"] != "")
+    Objects inside arrays are never entered.  The result may repeat a path when
+    a key itself contains a dot; merging happens in the aggregate.  Written as
+    SQL text because eight nested lambdas built call by call cost seconds.
+    """
+    return F.expr(f"filter({_below_sql(record, None, depth)}, n -> n.path <> '')")
 
 
 # A number type where a type may stand in ``schema_of_variant`` text.
 _NUMBER_IN_SCHEMA = r"(?<=: |ARRAY<)(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))"
+# Possessive, so the length of a string costs no stack.
+_JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
 
+def _array_skeleton(record: str) -> Column:
+    """Brackets of a record: which arrays are empty, which hold only nulls, which hold values."""
+    text = F.regexp_replace(F.to_json(record), _JSON_STRING, '"')
+    text = F.regexp_replace(text, r"\[null(?:,null)*+\]", "N")
+    return F.regexp_replace(text, r'\[[^\[\]{}]++\]|[^\[\]{},:"N]++', "v")
 
-def shape_signature(record: Column) -> Column:
+
+def shape_signature(record: str) -> Column:
     """Text equal only for records with the same ``flatten_shape``.
 
     ``schema_of_variant`` is compiled and cheap, and almost exact: number widths
     differ where our types do not (folded here; skipped when a key needed
     quoting, which only makes the signature finer), and it cannot tell ``[]``
-    from ``[null]``, so those records carry their exact shape instead.
+    from ``[null]``, so records with such arrays add their bracket structure.
     """
     text = F.schema_of_variant(record)
-    return (
-        F.when(text.contains("ARRAY<VOID>"), F.to_json(flatten_shape(record)))
-        .when(text.contains("`"), text)
-        .otherwise(F.regexp_replace(text, _NUMBER_IN_SCHEMA, "NUMBER"))
+    folded = F.when(text.contains("`"), text).otherwise(
+        F.regexp_replace(text, _NUMBER_IN_SCHEMA, "NUMBER")
     )
+    return F.when(
+        text.contains("ARRAY<VOID>"), F.concat(folded, F.lit(" "), _array_skeleton(record))
+    ).otherwise(folded)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from harvestline.functions.text import canonical_json, cut_bytes, digest
-from harvestline.functions.variants import OBJECT_TYPE, dotted_get, kind_of, scalar_text
+from harvestline.functions.variants import OBJECT_TYPE, dotted_get, kind_sql, scalar_text
 from harvestline.model import (
     LANDING_TYPES,
     MAX_PAYLOAD_BYTES,
@@ -72,47 +72,34 @@ def typed_rows(records: DataFrame, columns: Sequence[tuple[str, str]], keep: Seq
     )
 
 
-def row_reasons(record: Column, target: Column) -> Column:
+def row_reasons(record: str, target: str) -> Column:
     """K9: why a table would refuse a row; an empty list means it fits.
 
-    ``target`` maps column to landing type, so one plan checks the rows of every
-    source against its own table.
+    ``target`` names a map from column to landing type, so one plan checks the
+    rows of every source against its own table.  Text may stand for a number or
+    a boolean; numbers and booleans never stand for each other.
     """
-    fields = F.transform(
-        F.map_entries(record.try_cast(OBJECT_TYPE)),
-        lambda e: F.struct(
-            e["key"].alias("key"),
-            e["value"].alias("value"),
-            target[e["key"]].alias("wanted"),
-        ),
+    kind = kind_sql("f.text")
+    cannot = "concat('cannot convert value of ', f.key, ' to ', f.wanted)"
+    return F.expr(
+        f"""filter(transform(
+          transform(map_entries(try_cast({record} AS {OBJECT_TYPE})), e -> named_struct(
+            'key', e.key, 'value', e.value, 'wanted', {target}[e.key],
+            'text', schema_of_variant(e.value))),
+          f -> CASE WHEN f.wanted IS NULL THEN concat('no such field: ', f.key)
+            WHEN f.text = 'VOID' OR f.wanted = 'string' THEN NULL
+            WHEN f.wanted = 'double' AND ({kind} NOT IN ('number', 'string')
+              OR try_cast(f.value AS double) IS NULL) THEN {cannot}
+            WHEN f.wanted = 'boolean' AND ({kind} NOT IN ('bool', 'string')
+              OR try_cast(f.value AS boolean) IS NULL) THEN {cannot} END),
+          r -> r IS NOT NULL)"""
     )
 
-    def reason(f: Column) -> Column:
-        null = F.is_variant_null(f["value"])
-        # Booleans and numbers never convert into each other; text may.
-        kind = kind_of(F.schema_of_variant(f["value"]))
-        bad_number = (f["wanted"] == "double") & (
-            ~kind.isin("number", "string") | f["value"].try_cast("double").isNull()
-        )
-        bad_bool = (f["wanted"] == "boolean") & (
-            ~kind.isin("bool", "string") | f["value"].try_cast("boolean").isNull()
-        )
-        return (
-            F.when(f["wanted"].isNull(), F.concat(F.lit("no such field: "), f["key"]))
-            .when(null, F.lit(None))
-            .when(
-                bad_number | bad_bool,
-                F.concat(F.lit("cannot convert value of "), f["key"], F.lit(" to "), f["wanted"]),
-            )
-        )
-
-    return F.filter(F.transform(fields, reason), lambda r: r.isNotNull())
-
 
 def check_rows(records: DataFrame, targets: DataFrame, keys: Sequence[str] = ("source_id",)) -> DataFrame:
     """Add ``reasons`` to each record; ``targets`` is one row a group."""
     return records.join(targets, list(keys)).withColumn(
-        "reasons", row_reasons(F.col("record"), F.col("target"))
+        "reasons", row_reasons("record", "target")
     ).drop("target")
 
 

@@ -29,7 +29,7 @@ def distinct_shapes(records: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     Records of a source repeat a few shapes, so taking shapes apart record by
     record is wasted work: this collapses them map-side on a compiled signature.
     """
-    return records.groupBy(*keys, shape_signature(F.col("record")).alias("signature")).agg(
+    return records.groupBy(*keys, shape_signature("record").alias("signature")).agg(
         F.first("record").alias("record")
     )
 
@@ -41,7 +41,7 @@ def observe_shape(records: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
 
 def merge_shapes(samples: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     """Take sample records apart and merge the types seen at each path."""
-    leaves = samples.select(*keys, F.explode(flatten_shape(F.col("record"))).alias("leaf"))
+    leaves = samples.select(*keys, F.explode(flatten_shape("record")).alias("leaf"))
     return (
         leaves.groupBy(*keys, F.col("leaf.path").alias("path"))
         .agg(F.collect_set("leaf.type").alias("types"))
@@ -89,7 +89,7 @@ def profile_runs(marked: DataFrame) -> DataFrame:
     return marked.groupBy(
         *RUN,
         "verdict",
-        F.when(accepted, shape_signature(F.col("record"))).alias("signature"),
+        F.when(accepted, shape_signature("record")).alias("signature"),
     ).agg(
         F.count("*").alias("rows"),
         F.max_by("resume_value", best).alias("high_water"),

@@ -66,7 +66,7 @@ def observe_batch(pages: DataFrame, specs: DataFrame, bounds: DataFrame, targets
     if targets is not None:
         reasons = F.when(
             (F.col("verdict") == "accepted") & F.col("target").isNotNull(),
-            landing.row_reasons(F.col("record"), F.col("target")),
+            landing.row_reasons("record", "target"),
         ).otherwise(F.array().cast("array<string>"))
         marked = marked.join(targets, "source_id", "left").withColumn("reasons", reasons)
         marked = marked.withColumn(

@@ -36,6 +36,8 @@ def local_session(app: str = "harvestline", cores: str = "*", memory: str = "8g"
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Call-site capture triples the cost of building a column.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in {**REQUIRED_CONF, **PLAN_CONF}.items():
         builder = builder.config(key, value)

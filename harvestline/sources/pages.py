@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from harvestline.functions.variants import dotted_get, dotted_text, is_array, has_element, kind_of, parse_body
+from harvestline.functions.variants import dotted_get, dotted_text, is_array, has_element, kind_sql, parse_body
 from harvestline.functions.web import header, next_link
 from harvestline.model import (
     DEFAULT_MAX_PAGES,
@@ -66,7 +66,7 @@ def decode_pages(pages: DataFrame, config: DataFrame) -> DataFrame:
         parse_body(F.col("body")).alias("doc"),
     )
     found = decoded.withColumn("records", dotted_get(F.col("doc"), F.col("records_path")))
-    kind = kind_of(F.schema_of_variant("records"))
+    kind = F.expr(kind_sql("schema_of_variant(records)"))
     named = F.concat(F.lit('recordsPath "'), F.col("records_path"), F.lit('"'))
     error = (
         F.when(F.col("too_big"), F.lit(f"response is larger than {MAX_RESPONSE_BYTES} bytes"))
