@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harvestline.functions.variants import dotted_get, dotted_text, is_array, has_element, kind_sql, parse_body
@@ -114,22 +116,24 @@ def page_facts(decoded: DataFrame) -> DataFrame:
     )
 
 
-def explode_records(decoded: DataFrame) -> DataFrame:
+def explode_records(decoded: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per record, in page order by ``(page_no, record_pos)``.
 
     The generator streams elements, so a page is never held as an array of
-    values each with its own copy of the key dictionary.
+    values each with its own copy of the key dictionary.  ``keep`` names further
+    page columns to carry along.
     """
     # ``variant_explode`` would also take objects apart; a page in error has no records.
     spark = decoded.sparkSession
     good = decoded.where(F.col("page_error").isNull()).select(
-        "source_id", "run_id", "page_no", "records"
+        "source_id", "run_id", "page_no", *keep, "records"
     )
     rows = good.lateralJoin(spark.tvf.variant_explode(F.col("records").outer()))
     return rows.select(
         "source_id",
         "run_id",
         "page_no",
+        *keep,
         F.col("pos").alias("record_pos"),
         F.col("value").alias("record"),
     )
