@@ -108,13 +108,14 @@ def dead_letters(
 ) -> DataFrame:
     """Refused records as dead letters; the digest is of the whole payload."""
     payload = canonical_json(F.col("record"))
+    known = "digest" in refused.columns
     return refused.select(
         "source_id",
         "run_id",
         rejected_at.alias("rejected_at"),
         cut_bytes(F.array_join("reasons", "; "), MAX_REASON_BYTES).alias("reason"),
         cut_bytes(payload, MAX_PAYLOAD_BYTES).alias("payload"),
-        digest(payload).alias("digest"),
+        F.col("digest") if known else digest(payload).alias("digest"),
         *extra,
     )
 

@@ -1,10 +1,11 @@
 """One batch of runs: any number of sources, from landed pages to ledger rows.
 
-Pass 1 reads the pages for where each walk ends (short rows only).  Pass 2 reads
-the records for counts, high-water marks and shapes (a few rows a run).  The
-gate decides on those.  Only then are rows written, and the ledger last.
-Between passes the landing zone is read again rather than held: it does not
-change during a batch, and nothing is lost with an executor.
+Pass 1 reads the pages for where each walk ends (short rows only).  Pass 2 takes
+the pages apart once more and stages every record with its verdict and digest;
+JSON is not parsed again after it.  Counts, high-water marks and shapes (a few
+rows a run) come from the staged records, and the gate decides on those.  Only
+then are tables written, each reading its own sources' row groups of the staged
+records, and the ledger last.
 """
 
 from __future__ import annotations
@@ -53,27 +54,27 @@ def known_fields(bounds: DataFrame) -> list[str] | None:
     return [r[0] for r in found] if len(found) <= _KNOWN_FIELDS else None
 
 
-def observe_batch(pages: DataFrame, specs: DataFrame, bounds: DataFrame, targets: DataFrame | None = None):
-    """Passes 1 and 2.  Returns ``(walks, marked, profile)``; the first and last are staged.
+def read_batch(
+    pages: DataFrame, specs: DataFrame, bounds: DataFrame, targets: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Pass 1, and the plan of pass 2: staged walks, and every record read with its verdict.
 
     ``targets``: ``(source_id, target)`` column maps of tables that exist
-    already, against which rows are checked in the same pass.
+    already; rows those would refuse are marked so.
     """
     decoded = decode_pages(responses(pages), page_config(specs))
     walks = stage(walk.walk_runs(page_facts(decoded)), "walks")
     records = explode_records(walk.keep_walked(decoded, walks))
     marked = resume.mark_records(records, bounds, known_fields(bounds))
-    if targets is not None:
-        reasons = F.when(
-            (F.col("verdict") == "accepted") & F.col("target").isNotNull(),
-            landing.row_reasons("record", "target"),
-        ).otherwise(F.array().cast("array<string>"))
-        marked = marked.join(targets, "source_id", "left").withColumn("reasons", reasons)
-        marked = marked.withColumn(
-            "verdict", F.when(F.size("reasons") > 0, "refused").otherwise(F.col("verdict"))
-        ).drop("target")
-    profile = stage(shape.profile_runs(marked), "profile")
-    return walks, marked, profile
+    if targets is None:
+        return walks, marked
+    reasons = F.when(
+        (F.col("verdict") == "accepted") & F.col("target").isNotNull(),
+        landing.row_reasons("record", "target"),
+    ).otherwise(F.array().cast("array<string>"))
+    checked = marked.join(targets, "source_id", "left").withColumn("reasons", reasons)
+    verdict = F.when(F.size("reasons") > 0, "refused").otherwise(F.col("verdict"))
+    return walks, checked.withColumn("verdict", verdict).drop("target")
 
 
 def fetch_errors(pages: DataFrame) -> DataFrame:
@@ -133,7 +134,9 @@ def run_batch(
         ).select("source_id", "target"),
         "targets",
     )
-    walks, marked, profile = observe_batch(pages, valid, bounds, targets)
+    walks, marked = read_batch(pages, valid, bounds, targets)
+    marked = stage(landing.with_digest(marked), "records")
+    profile = stage(shape.profile_runs(marked), "profile")
 
     seen = profile.where(F.col("verdict").isin("accepted", "refused"))
     shapes = stage(shape.merge_shapes(seen), "shapes")
@@ -222,8 +225,6 @@ def run_batch(
     rows = marked.where(F.col("verdict") == "accepted").join(writable, RUN)
     if dedupe:
         rows = _without_copies(rows)
-    else:
-        rows = landing.with_digest(rows)
     _write_tables(store, rows, writable, shapes, full, existing, batch_id)
     _write_ndjson(store, rows, writable)
     _write_dead_letters(store, marked, outcome, full, now, batch_id)
@@ -234,10 +235,9 @@ def run_batch(
 
 def _without_copies(rows: DataFrame) -> DataFrame:
     """Copies of a record within a run collapse; only digests are shuffled to find them."""
-    digested = landing.with_digest(rows)
-    index = landing.digest_index(digested, RUN)
+    index = landing.digest_index(rows, RUN)
     repeated = stage(index.where(F.col("copies") > 1), "copies")
-    return landing.first_copies(digested, repeated, RUN)
+    return landing.first_copies(rows, repeated, RUN)
 
 
 def _write_tables(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from harvestline.functions.variants import dotted_text
 from harvestline.operators import requestlog, walk
@@ -30,7 +30,8 @@ def walked_event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {inputs.EVENTS_CTE}
     SELECT source_id, run_id, page_no,
       '{{"data":{{"items":[' || string_agg(record, ',' ORDER BY event_id) || ']}},"meta":{{'
-      || CASE WHEN page_no < 4 THEN '"next_cursor":"' || CAST(page_no AS STRING) || '"' ELSE '' END
+      || CASE WHEN page_no < max(page_no) OVER (PARTITION BY source_id, run_id)
+        THEN '"next_cursor":"' || CAST(page_no AS STRING) || '"' ELSE '' END
       || '}}}}' AS body
     FROM ev GROUP BY source_id, run_id, page_no""",
 )
@@ -133,7 +134,12 @@ def _items(extra=None):
     return F.concat(F.lit('{"items":'), F.col("items"), tail)
 
 
-_KIND, _PAGE = F.col("kind"), F.col("page_no")
+def _kind() -> Column:
+    return F.col("kind")
+
+
+def _page() -> Column:
+    return F.col("page_no")
 
 
 # Runs of kind 0 end at page 7, 1 repeat a cursor from page 5 on, 2 miss page 4,
@@ -148,16 +154,16 @@ _KIND, _PAGE = F.col("kind"), F.col("page_no")
     ),
 )
 def walk_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = inputs.order_pages(spark, sf_dir).where(~((_KIND == 2) & (_PAGE == 4)))
-    own = F.format_string("c%d", _PAGE)
-    token = F.when((_KIND == 1) & (_PAGE >= 5), F.lit("same")).when(
-        ~((_KIND == 0) & (_PAGE == 7)), own
+    grouped = inputs.order_pages(spark, sf_dir).where(~((_kind() == 2) & (_page() == 4)))
+    own = F.format_string("c%d", _page())
+    token = F.when((_kind() == 1) & (_page() >= 5), F.lit("same")).when(
+        ~((_kind() == 0) & (_page() == 7)), own
     )
-    sent = F.when((_KIND == 1) & (_PAGE >= 6), F.lit("same")).when(
-        _PAGE > 1, F.format_string("c%d", _PAGE - 1)
+    sent = F.when((_kind() == 1) & (_page() >= 6), F.lit("same")).when(
+        _page() > 1, F.format_string("c%d", _page() - 1)
     )
     meta = F.coalesce(F.concat(F.lit(',"meta":{"next":"'), token, F.lit('"}')), F.lit(""))
-    body = F.when((_KIND == 3) & (_PAGE == 6), F.lit('{"items":[')).otherwise(_items(meta))
+    body = F.when((_kind() == 3) & (_page() == 6), F.lit('{"items":[')).otherwise(_items(meta))
     landed = inputs.as_landed(grouped, body, cursor=sent)
     config = inputs.order_sources(
         grouped, pagination_type="Cursor", next_cursor_path="meta.next", max_pages=12
@@ -176,7 +182,7 @@ def walk_page_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 def walk_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = inputs.order_pages(spark, sf_dir)
     # A page whose records are an object, not an array, is in error.
-    body = F.when((_KIND == 1) & (_PAGE == 3), F.lit('{"items":{"id":1}}')).otherwise(_items())
+    body = F.when((_kind() == 1) & (_page() == 3), F.lit('{"items":{"id":1}}')).otherwise(_items())
     config = inputs.order_sources(grouped, pagination_type="Offset", page_size=14, max_pages=15)
     return _walked(inputs.as_landed(grouped, body), config)
 
@@ -187,16 +193,16 @@ def walk_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def walk_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = inputs.order_pages(spark, sf_dir)
-    target = F.format_string("https://vendor.invalid/?p=%d", _PAGE + 1)
+    target = F.format_string("https://vendor.invalid/?p=%d", _page() + 1)
     following = F.concat(
         F.lit('<https://vendor.invalid/?p=99>; rel="last", <'), target, F.lit('>; rel="next"')
     )
     plain = F.concat(F.lit("<"), target, F.lit(">;title=x; rel=next"))
     link = (
-        F.when(_KIND == 2, F.lit("garbage"))
-        .when((_KIND == 0) & (_PAGE >= 5), F.lit('<https://vendor.invalid/?p=9>; rel="last"'))
-        .when((_KIND == 1) & (_PAGE >= 9), F.lit(""))
-        .when(_KIND == 3, plain)
+        F.when(_kind() == 2, F.lit("garbage"))
+        .when((_kind() == 0) & (_page() >= 5), F.lit('<https://vendor.invalid/?p=9>; rel="last"'))
+        .when((_kind() == 1) & (_page() >= 9), F.lit(""))
+        .when(_kind() == 3, plain)
         .otherwise(following)
     )
     config = inputs.order_sources(grouped, pagination_type="LinkHeader", max_pages=18)

@@ -6,7 +6,7 @@ text of a record is written once as SQL both engines read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from harvestline import model as m
 from harvestline.plans.staging import stage
@@ -52,8 +52,8 @@ RECORD_TEXT = f"""CASE WHEN event_id % 211 = 0 THEN '"e' || CAST(event_id AS STR
 # DuckDB: the same records with the position each has in its page.
 EVENTS_CTE = f"""ev0 AS (
   SELECT event_id, event_type AS source_id,
-    'r' || lpad(CAST(event_id // 1000 AS STRING), 6, '0') AS run_id,
-    CAST((event_id % 1000) // 250 + 1 AS INTEGER) AS page_no,
+    'r' || lpad(CAST(event_id // 5000 AS STRING), 6, '0') AS run_id,
+    CAST((event_id % 5000) // 250 + 1 AS INTEGER) AS page_no,
     user_id, ts, CAST(round(value * 100) AS BIGINT) AS cents,
     json_extract_string(props, '$.k') AS k,
     strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS updated,
@@ -75,10 +75,10 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "events").select(
         "event_id",
         F.col("event_type").alias("source_id"),
-        F.concat(F.lit("r"), F.lpad(F.expr("event_id div 1000").cast("string"), 6, "0")).alias(
+        F.concat(F.lit("r"), F.lpad(F.expr("event_id div 5000").cast("string"), 6, "0")).alias(
             "run_id"
         ),
-        F.expr("(event_id % 1000) div 250 + 1").cast("int").alias("page_no"),
+        F.expr("(event_id % 5000) div 250 + 1").cast("int").alias("page_no"),
         "user_id",
         F.col("ts").cast("timestamp").alias("ts"),
         F.round(F.col("value") * 100).cast("bigint").alias("cents"),
@@ -89,7 +89,7 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed cursor pages: 250 consecutive event ids a page, split by source, four pages a run."""
+    """Landed cursor pages: 250 consecutive event ids a page, split by source, twenty pages a run."""
 
     def build() -> DataFrame:
         rows = event_records(spark, sf_dir)
@@ -102,7 +102,11 @@ def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         grouped = rows.groupBy("source_id", "run_id", "page_no").agg(
             items.alias("items"), F.min("ts").alias("requested_at")
         )
-        cursor = F.when(F.col("page_no") < 4, F.format_string('"next_cursor":"%d"', F.col("page_no")))
+        run = Window.partitionBy("source_id", "run_id")
+        cursor = F.when(
+            F.col("page_no") < F.max("page_no").over(run),
+            F.format_string('"next_cursor":"%d"', F.col("page_no")),
+        )
         return grouped.select(
             "source_id",
             "run_id",
@@ -121,7 +125,13 @@ def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.coalesce(cursor, F.lit("")),
                 F.lit("}}"),
             ).alias("body"),
-        )
+        ).repartitionByRange(
+            # A fetcher commits a run's pages together, so landed files are clustered by run.
+            spark.sparkContext.defaultParallelism * 2,
+            "source_id",
+            "run_id",
+            "page_no",
+        ).sortWithinPartitions("source_id", "run_id", "page_no")
 
     return staged_once(spark, sf_dir, "event-pages", build)
 

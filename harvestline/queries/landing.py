@@ -178,13 +178,13 @@ def digest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.add(
     "redelivered",
     f"""WITH {inputs.EVENTS_CTE}
-    SELECT source_id, sha256(record) AS digest FROM ev WHERE event_id % 1000 >= 500
+    SELECT source_id, sha256(record) AS digest FROM ev WHERE event_id % 5000 >= 2500
     GROUP BY source_id, sha256(record)""",
 )
 def redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose digest the target does not hold yet; it holds the first half of every run."""
     digested = landing.with_digest(walked_event_records(spark, sf_dir))
-    landed = digested.where(F.col("page_no") <= 2).select("source_id", "digest")
+    landed = digested.where(F.col("page_no") <= 10).select("source_id", "digest")
     index = landing.digest_index(digested)
     here = stage(landed.join(index.select("source_id", "digest"), ["source_id", "digest"], "left_semi"), "landed")
     fresh = landing.not_landed(digested, here)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harvestline.operators import resume
-from harvestline.plans.run import observe_batch
-from harvestline.operators.shape import summarise
+from harvestline.operators.shape import profile_runs, summarise
+from harvestline.plans.run import read_batch
 from harvestline.plans.staging import stage
 from harvestline.queries import inputs
 from harvestline.queries.book import Book
@@ -244,12 +244,12 @@ def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def incremental_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: landed pages to what every run brought in, in one pass over the records."""
-    _, _, profile = observe_batch(
+    _, marked = read_batch(
         inputs.event_pages(spark, sf_dir),
         inputs.event_specs(spark, sf_dir),
         bounds_for(spark, sf_dir),
     )
-    return summarise(profile).select(
+    return summarise(profile_runs(marked)).select(
         "source_id",
         "run_id",
         F.col("rows_accepted").alias("rows_ingested"),
