@@ -181,15 +181,16 @@ def _array_skeleton(record: str) -> Column:
     return F.regexp_replace(text, r'\[[^\[\]{}]++\]|[^\[\]{},:"N]++', "v")
 
 
-def shape_signature(record: str) -> Column:
+def shape_signature(record: str, schema_text: str) -> Column:
     """Text equal only for records with the same ``flatten_shape``.
 
     ``schema_of_variant`` is compiled and cheap, and almost exact: number widths
     differ where our types do not (folded here; skipped when a key needed
     quoting, which only makes the signature finer), and it cannot tell ``[]``
     from ``[null]``, so records with such arrays add their bracket structure.
+    ``schema_text`` names the column holding it.
     """
-    text = F.schema_of_variant(record)
+    text = F.col(schema_text)
     folded = F.when(text.contains("`"), text).otherwise(
         F.regexp_replace(text, _NUMBER_IN_SCHEMA, "NUMBER")
     )

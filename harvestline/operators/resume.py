@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from harvestline.functions.once import compute_once
 from harvestline.functions.ordering import order_key
 from harvestline.functions.text import blank_to_null
 from harvestline.functions.variants import dotted_get_any, is_object, scalar_text
@@ -68,14 +69,16 @@ def mark_records(
     """
     joined = records.join(keyed_bounds(bounds), "source_id")
     field = dotted_get_any(F.col("record"), F.col("record_field"), known_fields)
-    read = joined.withColumn(
-        "resume_value", F.when(F.col("record_field").isNotNull(), scalar_text(field))
-    ).withColumn("resume_key", order_key(F.col("resume_value"), F.col("format")))
+    found = compute_once(joined, resume_field=F.when(F.col("record_field").isNotNull(), field))
+    valued = compute_once(found, resume_value=scalar_text(F.col("resume_field")))
+    read = compute_once(valued, resume_key=order_key(F.col("resume_value"), F.col("format")))
     keep = range_predicate(F.col("resume_key"), F.col("from_key"), F.col("to_key"))
     verdict = (
         F.when(~is_object(F.col("record")), "rejected").when(~keep, "skipped").otherwise("accepted")
     )
-    return read.withColumn("verdict", verdict).drop("from_key", "to_key", "record_field")
+    return read.withColumn("verdict", verdict).drop(
+        "from_key", "to_key", "record_field", "resume_field"
+    )
 
 
 def high_water_order(fmt: Column, key: Column, page_no: Column, pos: Column) -> Column:

@@ -29,7 +29,9 @@ def distinct_shapes(records: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     Records of a source repeat a few shapes, so taking shapes apart record by
     record is wasted work: this collapses them map-side on a compiled signature.
     """
-    return records.groupBy(*keys, shape_signature("record").alias("signature")).agg(
+    described = records.withColumn("schema_text", F.schema_of_variant("record"))
+    signature = shape_signature("record", "schema_text")
+    return described.groupBy(*keys, signature.alias("signature")).agg(
         F.first("record").alias("record")
     )
 
@@ -86,10 +88,9 @@ def profile_runs(marked: DataFrame) -> DataFrame:
     )
     usable = accepted & F.col("resume_value").isNotNull() & (F.col("kind") != "backfill")
     best = F.when(usable, order)
-    return marked.groupBy(
-        *RUN,
-        "verdict",
-        F.when(accepted, shape_signature("record")).alias("signature"),
+    described = marked.withColumn("schema_text", F.when(accepted, F.schema_of_variant("record")))
+    return described.groupBy(
+        *RUN, "verdict", shape_signature("record", "schema_text").alias("signature")
     ).agg(
         F.count("*").alias("rows"),
         F.max_by("resume_value", best).alias("high_water"),

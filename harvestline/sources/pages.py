@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from harvestline.functions.once import compute_once
 from harvestline.functions.variants import dotted_get, dotted_text, is_array, has_element, kind_sql, parse_body
 from harvestline.functions.web import header, next_link
 from harvestline.model import (
@@ -60,14 +61,11 @@ def decode_pages(pages: DataFrame, config: DataFrame) -> DataFrame:
     or does not hold an array where the source says so is an error, never an
     empty page.
     """
-    too_big = F.octet_length("body") > MAX_RESPONSE_BYTES
-    decoded = pages.join(config, "source_id").select(
-        *[c for c in pages.columns if c != "body"],
-        *[c for c in config.columns if c != "source_id"],
-        too_big.alias("too_big"),
-        parse_body(F.col("body")).alias("doc"),
+    joined = pages.join(config, "source_id").withColumn(
+        "too_big", F.octet_length("body") > MAX_RESPONSE_BYTES
     )
-    found = decoded.withColumn("records", dotted_get(F.col("doc"), F.col("records_path")))
+    parsed = compute_once(joined, doc=parse_body(F.col("body"))).drop("body")
+    found = compute_once(parsed, records=dotted_get(F.col("doc"), F.col("records_path")))
     kind = F.expr(kind_sql("schema_of_variant(records)"))
     named = F.concat(F.lit('recordsPath "'), F.col("records_path"), F.lit('"'))
     error = (
