@@ -10,7 +10,9 @@ def header(headers: Column, name: str) -> Column:
     wanted = name.lower()
     return F.coalesce(
         headers[name],
-        F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == wanted)[0]["value"],
+        F.get(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == wanted), F.lit(0))[
+            "value"
+        ],
     )
 
 
