@@ -105,12 +105,19 @@ def run_batch(
 ) -> DataFrame:
     """Run every source that has pages in this batch; returns the ledger rows written.
 
-    A batch already in the ledger is not run again.  ``requests`` holds the
-    backfills to run instead of the schedule, at most one a source.
+    ``batch_id`` names the batch's content: one already in the ledger is not run
+    again, and of any other the runs that have succeeded before are left out.
+    ``requests`` holds the backfills to run instead of the schedule, at most one
+    a source.
     """
     spark = store.spark
     if store.has_batch(batch_id):
         return store.ledger().where(F.col("batch_id") == batch_id)
+    # One row a run of this batch, so the page bodies meet only a short list.
+    calls = stage(request_counts(pages), "calls")
+    done = store.ledger().where(F.col("result") == "Succeeded").select(*RUN)
+    calls = stage(calls.join(done, RUN, "left_anti"), "fresh")
+    pages = pages.join(calls.select(*RUN), RUN, "left_semi")
 
     full = with_violations(with_defaults(specs))
     full = stage(full.withColumn("table_name", table_name(F.col("destination"))), "specs")
@@ -147,7 +154,7 @@ def run_batch(
     exists = existing.select("table_name").distinct().withColumn("table_exists", F.lit(True))
 
     runs = (
-        request_counts(pages)
+        calls
         .join(full.select("source_id", "table_name", "destination", "violations"), "source_id")
         .join(bounds.select("source_id", "kind", "backfill_id"), "source_id", "left")
         .join(fetch_errors(pages), RUN, "left")

@@ -28,14 +28,17 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Run every micro-batch of landed pages, then stop when there are none left.
 
-    The batch id comes from the query's name and the epoch, so a replayed epoch
-    finds itself in the ledger and writes nothing.  Resume points and accepted
-    shapes are read when an epoch starts.
+    The batch id comes from the query's id, which lives in the checkpoint, and
+    the epoch: a replayed epoch finds itself in the ledger, and one of a fresh
+    checkpoint leaves out the runs that have succeeded.  Resume points and
+    accepted shapes are read when an epoch starts.
     """
 
     def one_epoch(batch: DataFrame, epoch: int) -> None:
         at = now or datetime.now(timezone.utc)
-        run_batch(store, batch, specs, batch_id=f"{name}-{epoch}", now=at, dedupe=dedupe)
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        batch_id = f"{name}-{query}-{epoch}"
+        run_batch(store, batch, specs, batch_id=batch_id, now=at, dedupe=dedupe)
 
     return (
         pages.writeStream.queryName(name)

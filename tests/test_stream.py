@@ -23,6 +23,9 @@ def test_drains_resumes_and_replays(spark, store, pages_df, specs_df, tmp_path):
     want = {"r1": (2, 0), "r2": (2, 1)}
     assert drain() == want
     assert drain() == want
-    # Progress lost: the same epoch numbers come again and find themselves in the ledger.
-    assert drain(str(tmp_path / "fresh")) == want
-    assert store.read_ndjson().count() == 4
+    # Progress lost while more lands: only what has not succeeded yet is run.
+    pages_df(page(records[2:] + [{"id": 5, "updated_at": day(5)}], run="r3")).coalesce(1).write.mode("append").parquet(zone)
+    assert drain(str(tmp_path / "fresh")) == {**want, "r3": (1, 2)}
+    assert store.read_ndjson().count() == 5
+    ids = [r[0] for r in store.ledger().select("batch_id").distinct().collect()]
+    assert len(ids) == 3 and not any("None" in i for i in ids)
