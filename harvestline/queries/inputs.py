@@ -18,9 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged_once(spark: SparkSession, sf_dir: str, label: str, build) -> DataFrame:
-    """A derived landing table, written once a session and scale."""
-    key = (spark.sparkContext.applicationId, sf_dir, label)
+def staged_once(spark: SparkSession, sf_dir: str, label: str, build, variant: str = "") -> DataFrame:
+    """A derived input table, written once a session and scale."""
+    key = (spark.sparkContext.applicationId, sf_dir, label + variant)
     if key not in _STAGED:
         _STAGED[key] = stage(build(), label)
     return _STAGED[key]
@@ -136,30 +136,36 @@ def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged_once(spark, sf_dir, "event-pages", build)
 
 
-def event_specs(spark: SparkSession, sf_dir: str, **overrides) -> DataFrame:
-    """One spec for each event type found in the data."""
-    ids = table(spark, sf_dir, "events").select(F.col("event_type").alias("source_id")).distinct()
-    source = (
-        "named_struct('url', concat('https://vendor.invalid/', source_id), 'records_path',"
-        " 'data.items', 'pagination', named_struct('type', 'Cursor', 'next_cursor_path',"
-        " 'meta.next_cursor', 'cursor_param', 'cursor'))"
-    )
-    values = {
-        "schedule": "'0 * * * *'",
-        "suspend": "false",
-        "concurrency": "NULL",
-        "source": source,
-        "watermark": "named_struct('record_field', 'updated_at', 'param', 'since',"
-        " 'format', 'RFC3339')",
-        "destination": "NULL",
-        "drift": "NULL",
-        "suspend_after": "NULL",
-        "backoff_limit": "NULL",
-        "successful_history": "NULL",
-        "failed_history": "NULL",
-        **overrides,
-    }
-    return shaped(ids.select("source_id", *[F.expr(v).alias(k) for k, v in values.items()]), m.SPECS)
+def event_specs(spark: SparkSession, sf_dir: str, **overrides: str) -> DataFrame:
+    """One spec for each event type found in the data, kept as a table like any spec list."""
+
+    def build() -> DataFrame:
+        ids = (
+            table(spark, sf_dir, "events").select(F.col("event_type").alias("source_id")).distinct()
+        )
+        values = {**_EVENT_SPEC, **overrides}
+        return shaped(
+            ids.select("source_id", *[F.expr(v).alias(k) for k, v in values.items()]), m.SPECS
+        )
+
+    return staged_once(spark, sf_dir, "event-specs", build, repr(sorted(overrides.items())))
+
+
+_EVENT_SPEC = {
+    "schedule": "'0 * * * *'",
+    "suspend": "false",
+    "concurrency": "NULL",
+    "source": "named_struct('url', concat('https://vendor.invalid/', source_id), 'records_path',"
+    " 'data.items', 'pagination', named_struct('type', 'Cursor', 'next_cursor_path',"
+    " 'meta.next_cursor', 'cursor_param', 'cursor'))",
+    "watermark": "named_struct('record_field', 'updated_at', 'param', 'since', 'format', 'RFC3339')",
+    "destination": "NULL",
+    "drift": "NULL",
+    "suspend_after": "NULL",
+    "backoff_limit": "NULL",
+    "successful_history": "NULL",
+    "failed_history": "NULL",
+}
 
 
 def shaped(df: DataFrame, schema) -> DataFrame:
