@@ -10,9 +10,10 @@ records, and the ledger last.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from harvestline.functions.text import canonical_json
 from harvestline.model import SHAPE_CHANGE
@@ -33,6 +34,7 @@ from harvestline.sources.pages import (
 RUN = ["source_id", "run_id"]
 # Distinct resume fields spelled as constants; more than this are spelled per record.
 _KNOWN_FIELDS = 64
+_CONCURRENT_WRITES = 8
 
 
 def table_name(destination: Column) -> Column:
@@ -289,7 +291,8 @@ def _write_tables(
         .join(per_table, "table_name")
         .collect()
     )
-    for table in layout:
+
+    def write_one(table: Row) -> None:
         columns = [(c["column_name"], c["landing_type"]) for c in table["columns"]]
         mine = rows.where(F.col("source_id").isin(table["sources"])).select(
             F.col("source_id").alias("_source_id"),
@@ -301,6 +304,10 @@ def _write_tables(
         typed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "_source_id", "_run_id"
         ).parquet(store.table_path(table["table_name"], table["version"]))
+
+    # Tables are independent jobs; a few at a time keep the cluster busy through their tails.
+    with ThreadPoolExecutor(_CONCURRENT_WRITES) as pool:
+        list(pool.map(write_one, layout))
     if layout:
         store.append_columns(new)
 
