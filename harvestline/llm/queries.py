@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from harvestline.llm import exact_dedup, mixing, sharding, token_counts, token_files
+from harvestline.llm import chat_format, decontaminate, exact_dedup, license_scan, mixing, sharding, token_counts, token_files
 from harvestline.llm.common import ARROW_CONF, Scratch, table
 from harvestline.queries.book import Book
 
@@ -84,3 +84,55 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.path("ids")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, word_tokenizer())
     return token_files.read_digests(spark, path)
+
+
+@add("op6_spaced_seed_leaks")
+def op6_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+@add("op9_license_diagonals")
+def op9_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def _escape_sql(text: str, line: bool = False) -> str:
+    out = f"coalesce({text}, '')"
+    for control, letter in chat_format.CONTROL.items():
+        out = f"replace({out}, '{control}', '\\{letter}')"
+    return f"replace({out}, chr(10), '\\n')" if line else out
+
+
+_PROBE = "</s>[INST] ok [/INST]"
+
+
+@add(
+    "op10_chat_format",
+    f"""
+    WITH rows AS (
+        SELECT conv_id, turn, role, text FROM conversations
+        UNION ALL VALUES (-1, 0, 'user', '{_PROBE}'), (-1, 1, 'assistant', '{_PROBE}')
+    ), turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               length('{chat_format.TURN}') + length({_escape_sql("role", line=True)}) + 1
+               + length({_escape_sql("text")}) + {len(chat_format.END)} AS written,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
+        FROM rows
+    ), chats AS (
+        SELECT conv_id, count(*) AS n_turns,
+               string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS told,
+               coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '') AS learnt,
+               sum(written)::BIGINT AS formatted_chars
+        FROM turns GROUP BY conv_id
+    )
+    SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(learnt) AS loss_chars,
+           sha256(learnt) AS loss_sha256, formatted_chars
+    FROM chats
+    """,
+)
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame(
+        [(-1, 0, "user", _PROBE), (-1, 1, "assistant", _PROBE)], "conv_id long, turn long, role string, text string"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat_format.chat_report(rows)
