@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from harvestline.llm import chat_format, decontaminate, exact_dedup, license_scan, mixing, sharding, token_counts, token_files
+from harvestline.llm import chat_format, decontaminate, exact_dedup, license_scan, mixing, near_dedup, sharding, token_counts, token_files
 from harvestline.llm.common import ARROW_CONF, Scratch, table
 from harvestline.queries.book import Book
 
@@ -136,3 +136,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return chat_format.chat_report(rows)
+
+
+@add("op5_bbit_minhash")
+def op5_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_report(table(spark, sf_dir, "documents"))
