@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from harvestline.llm import chat_format, decontaminate, exact_dedup, license_scan, mixing, near_dedup, sharding, token_counts, token_files
+from harvestline.llm import chat_format, decontaminate, exact_dedup, language_id, license_scan, mixing, near_dedup, sharding, token_counts, token_files
 from harvestline.llm.common import ARROW_CONF, Scratch, table
 from harvestline.queries.book import Book
 
@@ -141,3 +141,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("op5_bbit_minhash")
 def op5_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_report(table(spark, sf_dir, "documents"))
+
+
+@add("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(table(spark, sf_dir, "documents"))
