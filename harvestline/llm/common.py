@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestline.plans.staging import shared_folder, stage
+from harvestline.session import configure
 
 # White space that separates words; the same six characters everywhere in this package.
 SPACE = r"\x20\x09-\x0D"
@@ -21,6 +22,14 @@ ARROW_CONF = {
 }
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """The session settings the operators assume."""
+    configure(spark)
+    for key, value in ARROW_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 from harvestline.llm import chat_format, decontaminate, exact_dedup, language_id, license_scan, mixing, near_dedup, sharding, token_counts, token_files
-from harvestline.llm.common import ARROW_CONF, Scratch, table
+from harvestline.llm.common import Scratch, prepare, table
 from harvestline.queries.book import Book
 
 BOOK = Book()
@@ -33,9 +33,7 @@ def add(name: str, oracle: str | None = None):
 
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            for key, value in ARROW_CONF.items():
-                spark.conf.set(key, value)
-            return fn(spark, sf_dir)
+            return fn(prepare(spark), sf_dir)
 
         return _ADD(name, oracle)(run)
 
