@@ -1,13 +1,14 @@
 """Operator 3: token counts by a two-tier look-up on the map side.
 
-First tier: a table of the corpus's frequent runs and their token counts, of a
-fixed number of entries, broadcast.  Second tier: runs that miss it are encoded
-in the worker that meets them and remembered there, up to a fixed number.  No
-run is ever shuffled; a count is a sum of look-ups over the whole text.
+First tier: a table of the corpus's frequent pre-tokens and their token counts,
+of a fixed number of entries, broadcast.  Second tier: pre-tokens that miss it
+are encoded in the worker that meets them and remembered there, up to a fixed
+number.  No pre-token is ever shuffled; a count is a sum of look-ups over the
+whole text.
 
-The frequent runs come from a pass over all texts.  Each task counts its own
-with bounded memory and gives one summary row; summaries are merged in two
-levels.  Which runs are in the table changes speed only, never a count.
+The frequent ones come from a pass over all texts.  Each task counts its own with
+bounded memory and gives one summary row; summaries are merged in two levels.
+What is in the table changes speed only, never a count.
 
 Null or empty text: 0 bytes, 0 tokens.  Repeated rows give repeated results, an
 empty table an empty result.  Other columns of the input are not read, so their
@@ -27,56 +28,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestline.llm.common import texts_of
-from harvestline.llm.tokenizer import Generations, encoder, length_cache, runs
+from harvestline.llm.tokenizer import Generations, count_cache, encoder
 
-FREQUENT_RUNS = 65_536  # entries of the broadcast table
-SUMMARY_RUNS = 32_768  # runs in a task's summary
-_COUNTED_RUNS = 262_144  # runs a task counts before it drops its rarest
+FREQUENT = 65_536  # entries of the broadcast table
+SUMMARY = 32_768  # pre-tokens in a task's summary
+_COUNTED = 262_144  # pre-tokens a task counts before it drops its rarest
 _MERGERS = 16  # summaries that reach the driver
 
 _caches: dict[tuple[str, str], Generations] = {}
 
 
-def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[str] = Counter()
-    for batch in batches:
-        for text in texts_of(batch.column(0)):
-            counts.update(runs(text))
-        if len(counts) > _COUNTED_RUNS:
-            counts = Counter(dict(counts.most_common(SUMMARY_RUNS)))
-    top = counts.most_common(SUMMARY_RUNS)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array([TaskContext.get().partitionId()], pa.int32()),
-            pa.array([[run for run, _ in top]], pa.list_(pa.string())),
-            pa.array([[n for _, n in top]], pa.list_(pa.int64())),
-        ],
-        ["part", "runs", "counts"],
-    )
+def _summarise(tokenizer_path: str):
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = encoder(tokenizer_path).keys, Counter()
+        for batch in batches:
+            for text in texts_of(batch.column(0)):
+                counts.update(keys(text))
+            if len(counts) > _COUNTED:
+                counts = Counter(dict(counts.most_common(SUMMARY)))
+        top = counts.most_common(SUMMARY)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([TaskContext.get().partitionId()], pa.int32()),
+                pa.array([[key for key, _ in top]], pa.list_(pa.string())),
+                pa.array([[n for _, n in top]], pa.list_(pa.int64())),
+            ],
+            ["part", "keys", "counts"],
+        )
+
+    return summarise
 
 
 def _merge(frame: pd.DataFrame) -> pd.DataFrame:
     counts: Counter[str] = Counter()
-    for names, n in zip(frame["runs"], frame["counts"], strict=True):
+    for names, n in zip(frame["keys"], frame["counts"], strict=True):
         for name, k in zip(names, n, strict=True):
             counts[name] += int(k)
-        if len(counts) > _COUNTED_RUNS:
-            counts = Counter(dict(counts.most_common(SUMMARY_RUNS)))
-    top = counts.most_common(SUMMARY_RUNS)
-    return pd.DataFrame({"runs": [[r for r, _ in top]], "counts": [[n for _, n in top]]})
+        if len(counts) > _COUNTED:
+            counts = Counter(dict(counts.most_common(SUMMARY)))
+    top = counts.most_common(SUMMARY)
+    return pd.DataFrame({"keys": [[key for key, _ in top]], "counts": [[n for _, n in top]]})
 
 
-def frequent_runs(docs: DataFrame, size: int = FREQUENT_RUNS) -> list[str]:
-    """At most ``size`` of the runs that are most frequent in all texts.
+def frequent_keys(docs: DataFrame, tokenizer_path: str, size: int = FREQUENT) -> list[str]:
+    """At most ``size`` of the pre-tokens that are most frequent in all texts.
 
-    The driver receives ``_MERGERS`` summaries of ``SUMMARY_RUNS`` runs at most.
+    The driver receives ``_MERGERS`` summaries of ``SUMMARY`` pre-tokens at most.
     """
-    parts = docs.select("text").mapInArrow(_summarise, "part int, runs array<string>, counts array<long>")
-    merged = parts.groupBy(F.pmod("part", F.lit(_MERGERS))).applyInPandas(_merge, "runs array<string>, counts array<long>")
+    parts = docs.select("text").mapInArrow(_summarise(tokenizer_path), "part int, keys array<string>, counts array<long>")
+    merged = parts.groupBy(F.pmod("part", F.lit(_MERGERS))).applyInPandas(_merge, "keys array<string>, counts array<long>")
     total: Counter[str] = Counter()
     for row in merged.collect():
-        total.update(dict(zip(row["runs"], row["counts"], strict=True)))
-    return [run for run, _ in total.most_common(size)]
+        total.update(dict(zip(row["keys"], row["counts"], strict=True)))
+    return [key for key, _ in total.most_common(size)]
 
 
 def _cache(path: str, run: str, shared) -> Generations:
@@ -85,26 +89,26 @@ def _cache(path: str, run: str, shared) -> Generations:
         names, lengths = shared.value
         frequent = dict(zip(names.split("\n"), lengths, strict=True)) if lengths else {}
         _caches.clear()
-        _caches[key] = length_cache(path, frequent)
+        _caches[key] = count_cache(path, frequent)
     return _caches[key]
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, frequent: int = FREQUENT_RUNS) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, frequent: int = FREQUENT) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs``."""
     spark = docs.sparkSession
     encode = encoder(tokenizer_path)
-    names = [run for run in frequent_runs(docs, frequent) if len(run) <= 64]
-    shared = spark.sparkContext.broadcast(("\n".join(names), [len(encode(name)) // 4 for name in names]))
+    names = [key for key in frequent_keys(docs, tokenizer_path, frequent) if len(key) <= 64 and "\n" not in key]
+    shared = spark.sparkContext.broadcast(("\n".join(names), [encode.count(name) for name in names]))
 
     run = uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look_up = _cache(tokenizer_path, run, shared).__getitem__
+        keys, look_up = encoder(tokenizer_path).keys, _cache(tokenizer_path, run, shared).__getitem__
         for batch in batches:
             sizes, tokens = [], []
             for text in texts_of(batch.column(1)):
                 sizes.append(len(text.encode()))
-                tokens.append(sum(map(look_up, runs(text))))
+                tokens.append(sum(map(look_up, keys(text))))
             over = [n > limit for n in tokens]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array(over, pa.bool_())],

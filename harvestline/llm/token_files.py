@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harvestline.llm.common import shuffle_partitions, texts_of
-from harvestline.llm.tokenizer import id_cache, runs
+from harvestline.llm.tokenizer import encoder, id_cache
 
 # ids in a word and their width, by selector.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0, 1])
@@ -130,7 +130,7 @@ def decode_block(data: bytes) -> np.ndarray:
 
 def _encode(tokenizer_path: str, end_id: int, id_type: pa.DataType):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look_up = id_cache(tokenizer_path).__getitem__
+        keys, look_up = encoder(tokenizer_path).keys, id_cache(tokenizer_path).__getitem__
         end = np.array([end_id], "<u4").tobytes()
         shard, block, before = TaskContext.get().partitionId(), 0, 0
         doc_ids, lengths, parts, held = [], [], [], 0
@@ -152,7 +152,7 @@ def _encode(tokenizer_path: str, end_id: int, id_type: pa.DataType):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for doc_id, text in zip(ids, texts_of(batch.column(1)), strict=True):
-                packed = b"".join(map(look_up, runs(text))) + end
+                packed = b"".join(map(look_up, keys(text))) + end
                 doc_ids.append(doc_id)
                 lengths.append(len(packed) // 4)
                 parts.append(packed)

@@ -1,35 +1,37 @@
-"""Token ids of whole texts from a tokenizer file, cached by pre-token.
-
-The unit is a run of text between ASCII white space.  The tokenizer drops white
-space and never merges across it, no canonical composition reaches across it,
-and no added token holds any, so a text's ids are those of its runs in order.
-A run is cut further into the tokenizer's own pre-tokens, whose ids are cached
-apart: "Word", "word," and "word" share one merge.
-
-The short way is taken only where it is certain to agree with the library: runs
-of code points below U+0250 without control characters or added tokens, for
-which NFC changes nothing and lower-casing is one to one.  Any other run is
-encoded by the library as it is.
+"""Token ids of whole texts from a tokenizer file, remembered by pre-token.
+
+The tokenizer cuts a text into pre-tokens and merges inside each alone, so a
+text's ids are those of its pre-tokens in order.  ``keys`` gives a text's
+pre-tokens, ``ids`` the ids of one.
+
+The cut is made here where it is certain to be the library's: code points below
+U+0250 without control characters or added tokens, for which NFC changes nothing
+and lower-casing is one to one.  A text with anything else is cut at ASCII white
+space, which nothing reaches across: no merge, no canonical composition and no
+added token.  Of its runs, those that need it are encoded by the library as they
+are; their key is the run after a zero.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 
-import regex
 from tokenizers import Tokenizer
 
-# The split pattern the short way is known to follow.
+# The split pattern that the cut below is known to follow.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_LIMIT = "ɐ"
-_UNSAFE = regex.compile("[\x00-\x20\x7f-\xa0İ]|<\\|")
-_SPACES = str.maketrans("\n\t\r", "   ")
+# Letters and numbers below U+0250, lower case.
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾"
+_CUT = re.compile(f"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+_UNSURE = re.compile("[^\t\n\r\x20-\x7e¡-į\u0131-ɏ]|<\\|")
+_RAW = "\0"
 
 
 def runs(text: str) -> list[str]:
-    """Pieces between ASCII white space; empty pieces may be among them."""
-    return text.translate(_SPACES).split(" ") if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
+    """Pieces between ASCII white space."""
+    return [run for run in re.split("[\t\n\r ]+", text) if run]
 
 
 def _byte_letters() -> list[str]:
@@ -42,20 +44,18 @@ def _byte_letters() -> list[str]:
     return letters
 
 
-class RunEncoder:
-    """Packed ids of a run; remembers pre-tokens, at most ``capacity`` of them."""
+class Encoder:
+    """A tokenizer file, by pre-token."""
 
-    def __init__(self, path: str, capacity: int = 500_000) -> None:
+    def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.pieces = Generations(self._merge, capacity)
         self.letters = str.maketrans({chr(b): letter for b, letter in enumerate(_byte_letters())})
-        self.split = regex.compile(SPLIT)
         self.known = self._follows_pattern(path)
 
     @staticmethod
     def _follows_pattern(path: str) -> bool:
-        """Whether the file normalises and splits as the short way does."""
+        """Whether the file normalises and splits as the cut here does."""
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         normal = (parts.get("normalizer") or {}).get("normalizers") or []
@@ -72,19 +72,29 @@ class RunEncoder:
             and all(t.startswith("<|") for t in added)
         )
 
-    def _merge(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+    def keys(self, text: str) -> list[str]:
+        if not self.known:
+            # Nothing is known of this tokenizer's cuts: the text is one.
+            return [_RAW + text] if text else []
+        if not _UNSURE.search(text):
+            return _CUT.findall(text.lower())
+        out: list[str] = []
+        for run in runs(text):
+            if _UNSURE.search(run):
+                out.append(_RAW + run)
+            else:
+                out += _CUT.findall(run.lower())
+        return out
+
+    def ids(self, key: str) -> bytes:
+        """Packed ids of a key."""
+        if key.startswith(_RAW):
+            return packed(self.tokenizer.encode(key[1:], add_special_tokens=False).ids)
+        shown = key if key.isascii() else key.encode().decode("latin-1").translate(self.letters)
         return packed([t.id for t in self.model.tokenize(shown)])
 
-    def __call__(self, run: str) -> bytes:
-        if not run:
-            return b""
-        if not self.known or max(run) >= _LIMIT or _UNSAFE.search(run):
-            return packed(self.tokenizer.encode(run, add_special_tokens=False).ids)
-        run = run.lower()
-        if run.isalpha():
-            return self.pieces[run]
-        return b"".join(map(self.pieces.__getitem__, self.split.findall(run)))
+    def count(self, key: str) -> int:
+        return len(self.ids(key)) // 4
 
 
 class Generations(dict):
@@ -116,25 +126,26 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_encoders: dict[str, RunEncoder] = {}
+REMEMBERED = 1_000_000  # pre-tokens a worker keeps
+
+_encoders: dict[str, Encoder] = {}
 _id_caches: dict[str, Generations] = {}
 
 
-def encoder(path: str) -> RunEncoder:
+def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file, loaded once."""
     if path not in _encoders:
-        _encoders[path] = RunEncoder(path)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
-def id_cache(path: str, capacity: int = 700_000) -> Generations:
-    """The worker's cache of run -> packed ids."""
+def id_cache(path: str, capacity: int = REMEMBERED) -> Generations:
+    """The worker's memory of key -> packed ids."""
     if path not in _id_caches:
-        _id_caches[path] = Generations(encoder(path), capacity)
+        _id_caches[path] = Generations(encoder(path).ids, capacity)
     return _id_caches[path]
 
 
-def length_cache(path: str, frequent: dict[str, int], capacity: int = 700_000) -> Generations:
-    """A cache of run -> number of ids, with a table of frequent runs that stays."""
-    encode = encoder(path)
-    return Generations(lambda run: len(encode(run)) // 4, capacity, frequent)
+def count_cache(path: str, frequent: dict[str, int], capacity: int = REMEMBERED) -> Generations:
+    """A memory of key -> number of ids, with a table of frequent keys that stays."""
+    return Generations(encoder(path).count, capacity, frequent)
