@@ -68,9 +68,10 @@ def _targets(sources: DataFrame, cap: float) -> DataFrame:
     ).over(rest)
     full = F.col("most") <= F.col("level") * F.col("weight")
     # From the first source that isn't full on, one level holds for all.
-    first = F.min(F.when(~full, F.struct(F.col("most") / F.col("weight"), "level"))).over(Window.partitionBy())
+    first = F.min(F.when(~full, F.struct("place", "level"))).over(Window.partitionBy())
     return (
-        known.withColumn("level", level)
+        known.withColumn("place", F.row_number().over(order))
+        .withColumn("level", level)
         .withColumn("open", first["level"])
         .withColumn("target", F.when(full, F.col("most")).otherwise(F.col("open") * F.col("weight")))
         .select("source", "source_size", "segments", "weight", F.col("target").cast("double").alias("target"))

@@ -19,8 +19,8 @@ four rows a band, a pair at similarity 0.8 misses all bands once in 2 * 10**7.
 
 A document without words or text has no shingles and is linked with nothing.
 With fewer words than a shingle has, the whole sequence is the only one.  A null
-``doc_id`` can't name a component unless it is alone there, and repeated rows are
-members like any other.  An empty table gives an empty result.  Columns with
+``doc_id`` names no component with an id in it (``component_id`` is null where
+there is none), and repeated rows are members like any other.  An empty table gives an empty result.  Columns with
 clashing names are left as they are.
 """
 
@@ -403,7 +403,7 @@ def near_report(docs: DataFrame, k: int = 3, least: int = 85, of: int = 100) ->
         F.col("row").alias("doc_id"),
         "n_shingles",
         component.alias("component_id"),
-        F.coalesce(F.col("row") == component, F.lit(True)).alias("kept"),
+        F.col("row").eqNullSafe(component).alias("kept"),
     )
 
 
