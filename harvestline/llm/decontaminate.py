@@ -45,16 +45,18 @@ def _seed(words: str, at: str, kind: int, offsets: tuple[int, ...]) -> Column:
 def _seeds(parsed: DataFrame, words: str, lengths: list[int], *carry: str) -> DataFrame:
     """A row a place and mask: ``seed``, ``at``, and the columns to carry.
 
-    ``lengths``: of short items; their seeds read that many words in a row.
+    ``lengths``: of short items; their seeds read that many words in a row.  All
+    seeds of a place come from one array: the words stand beside each place only
+    inside generated code and are never copied for it.
     """
     size = F.size(words)
-    masked = [_seed(words, "at", i, mask) for i, mask in enumerate(MASKS)]
-    long = parsed.filter(size >= SPAN).select(*carry, F.explode(F.sequence(F.lit(0), size - SPAN)).alias("at"))
-    out = long.select(*carry, "at", F.explode(F.array(*masked)).alias("seed"))
-    for n in lengths:
-        fit = parsed.filter(size >= n).select(*carry, F.explode(F.sequence(F.lit(0), size - n)).alias("at"))
-        out = out.unionByName(fit.select(*carry, "at", _seed(words, "at", -n, tuple(range(n))).alias("seed")))
-    return out
+    fits = lambda n, seed: F.when(F.col("at") + n <= size, seed)
+    found = [fits(SPAN, _seed(words, "at", i, mask)) for i, mask in enumerate(MASKS)]
+    found += [fits(n, _seed(words, "at", -n, tuple(range(n)))) for n in lengths]
+    shortest = min([SPAN, *lengths])
+    placed = parsed.filter(size >= shortest).select(*carry, words, F.explode(F.sequence(F.lit(0), size - shortest)).alias("at"))
+    kept = dict.fromkeys([*carry, "at"])
+    return placed.select(*kept, F.explode(F.array(*found)).alias("seed"))
 
 
 def _best_stretch(agree: Column, length: Column) -> Column:
@@ -79,10 +81,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BRO
     )
     sizes = items.filter(F.size("i_words") < SPAN).select(F.size("i_words").alias("n")).distinct()
     lengths = sorted(r["n"] for r in sizes.collect())  # three at most
-    seeds = _seeds(items, "i_words", [], "item", "i_words")
+    seeds = _seeds(items, "i_words", [], "item")
     for n in lengths:
         one = items.filter(F.size("i_words") == n).withColumn("at", F.lit(0))
-        seeds = seeds.unionByName(one.select("item", "i_words", "at", _seed("i_words", "at", -n, tuple(range(n))).alias("seed")))
+        seeds = seeds.unionByName(one.select("item", "at", _seed("i_words", "at", -n, tuple(range(n))).alias("seed")))
     table = scratch.keep(seeds.select("seed", "item", F.col("at").alias("i_at")), "seeds")
     small = table.count() <= broadcast_seeds
 
@@ -91,17 +93,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BRO
         hits = _seeds(parsed, "words", lengths, "doc_id", "text_key", "words").join(F.broadcast(table), "seed")
     else:
         # Without the broadcast only places are shuffled; words are fetched for the hits.
-        found = _seeds(parsed, "words", lengths, "doc_id", "text_key", "words").drop("words").join(table, "seed")
+        found = _seeds(parsed, "words", lengths, "doc_id", "text_key").join(table, "seed")
         found = found.select(
             F.struct("doc_id", "text_key").alias("of"), "item", (F.col("at") - F.col("i_at")).alias("at"), F.lit(0).alias("i_at")
         ).distinct()
         hits = found.join(
             parsed, F.col("of.doc_id").eqNullSafe(parsed["doc_id"]) & (F.col("of.text_key") == parsed["text_key"])
         ).drop("of")
-    laid = hits.join(F.broadcast(items) if small else items, "item").withColumn("first_word", F.col("at") - F.col("i_at"))
     length = F.size("i_words")
-    place = lambda i: F.col("first_word") + i
-    agrees = lambda i: F.coalesce((place(i) >= 0) & (F.get("words", place(i)) == F.get("i_words", i)), F.lit(False))
+    first_word = F.col("at") - F.col("i_at")
+    # Of the text no more than lies under the item goes on from here.
+    laid = hits.join(F.broadcast(items) if small else items, "item").select(
+        "doc_id",
+        "text_key",
+        "item",
+        "item_id",
+        first_word.alias("first_word"),
+        F.slice("words", F.greatest(first_word, F.lit(0)) + 1, length).alias("under"),
+        "i_words",
+    )
+    place = lambda i: i + F.least("first_word", F.lit(0))
+    agrees = lambda i: F.coalesce(F.get("under", place(i)) == F.get("i_words", i), F.lit(False))
     agree = F.array_join(F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.when(agrees(i), "1").otherwise("0")), "")
     judged = (
         laid.select("doc_id", "text_key", "item", "item_id", "first_word", length.alias("n_item"), agree.alias("agree"))
@@ -123,6 +135,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         find_leaks(docs, benchmark).select(F.struct("doc_id", "text_key").alias("_leak")).distinct(), "leaks"
     )
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(
-        leaks, docs["doc_id"].eqNullSafe(F.col("_leak.doc_id")) & (key == F.col("_leak.text_key")), "left_anti"
-    )
+    leak = leaks["_leak"]
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leak["doc_id"]) & (key == leak["text_key"]), "left_anti")

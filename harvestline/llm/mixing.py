@@ -185,8 +185,10 @@ def mix_documents(
         plan.filter("copies > 0").select("_of", F.explode("positions").alias("_at")),
         "taken",
     )
-    named = docs.withColumn("_unit", unit_key(F.col("text")))
-    copies = named.join(taken, _same_unit("_unit", docs["doc_id"], docs["source"]))
-    order = ["_at", "_unit"]
+    named = docs.select(
+        F.struct(*(docs[c] for c in docs.columns)).alias("doc"), unit_key(docs["text"]).alias("unit"), "doc_id", "source"
+    )
+    copies = named.join(taken, _same_unit("unit", F.col("doc_id"), F.col("source")))
+    order = ["_at", "unit"]
     spread = copies.repartitionByRange(partitions, *order) if partitions else copies.repartitionByRange(*order)
-    return spread.sortWithinPartitions(*order).select(*(docs[c] for c in docs.columns))
+    return spread.sortWithinPartitions(*order).select("doc.*")
