@@ -62,16 +62,15 @@ def has_letter(text: str | None) -> bool:
 
 def features(text: str) -> np.ndarray:
     counts = np.zeros(WIDTH, np.int64)
-    raw = text.lower().encode()
+    raw = b" " + text.lower().encode() + b" "
     for at in range(0, len(raw), _PIECE):
         # A piece repeats the two bytes before it, so no gram is lost at a cut.
-        x = _FOLD[np.frombuffer(raw[max(0, at - 2) : at + _PIECE], np.uint8)].astype(np.uint32)
-        x = np.concatenate([[np.uint32(32)], x, [np.uint32(32)]]) if at == 0 else x
+        before = min(at, 2)
+        x = _FOLD[np.frombuffer(raw[at - before : at + _PIECE], np.uint8)].astype(np.uint32)
         two = x[:-1] << np.uint32(8) | x[1:]
         three = two[:-1] << np.uint32(8) | x[2:]
-        own = x if at == 0 else x[2:]
-        counts[:256] += np.bincount(own, minlength=256)
-        for grams in (two if at == 0 else two[1:], three):
+        counts[:256] += np.bincount(x[before:], minlength=256)
+        for grams in (two[max(0, before - 1) :], three):
             counts[256:] += np.bincount((grams * np.uint32(2654435761) >> np.uint32(8)) % np.uint32(WIDTH - 256), minlength=WIDTH - 256)
     counts[32] = 0
     scaled = np.log1p(counts).astype(np.float32)

@@ -47,7 +47,7 @@ NOTICES = {
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE_K, NOTICE_K = 2, 5
 NEAR = 3  # words between diagonals that merge
-COVER = 0.6  # of a notice's k-grams that a span must hold
+COVER = 0.5  # of a notice's k-grams that a span must hold
 
 
 def words_of(text: Column) -> Column:
