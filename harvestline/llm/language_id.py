@@ -170,13 +170,20 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model of ``labelled`` rows (``doc_id, text, lang``), of which ``sample`` are read at most."""
     usable = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    langs = usable.select("lang").distinct().count()
-    if not langs:
+    # One row a language.
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not counts:
         return None
-    each = max(1, sample // langs)
-    # Only ids are sorted, and each task passes on its first rows of a language only.
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= each)
+    each = max(1, sample // len(counts))
+    # A cut of the hash leaves little more than a language's share, whatever its size; the window is over that.
+    wanted = labelled.sparkSession.createDataFrame(
+        [(lang, min(1.0, (1.5 * each + 50) / n)) for lang, n in counts.items()], "_lang string, share double"
+    )
+    place = F.xxhash64("doc_id", F.lit(7))
+    near = (place / float(2**64) + 0.5) <= F.col("share")
+    few = usable.select("doc_id", "lang").join(F.broadcast(wanted), F.col("lang") == F.col("_lang")).filter(near)
+    first = Window.partitionBy("lang").orderBy(place, "doc_id")
+    chosen = few.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= each)
     # At most ``sample`` ids and languages of a few bytes.
     ids = F.broadcast(chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct())
     rows = usable.join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
