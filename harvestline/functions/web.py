@@ -33,9 +33,17 @@ def next_link(link: Column) -> Column:
 
 
 def retry_after_seconds(value: Column, answered_at: Column) -> Column:
-    """Seconds asked for by ``Retry-After``; NULL when absent, past, zero or unreadable."""
+    """Seconds asked for by ``Retry-After``; NULL when absent, past, zero or unreadable.
+
+    A date may be in any of the three forms of HTTP; one without a zone is UTC.
+    """
     seconds = F.when(value.rlike(r"^[+-]?\d+$"), value.try_cast("int"))
-    when = F.try_to_timestamp(F.substring(value, 6, 64), F.lit("dd MMM yyyy HH:mm:ss z"))
+    spaced = F.regexp_replace(value, " +", " ")
+    when = F.coalesce(
+        F.try_to_timestamp(F.substring(value, 6, 64), F.lit("dd MMM yyyy HH:mm:ss z")),
+        F.try_to_timestamp(F.regexp_extract(value, "^[A-Za-z]+day, (.*)$", 1), F.lit("dd-MMM-yy HH:mm:ss z")),
+        F.try_to_timestamp(F.substring(spaced, 5, 64), F.lit("MMM d HH:mm:ss yyyy")),
+    )
     dated = (F.unix_micros(when) - F.unix_micros(answered_at)) / F.lit(1e6)
     asked = F.when(seconds >= 0, seconds.cast("double")).otherwise(dated)
     return F.when(asked > 0, asked)

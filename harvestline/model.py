@@ -18,15 +18,11 @@ RUN_RESULTS = ("Running", "Succeeded", "Failed")
 RUN_KINDS = ("scheduled", "backfill", "trigger")
 OBSERVED_SCALARS = ("string", "number", "bool", "object", "null", "mixed", "unknown")
 
-MAX_RESPONSE_BYTES = 256 * 1024 * 1024
+# A decoded document can hold no more than this.
+MAX_RESPONSE_BYTES = 128 * 1024 * 1024
 MAX_ATTEMPTS = 4
 MAX_BACKOFF_SECONDS = 30
 MAX_SHAPE_DEPTH = 8
-MAX_SNIPPET_BYTES = 512
-MAX_REASON_BYTES = 4096
-MAX_PAYLOAD_BYTES = 1024 * 1024
-MAX_REPORT_BYTES = 4096
-MAX_REPORT_ERROR_BYTES = 1024
 FINGERPRINT_HEX = 16
 ONE_OFF_ID_HEX = 8
 

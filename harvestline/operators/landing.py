@@ -10,8 +10,6 @@ from harvestline.functions.text import canonical_json, cut_bytes, digest
 from harvestline.functions.variants import OBJECT_TYPE, dotted_get, kind_sql, scalar_text
 from harvestline.model import (
     LANDING_TYPES,
-    MAX_PAYLOAD_BYTES,
-    MAX_REASON_BYTES,
     WAREHOUSE_TYPES,
 )
 
@@ -60,18 +58,27 @@ def cell(value: Column, landing_type: str) -> Column:
 
 def typed_rows(records: DataFrame, columns: Sequence[tuple[str, str]], keep: Sequence[str]) -> DataFrame:
     """K8: records as table rows with the given ``(name, landing type)`` columns."""
-    taken = {c.lower() for c in keep}
     return records.select(
         *keep,
         *[
-            cell(dotted_get(F.col("record"), name), kind).alias(
-                name if name.lower() not in taken else f"{name}_"
-            )
+            cell(dotted_get(F.col("record"), name), kind).alias(landed_name(name, keep))
             for name, kind in columns
         ],
     )
 
 
+def landed_name(name: str, taken: Sequence[str]) -> str:
+    """K8: a record key as a column name; the table's own columns keep theirs."""
+    return name if name.lower() not in {c.lower() for c in taken} else f"{name}_"
+
+
+def clashing_names(shapes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """K6: top-level keys that no table can hold side by side, since only their case differs."""
+    top = shapes.where(~F.col("path").contains(".")).withColumn("folded", F.lower("path"))
+    several = top.groupBy(*keys, "folded").agg(F.array_sort(F.collect_set("path")).alias("names"))
+    return several.where(F.size("names") > 1)
+
+
 def row_reasons(record: str, target: str) -> Column:
     """K9: why a table would refuse a row; an empty list means it fits.
 
@@ -104,17 +111,30 @@ def check_rows(records: DataFrame, targets: DataFrame, keys: Sequence[str] = ("s
 
 
 def dead_letters(
-    refused: DataFrame, rejected_at: Column, extra: Sequence[Column] = ()
+    refused: DataFrame,
+    rejected_at: Column,
+    extra: Sequence[Column] = (),
+    reason_bytes: int | None = None,
+    payload_bytes: int | None = None,
 ) -> DataFrame:
-    """Refused records as dead letters; the digest is of the whole payload."""
+    """Refused records as dead letters.
+
+    A letter is the only copy of its record left, so it is whole.  For a sink
+    with a row limit the two sizes cut reason and payload; the digest is of the
+    whole payload all the same.
+    """
     payload = canonical_json(F.col("record"))
+
+    def cut(text: Column, limit: int | None) -> Column:
+        return text if limit is None else cut_bytes(text, limit)
+
     known = "digest" in refused.columns
     return refused.select(
         "source_id",
         "run_id",
         rejected_at.alias("rejected_at"),
-        cut_bytes(F.array_join("reasons", "; "), MAX_REASON_BYTES).alias("reason"),
-        cut_bytes(payload, MAX_PAYLOAD_BYTES).alias("payload"),
+        cut(F.array_join("reasons", "; "), reason_bytes).alias("reason"),
+        cut(payload, payload_bytes).alias("payload"),
         F.col("digest") if known else digest(payload).alias("digest"),
         *extra,
     )

@@ -19,18 +19,31 @@ def resolve_bounds(specs: DataFrame, status: DataFrame, backfills: DataFrame) ->
     source, ``(source_id, request_id, from_value, to_value)``.  A backfill takes
     its range as given; otherwise the stored value, else the initial one.
     Without resume settings the run is a full pull.
+
+    Where ``specs`` has a ``run_id``, bounds are one row a run and requests are
+    ``backfills`` with ``run_id`` and ``kind``, of which ``trigger`` takes the
+    scheduled range.
     """
-    joined = specs.join(status.select("source_id", F.col("watermark").alias("stored")), "source_id", "left").join(
-        backfills.select("source_id", "request_id", "from_value", "to_value"), "source_id", "left"
+    by_run = "run_id" in specs.columns
+    keys = ["source_id", "run_id"] if by_run else ["source_id"]
+    asked = backfills.select(
+        *keys,
+        "request_id",
+        "from_value",
+        "to_value",
+        (F.col("kind") if by_run else F.lit("backfill")).alias("asked_kind"),
     )
+    joined = specs.join(
+        status.select("source_id", F.col("watermark").alias("stored")), "source_id", "left"
+    ).join(asked, keys, "left")
     wm = F.col("watermark")
     resumes = wm.isNotNull() & (F.coalesce(wm["record_field"], F.lit("")) != "")
-    is_backfill = F.col("request_id").isNotNull()
+    is_backfill = F.coalesce(F.col("asked_kind") == "backfill", F.lit(False))
     scheduled_from = F.coalesce(blank_to_null(F.col("stored")), blank_to_null(wm["initial_value"]))
     return joined.select(
-        "source_id",
-        F.when(is_backfill, "backfill").otherwise("scheduled").alias("kind"),
-        F.col("request_id").alias("backfill_id"),
+        *keys,
+        F.coalesce("asked_kind", F.lit("scheduled")).alias("kind"),
+        F.when(is_backfill, F.col("request_id")).alias("backfill_id"),
         F.when(resumes, wm["record_field"]).alias("record_field"),
         F.when(resumes, F.coalesce(wm["format"], F.lit(""))).alias("format"),
         F.when(
@@ -48,9 +61,9 @@ def range_predicate(key: Column, from_key: Column, to_key: Column) -> Column:
 
 
 def keyed_bounds(bounds: DataFrame) -> DataFrame:
-    """Bounds with their comparable keys, computed once a source instead of once a record."""
+    """Bounds with their comparable keys, computed once a source or run instead of once a record."""
     return bounds.select(
-        "source_id",
+        *[c for c in RUN if c in bounds.columns],
         "kind",
         "record_field",
         "format",
@@ -65,9 +78,9 @@ def mark_records(
     """Label each record ``rejected``, ``skipped`` or ``accepted``.
 
     Adds ``verdict``, ``resume_value`` and ``resume_key``.  ``bounds`` is one row
-    a source; ``known_fields`` lists its record fields when the caller has them.
+    a source or run; ``known_fields`` lists its record fields when the caller has them.
     """
-    joined = records.join(keyed_bounds(bounds), "source_id")
+    joined = records.join(keyed_bounds(bounds), [c for c in RUN if c in bounds.columns])
     field = dotted_get_any(F.col("record"), F.col("record_field"), known_fields)
     found = compute_once(joined, resume_field=F.when(F.col("record_field").isNotNull(), field))
     valued = compute_once(found, resume_value=scalar_text(F.col("resume_field")))

@@ -19,18 +19,19 @@ def walk_runs(facts: DataFrame) -> DataFrame:
     ``unsupported``         the pagination type is unknown
 
     Pages past the cap would never have been requested and are ignored, so the
-    only per-run collection here (page numbers) is bounded by ``max_pages``.
-    Everything else combines map-side.
+    only per-run collection here (page numbers) is bounded by ``max_pages``.  A
+    page number below 1 fails the run.  Everything else combines map-side.
     """
-    read = facts.where(F.col("page_no").between(1, F.col("max_pages")))
+    number = F.when(F.col("page_no").between(1, F.col("max_pages")), F.col("page_no"))
     has_error = F.col("page_error").isNotNull()
-    runs = read.groupBy(*RUN).agg(
+    runs = facts.groupBy(*RUN).agg(
         F.first("pagination_type").alias("pagination_type"),
         F.first("max_pages").alias("max_pages"),
-        F.min(F.when(F.col("terminal") & ~has_error, F.col("page_no"))).alias("stop_page"),
-        F.min(F.when(has_error, F.col("page_no"))).alias("error_page"),
-        F.min_by("page_error", F.when(has_error, F.col("page_no"))).alias("page_error"),
-        F.sort_array(F.collect_set("page_no")).alias("seen"),
+        F.min(F.when(F.col("terminal") & ~has_error, number)).alias("stop_page"),
+        F.min(F.when(has_error, number)).alias("error_page"),
+        F.min_by("page_error", F.when(has_error, number)).alias("page_error"),
+        F.sort_array(F.collect_set(number)).alias("seen"),
+        F.count_if(F.col("page_no") < 1).alias("strays"),
     )
     # Sorted distinct page numbers equal their position up to the first gap.
     reach = F.size(F.filter("seen", lambda p, i: p == i + 1))
@@ -39,7 +40,7 @@ def walk_runs(facts: DataFrame) -> DataFrame:
     supported = F.col("pagination_type").isin(*PAGINATION_TYPES)
     failed = (err <= F.col("reach")) & (stop.isNull() | (err < stop))
     status = (
-        F.when(F.coalesce(failed, F.lit(False)), "failed")
+        F.when((F.col("strays") > 0) | F.coalesce(failed, F.lit(False)), "failed")
         .when(~supported, "unsupported")
         .when(F.coalesce(stop <= F.col("reach"), F.lit(False)), "complete")
         .when(F.col("reach") >= F.col("max_pages"), "max_pages_exceeded")
@@ -49,12 +50,14 @@ def walk_runs(facts: DataFrame) -> DataFrame:
     is_status = lambda s: F.col("walk_status") == s
     end = (
         F.when(is_status("complete"), stop)
+        .when(F.col("strays") > 0, F.lit(0))
         .when(is_status("failed"), err - 1)
         .when(is_status("unsupported"), F.least(F.col("reach"), F.lit(1)))
         .otherwise(F.col("reach"))
     )
     error = (
-        F.when(is_status("failed"), F.col("page_error"))
+        F.when(F.col("strays") > 0, F.lit("page numbers start at 1"))
+        .when(is_status("failed"), F.col("page_error"))
         .when(
             is_status("unsupported"),
             F.format_string('unsupported pagination type "%s"', F.col("pagination_type")),
@@ -85,4 +88,6 @@ def keep_walked(pages: DataFrame, walks: DataFrame) -> DataFrame:
     while it fits, else sort-merges with skew splitting.
     """
     ends = walks.select(*RUN, "end_page")
-    return pages.join(ends, list(RUN)).where(F.col("page_no") <= F.col("end_page")).drop("end_page")
+    return pages.join(ends, list(RUN)).where(
+        F.col("page_no").between(1, F.col("end_page"))
+    ).drop("end_page")

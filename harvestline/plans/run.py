@@ -10,30 +10,31 @@ records, and the ledger last.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from harvestline.functions.text import canonical_json
-from harvestline.model import SHAPE_CHANGE
+from harvestline.model import REQUESTS, SHAPE_CHANGE
 from harvestline.operators import drift, landing, resume, shape, walk
 from harvestline.operators.ledger import failure_message
 from harvestline.operators.requestlog import page_outcomes, request_counts
 from harvestline.operators.specs import with_defaults, with_violations
-from harvestline.plans.staging import stage
-from harvestline.plans.store import Store
+from harvestline.operators.status import pending_requests
+from harvestline.plans.staging import Staging, stage
+from harvestline.plans.store import TABLE_COLUMNS, Store
 from harvestline.sources.pages import (
     decode_pages,
     explode_records,
+    one_answer,
     page_config,
     page_facts,
-    responses,
 )
 
 RUN = ["source_id", "run_id"]
-# Distinct resume fields spelled as constants; more than this are spelled per record.
-_KNOWN_FIELDS = 64
 _CONCURRENT_WRITES = 8
 
 
@@ -44,28 +45,73 @@ def table_name(destination: Column) -> Column:
     )
 
 
-def known_fields(bounds: DataFrame) -> list[str] | None:
-    """The resume fields in use, when there are few."""
-    found = (
-        bounds.where(F.col("record_field").isNotNull())
-        .select("record_field")
-        .distinct()
-        .limit(_KNOWN_FIELDS + 1)
-        .collect()
+def known_fields(bounds: DataFrame) -> list[str]:
+    """The resume fields the specs use: configuration, not data."""
+    found = bounds.where(F.col("record_field").isNotNull()).select("record_field").distinct()
+    return sorted(r[0] for r in found.collect())
+
+
+def checked_specs(specs: DataFrame) -> DataFrame:
+    """One row a source with its violations, those between sources among them."""
+    rest = [c for c in specs.columns if c != "source_id"]
+    once = specs.groupBy("source_id").agg(F.first(F.struct(*rest)).alias("row")).select(
+        "source_id", *[F.col(f"row.{c}").alias(c) for c in rest]
+    )
+    declared = specs.groupBy("source_id").agg(F.count("*").alias("declared"))
+    full = with_violations(with_defaults(once)).withColumn("table_name", table_name(F.col("destination")))
+    full = full.join(declared, "source_id")
+    ways = full.where(F.col("table_name").isNotNull()).groupBy("table_name").agg(
+        F.count_distinct(F.col("destination.write_disposition")).alias("ways")
+    )
+    more = F.array_compact(
+        F.array(
+            F.when(F.col("declared") > 1, F.lit("source: declared more than once")),
+            F.when(F.col("ways") > 1, F.lit("destination.write_disposition: the table's sources differ")),
+        )
     )
-    return [r[0] for r in found] if len(found) <= _KNOWN_FIELDS else None
+    return full.join(ways, "table_name", "left").withColumn(
+        "violations", F.array_sort(F.concat("violations", more))
+    ).drop("ways", "declared")
+
+
+def bound_requests(calls: DataFrame, requests: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Which request each run of this batch carries out, one at most.
+
+    A run with a request's own id is that request's.  A source none of whose runs
+    has one gives its first run its first pending request, backfills before
+    triggers; what else is asked of it waits for a later batch.
+    """
+    pending = pending_requests(requests, ledger)
+    exact = pending.join(calls.select(*RUN), RUN, "left_semi")
+    turn = F.struct("kind", "request_id")
+    waiting = (
+        pending.join(exact.select("source_id"), "source_id", "left_anti")
+        .groupBy("source_id")
+        .agg(F.min_by(F.struct("kind", "request_id", "from_value", "to_value"), turn).alias("r"))
+    )
+    first_run = calls.groupBy("source_id").agg(F.min("run_id").alias("run_id"))
+    loose = waiting.join(first_run, "source_id").select(*RUN, "r.*")
+    asked = exact.select(*RUN, "kind", "request_id", "from_value", "to_value").unionByName(loose)
+    # The same id asked for twice is one request.
+    return asked.groupBy(*RUN).agg(
+        F.min(F.struct("kind", "request_id", "from_value", "to_value")).alias("r")
+    ).select(*RUN, "r.*")
 
 
 def read_batch(
-    pages: DataFrame, specs: DataFrame, bounds: DataFrame, targets: DataFrame | None = None
+    pages: DataFrame,
+    specs: DataFrame,
+    bounds: DataFrame,
+    targets: DataFrame | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] = stage,
 ) -> tuple[DataFrame, DataFrame]:
     """Pass 1, and the plan of pass 2: staged walks, and every record read with its verdict.
 
     ``targets``: ``(source_id, target)`` column maps of tables that exist
     already; rows those would refuse are marked so.
     """
-    decoded = decode_pages(responses(pages), page_config(specs))
-    walks = stage(walk.walk_runs(page_facts(decoded)), "walks")
+    decoded = decode_pages(one_answer(pages, keep), page_config(specs))
+    walks = keep(walk.walk_runs(page_facts(decoded)), "walks")
     records = explode_records(walk.keep_walked(decoded, walks))
     marked = resume.mark_records(records, bounds, known_fields(bounds))
     if targets is None:
@@ -104,51 +150,74 @@ def run_batch(
     batch_id: str,
     now: datetime,
     dedupe: bool = True,
+    hold_open: bool = False,
 ) -> DataFrame:
     """Run every source that has pages in this batch; returns the ledger rows written.
 
     ``batch_id`` names the batch's content: one already in the ledger is not run
     again, and of any other the runs that have succeeded before are left out.
-    ``requests`` holds the backfills to run instead of the schedule, at most one
-    a source.
+    ``requests`` holds backfills and triggers; those not carried out before are
+    bound to this batch's runs, see ``bound_requests``.  With ``hold_open`` a run
+    whose pages end before its result set does is not failed but ``Running``: it
+    lands nothing, and is to be given again with all its pages.
     """
+    if not store.has_batch(batch_id):
+        keep = Staging(store.spark, f"batch-{batch_id}")
+        try:
+            _run(store, pages, specs, requests, batch_id, now, dedupe, hold_open, keep)
+        finally:
+            keep.clear()
+    return store.batch(batch_id)
+
+
+def _run(
+    store: Store,
+    pages: DataFrame,
+    specs: DataFrame,
+    requests: DataFrame | None,
+    batch_id: str,
+    now: datetime,
+    dedupe: bool,
+    hold_open: bool,
+    keep: Staging,
+) -> None:
     spark = store.spark
-    if store.has_batch(batch_id):
-        return store.ledger().where(F.col("batch_id") == batch_id)
     # One row a run of this batch, so the page bodies meet only a short list.
-    calls = stage(request_counts(pages), "calls")
-    done = store.ledger().where(F.col("result") == "Succeeded").select(*RUN)
-    calls = stage(calls.join(done, RUN, "left_anti"), "fresh")
+    times = pages.groupBy(*RUN).agg(F.min("requested_at").alias("first_request"))
+    calls = keep(request_counts(pages).join(times, RUN), "calls")
+    before = keep(
+        store.ledger().join(calls.select(*RUN), RUN, "left_semi").select(*RUN, "result", F.col("attempt").alias("tried")),
+        "before",
+    )
+    done = before.where(F.col("result") == "Succeeded").select(*RUN)
+    calls = keep(calls.join(done, RUN, "left_anti"), "fresh")
     pages = pages.join(calls.select(*RUN), RUN, "left_semi")
 
-    full = with_violations(with_defaults(specs))
-    full = stage(full.withColumn("table_name", table_name(F.col("destination"))), "specs")
+    full = keep(checked_specs(specs), "specs")
     valid = full.where(F.size("violations") == 0)
-    empty_requests = "source_id string, request_id string, from_value string, to_value string"
-    backfills = (
-        requests.where(F.col("kind") == "backfill")
-        if requests is not None
-        else spark.createDataFrame([], empty_requests)
-    )
-    bounds = stage(resume.resolve_bounds(valid, store.resume_points(), backfills), "bounds")
+    if requests is None:
+        requests = spark.createDataFrame([], REQUESTS)
+    asked = keep(bound_requests(calls, requests, store.ledger()), "requests")
+    runs_of_specs = valid.join(calls.select(*RUN), "source_id")
+    bounds = keep(resume.resolve_bounds(runs_of_specs, store.resume_points(), asked), "bounds")
 
     # Tables that exist refuse rows; a table made from this batch's shape fits them all.
-    existing = stage(store.columns(), "columns")
+    existing = keep(store.columns(), "columns")
     appending = valid.where(
         (F.col("destination.write_disposition") == "Append") & F.col("table_name").isNotNull()
     )
-    targets = stage(
+    targets = keep(
         appending.select("source_id", "table_name").join(
             landing.column_maps(existing, ["table_name"]), "table_name"
         ).select("source_id", "target"),
         "targets",
     )
-    walks, marked = read_batch(pages, valid, bounds, targets)
-    marked = stage(landing.with_digest(marked), "records")
-    profile = stage(shape.profile_runs(marked), "profile")
+    walks, marked = read_batch(pages, valid, bounds, targets, keep)
+    marked = keep(landing.with_digest(marked), "records")
+    profile = keep(shape.profile_runs(marked), "profile")
 
     seen = profile.where(F.col("verdict").isin("accepted", "refused"))
-    shapes = stage(shape.merge_shapes(seen), "shapes")
+    shapes = keep(shape.merge_shapes(seen), "shapes")
     verdicts = drift.judge(
         drift.shape_diff(shapes, store.accepted_shape()), drift.policies(valid)
     )
@@ -158,7 +227,8 @@ def run_batch(
     runs = (
         calls
         .join(full.select("source_id", "table_name", "destination", "violations"), "source_id")
-        .join(bounds.select("source_id", "kind", "backfill_id"), "source_id", "left")
+        .join(bounds.select(*RUN, "kind", "backfill_id"), RUN, "left")
+        .join(before.select(*RUN, "tried"), RUN, "left")
         .join(fetch_errors(pages), RUN, "left")
         .join(walks.select(*RUN, "walk_status", "walk_error"), RUN, "left")
         .join(shape.summarise(profile), RUN, "left")
@@ -171,6 +241,7 @@ def run_batch(
             "left",
         )
         .join(exists, "table_name", "left")
+        .join(_clashes(shapes, full, exists), RUN, "left")
     )
     zero = F.lit(0).cast("bigint")
     count = lambda c: F.coalesce(F.col(c), zero)
@@ -180,6 +251,10 @@ def run_batch(
         & ~F.col("destination.create_if_missing")
         & (count("rows_accepted") > 0)
     )
+    waits = F.lit(hold_open) & (F.size("violations") == 0) & F.col("fetch_error").isNull() & (
+        F.coalesce(F.col("walk_status"), F.lit("truncated")) == "truncated"
+    )
+    # What a failed run says.
     error = F.coalesce(
         F.when(F.size("violations") > 0, F.array_join("violations", "; ")),
         F.col("fetch_error"),
@@ -194,58 +269,89 @@ def run_batch(
                 F.lit(" does not exist and createIfMissing is false"),
             ),
         ),
+        F.concat(F.lit("columns differ only in case: "), F.col("clash")),
+    )
+    # End of fixed values.
+    outcome = keep(
+        runs.withColumn("waits", waits).withColumn("error", F.when(~F.col("waits"), error)), "verdicts"
     )
-    lists = [F.col(name) for name in SHAPE_CHANGE.fieldNames()]
+    writable = outcome.where(
+        ~F.col("waits") & F.col("error").isNull() & (count("rows_accepted") > 0)
+    ).select(*RUN, "table_name")
+    rows = marked.where(F.col("verdict") == "accepted").join(writable, RUN)
+    if dedupe:
+        rows = _without_copies(rows, keep)
+    broken = _write_tables(store, rows, writable, shapes, full, existing, batch_id, keep)
+    _write_ndjson(store, rows, writable)
+
+    if broken:
+        told = F.lit(None).cast("string")
+        for name, text in broken.items():
+            told = F.when(F.col("table_name") == name, F.lit(text)).otherwise(told)
+        took_part = count("rows_accepted") > 0
+        outcome = outcome.withColumn(
+            "error", F.coalesce("error", F.when(~F.col("waits") & took_part, told))
+        )
     reported = ~F.coalesce(F.col("unchanged"), F.lit(True))
     change = F.when(reported, F.struct(*SHAPE_CHANGE.fieldNames()))
-    ok = F.col("error").isNull()
-    outcome = stage(
-        runs.withColumn("error", error).select(
+    waiting, ok = F.col("waits"), F.col("error").isNull() & ~F.col("waits")
+    outcome = keep(
+        outcome.select(
             *RUN,
-            F.lit(1).alias("attempt"),
+            (F.coalesce("tried", F.lit(0)) + 1).alias("attempt"),
             F.coalesce("kind", F.lit("scheduled")).alias("kind"),
             "backfill_id",
             F.lit(now).alias("created_at"),
-            F.lit(now).alias("started_at"),
-            F.lit(now).alias("completed_at"),
-            F.when(ok, "Succeeded").otherwise("Failed").alias("result"),
+            F.coalesce("first_request", F.lit(now)).alias("started_at"),
+            F.when(ok, F.lit(now)).alias("completed_at"),
+            F.when(waiting, "Running").when(ok, "Succeeded").otherwise("Failed").alias("result"),
             F.when(ok, count("rows_accepted")).otherwise(0).alias("rows_ingested"),
-            (count("rows_rejected") + F.when(ok, count("rows_refused")).otherwise(0)).alias(
-                "rows_rejected"
-            ),
-            count("rows_skipped").alias("rows_skipped"),
+            F.when(waiting, 0)
+            .otherwise(count("rows_rejected") + F.when(ok, count("rows_refused")).otherwise(0))
+            .alias("rows_rejected"),
+            F.when(waiting, 0).otherwise(count("rows_skipped")).alias("rows_skipped"),
             "request_count",
-            F.col("high_water").alias("watermark"),
-            "schema_fingerprint",
-            change.alias("schema_change"),
+            F.when(~waiting, F.col("high_water")).alias("watermark"),
+            F.when(~waiting, F.col("schema_fingerprint")).alias("schema_fingerprint"),
+            F.when(~waiting, change).alias("schema_change"),
             "error",
-            failure_message(
-                F.col("error"), change, F.lit(None).cast("string"), F.lit(None).cast("string"), ~ok
+            F.when(
+                ~waiting,
+                failure_message(
+                    F.col("error"), change, F.lit(None).cast("string"), F.lit(None).cast("string"), ~ok
+                ),
             ).alias("message"),
             "table_name",
             F.lit(batch_id).alias("batch_id"),
         ),
         "outcome",
     )
-
-    writable = outcome.where(
-        (F.col("result") == "Succeeded") & (F.col("rows_ingested") > 0)
-    ).select(*RUN, "table_name")
-    rows = marked.where(F.col("verdict") == "accepted").join(writable, RUN)
-    if dedupe:
-        rows = _without_copies(rows)
-    _write_tables(store, rows, writable, shapes, full, existing, batch_id)
-    _write_ndjson(store, rows, writable)
     _write_dead_letters(store, marked, outcome, full, now, batch_id)
-    store.append_shapes(shapes.withColumn("batch_id", F.lit(batch_id)))
+    over = outcome.where(F.col("result") != "Running").select(*RUN)
+    store.append_shapes(shapes.join(over, RUN, "left_semi").withColumn("batch_id", F.lit(batch_id)))
     store.append_runs(outcome)
-    return outcome
 
 
-def _without_copies(rows: DataFrame) -> DataFrame:
+def _clashes(shapes: DataFrame, specs: DataFrame, exists: DataFrame) -> DataFrame:
+    """K6: runs that bring keys to a table to be made which differ only in case, from whichever run."""
+    tables = specs.where(F.col("table_name").isNotNull()).select(
+        "source_id", "table_name", F.col("destination.write_disposition").alias("way")
+    )
+    made = tables.join(exists, "table_name", "left").where(
+        F.col("table_exists").isNull() | (F.col("way") == "Truncate")
+    )
+    brought = shapes.join(made.select("source_id", "table_name"), "source_id")
+    names = landing.clashing_names(brought, ["table_name"])
+    mine = brought.select(*RUN, "table_name", "path").withColumn("folded", F.lower("path"))
+    return mine.join(names, ["table_name", "folded"]).groupBy(*RUN).agg(
+        F.min(F.array_join("names", ", ")).alias("clash")
+    )
+
+
+def _without_copies(rows: DataFrame, keep: Staging) -> DataFrame:
     """Copies of a record within a run collapse; only digests are shuffled to find them."""
     index = landing.digest_index(rows, RUN)
-    repeated = stage(index.where(F.col("copies") > 1), "copies")
+    repeated = keep(index.where(F.col("copies") > 1), "copies")
     return landing.first_copies(rows, repeated, RUN)
 
 
@@ -257,11 +363,12 @@ def _write_tables(
     specs: DataFrame,
     existing: DataFrame,
     batch_id: str,
-) -> None:
-    """One write per destination table that has rows.
+    keep: Staging,
+) -> dict[str, str]:
+    """One write per destination table that has rows; gives the tables that failed, and why.
 
-    What is collected is the column list of those tables, bounded by what was
-    declared, not by the data.
+    What is collected is the column list of those tables: as many names as the
+    tables have columns.  A table that can't be written fails its own runs only.
     """
     disposition = F.col("destination.write_disposition")
     active = writable.where(F.col("table_name").isNotNull()).join(
@@ -283,7 +390,7 @@ def _write_tables(
     new = fresh.join(old.select("table_name").distinct(), "table_name", "left_anti").select(
         "table_name", F.lit(f"v-{batch_id}").alias("version"), "column_name", "landing_type"
     )
-    new = stage(new.withColumn("batch_id", F.lit(batch_id)), "new_columns")
+    new = keep(new.withColumn("batch_id", F.lit(batch_id)), "new_columns")
     layout = (
         old.unionByName(new.drop("batch_id"))
         .groupBy("table_name", "version")
@@ -292,7 +399,7 @@ def _write_tables(
         .collect()
     )
 
-    def write_one(table: Row) -> None:
+    def write_one(table: Row) -> tuple[str, str] | None:
         columns = [(c["column_name"], c["landing_type"]) for c in table["columns"]]
         mine = rows.where(F.col("source_id").isin(table["sources"])).select(
             F.col("source_id").alias("_source_id"),
@@ -300,16 +407,23 @@ def _write_tables(
             F.col("digest").alias("_digest"),
             "record",
         )
-        typed = landing.typed_rows(mine, columns, ["_source_id", "_run_id", "_digest"])
-        typed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "_source_id", "_run_id"
-        ).parquet(store.table_path(table["table_name"], table["version"]))
+        typed = landing.typed_rows(mine, columns, list(TABLE_COLUMNS))
+        # Rows of a run meet in few files; a hot run is split again by size.
+        typed = typed.hint("rebalance", "_source_id", "_run_id")
+        try:
+            typed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+                "_source_id", "_run_id"
+            ).parquet(store.table_path(table["table_name"], table["version"]))
+        except PySparkException as failed:
+            return table["table_name"], f"write {table['table_name']}: {failed.getCondition() or failed}"
 
     # Tables are independent jobs; a few at a time keep the cluster busy through their tails.
     with ThreadPoolExecutor(_CONCURRENT_WRITES) as pool:
-        list(pool.map(write_one, layout))
+        broken = dict(filter(None, pool.map(write_one, layout)))
     if layout:
-        store.append_columns(new)
+        good = new.where(~F.col("table_name").isin(list(broken))) if broken else new
+        store.append_columns(good)
+    return broken
 
 
 def _write_ndjson(store: Store, rows: DataFrame, writable: DataFrame) -> None:

@@ -29,7 +29,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a result once and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return _written(df, f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Staging:
+    """Stages tables under one folder, deleted as a whole when the job is done."""
+
+    def __init__(self, spark: SparkSession, job: str) -> None:
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        self.count += 1
+        return _written(df, f"{self.folder}/{self.count}-{label}")
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -12,9 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
-from harvestline.model import DEAD_LETTERS, RUNS
+from harvestline.model import DEAD_LETTERS, PAGES, RUNS
+from harvestline.operators.landing import landed_name
 from harvestline.operators.ledger import fold_runs, latest_attempt, run_order
 
+_LANDED = {"string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
 _BATCH = T.StructField("batch_id", T.StringType())
 LEDGER = T.StructType([*RUNS.fields, T.StructField("table_name", T.StringType()), _BATCH])
 SHAPES = T.StructType(
@@ -35,6 +37,8 @@ COLUMNS = T.StructType(
         _BATCH,
     ]
 )
+# What a table has beside its records' columns.
+TABLE_COLUMNS = ("_source_id", "_run_id", "_digest")
 DEAD = T.StructType([*DEAD_LETTERS.fields, T.StructField("table_name", T.StringType()), _BATCH])
 
 
@@ -71,6 +75,10 @@ class Store:
     def has_batch(self, batch_id: str) -> bool:
         return not self._read("runs", LEDGER).where(F.col("batch_id") == batch_id).isEmpty()
 
+    def batch(self, batch_id: str) -> DataFrame:
+        """The runs of one batch, as it recorded them."""
+        return self._read("runs", LEDGER).where(F.col("batch_id") == batch_id)
+
     def append_shapes(self, shapes: DataFrame) -> None:
         self._write(shapes, "shapes", SHAPES)
 
@@ -120,11 +128,20 @@ class Store:
 
     def read_table(self, table_name: str) -> DataFrame:
         """Rows of a table's current version, those of committed runs only."""
-        versions = self.columns().where(F.col("table_name") == table_name).select("version").distinct()
-        version = versions.head()
-        if version is None:
+        columns = self.columns().where(F.col("table_name") == table_name).sort("column_name").collect()
+        if not columns:
             raise ValueError(f"table {table_name} does not exist")
-        rows = self.spark.read.parquet(self.table_path(table_name, version[0]))
+        # Ids are text even where they look like numbers or dates.
+        kinds = [(landed_name(c["column_name"], TABLE_COLUMNS), c["landing_type"]) for c in columns]
+        schema = T.StructType(
+            [
+                T.StructField("_digest", T.StringType()),
+                *[T.StructField(name, _LANDED[kind]) for name, kind in kinds],
+                T.StructField("_source_id", T.StringType()),
+                T.StructField("_run_id", T.StringType()),
+            ]
+        )
+        rows = self.spark.read.schema(schema).parquet(self.table_path(table_name, columns[0]["version"]))
         done = self.ledger().where(F.col("result") == "Succeeded").select(
             F.col("source_id").alias("_source_id"), F.col("run_id").alias("_run_id")
         )
@@ -143,4 +160,21 @@ class Store:
         self._write(letters, "dead_letters", DEAD)
 
     def dead_letters(self) -> DataFrame:
-        return self._read("dead_letters", DEAD)
+        """Refused records of committed runs, each by the batch that committed it."""
+        done = self.ledger().where(F.col("result") == "Succeeded").select("source_id", "run_id", "batch_id")
+        letters = self._read("dead_letters", DEAD)
+        return letters.join(done, ["source_id", "run_id", "batch_id"], "left_semi").select(
+            *[f.name for f in DEAD.fields]
+        )
+
+    def open_pages(self, label: str) -> DataFrame | None:
+        """Pages of runs that were still open after the batch of that name."""
+        try:
+            return self.spark.read.schema(PAGES).parquet(self._path(f"open_pages/{label}"))
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def write_open_pages(self, pages: DataFrame, label: str) -> None:
+        pages.select(*PAGES.fieldNames()).write.mode("overwrite").parquet(self._path(f"open_pages/{label}"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from harvestline.functions.once import compute_once
 from harvestline.functions.variants import dotted_get, dotted_text, is_array, has_element, kind_sql, parse_body
@@ -15,6 +15,7 @@ from harvestline.model import (
     MAX_RESPONSE_BYTES,
     PAGES,
 )
+from harvestline.plans.staging import stage
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -50,10 +51,28 @@ def page_config(specs: DataFrame) -> DataFrame:
 
 
 def responses(pages: DataFrame) -> DataFrame:
-    """The answered request of each page; retries that were refused carry no document."""
+    """The answered requests; retries that were refused carry no document."""
     return pages.where(F.col("status") < 300)
 
 
+def one_answer(pages: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = stage) -> DataFrame:
+    """One answer a page, however often it was fetched or delivered: the last attempt's.
+
+    Only page keys are counted; the bodies of pages with one answer stay where
+    they are, and those of the others alone are shuffled to pick one.
+    """
+    page = ["source_id", "run_id", "page_no"]
+    answered = responses(pages)
+    several = keep(answered.groupBy(*page).count().where("count > 1").select(*page), "answers")
+    if several.isEmpty():
+        return answered
+    last = Window.partitionBy(*page).orderBy(
+        F.desc_nulls_last("attempt"), F.desc_nulls_last("requested_at"), F.xxhash64("body"), "body"
+    )
+    picked = answered.join(several, page, "left_semi").withColumn("k", F.row_number().over(last)).where("k = 1")
+    return answered.join(several, page, "left_anti").unionByName(picked.drop("k"))
+
+
 def decode_pages(pages: DataFrame, config: DataFrame) -> DataFrame:
     """Parse each body once and find its record array.
 

@@ -1,7 +1,9 @@
 """The same batch plan over newly landed pages.
 
-A fetcher commits the pages of a run together, so a micro-batch holds whole
-runs; a run cut short is recorded as failed and its resume point does not move.
+A run's pages may arrive over any number of micro-batches.  A run whose pages
+don't reach the end of its result set yet is recorded as ``Running`` and its pages
+are carried to the next epoch; it lands when the rest has come.  What an epoch
+reads is its own files and the open runs' pages, however old the zone is.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ def ingest_stream(
     pages: DataFrame,
     specs: DataFrame,
     checkpoint: str,
+    requests: DataFrame | None = None,
     *,
     name: str = "ingest",
     now: datetime | None = None,
@@ -38,7 +41,13 @@ def ingest_stream(
         at = now or datetime.now(timezone.utc)
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         batch_id = f"{name}-{query}-{epoch}"
-        run_batch(store, batch, specs, batch_id=batch_id, now=at, dedupe=dedupe)
+        earlier = store.open_pages(f"{name}-{query}-{epoch - 1}")
+        pages = batch if earlier is None else batch.unionByName(earlier)
+        outcome = run_batch(
+            store, pages, specs, requests, batch_id=batch_id, now=at, dedupe=dedupe, hold_open=True
+        )
+        still = outcome.where(F.col("result") == "Running").select("source_id", "run_id")
+        store.write_open_pages(pages.join(still, ["source_id", "run_id"], "left_semi"), batch_id)
 
     return (
         pages.writeStream.queryName(name)
