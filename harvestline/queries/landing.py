@@ -126,11 +126,12 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     "byte_limits",
     """SELECT doc_id, octet_length(encode(text)) AS bytes,
       octet_length(encode(text)) > 4096 AS cut,
-      CASE WHEN octet_length(encode(text)) <= 4096 THEN sha256(text) END AS digest
+      CASE WHEN octet_length(encode(text)) <= 4096 THEN sha256(text)
+        WHEN octet_length(encode(text)) = length(text) THEN sha256(left(text, 4096)) END AS digest
     FROM documents""",
 )
 def byte_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole multi-byte texts against the reason limit; uncut ones come back unchanged."""
+    """Whole multi-byte texts against a limit of 4096 bytes: digests of the uncut and of cut ASCII ones."""
     docs = inputs.table(spark, sf_dir, "documents")
     kept = cut_bytes(F.col("text"), 4096)
     # A cut text mends at most one character, which may grow it by two bytes.
@@ -139,7 +140,7 @@ def byte_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         whole.cast("bigint").alias("bytes"),
         ((whole > 4096) & F.octet_length(kept).between(4096 - 3, 4096 + 2)).alias("cut"),
-        F.when(whole <= 4096, F.sha2(kept, 256)).alias("digest"),
+        F.when((whole <= 4096) | (whole == F.char_length("text")), F.sha2(kept, 256)).alias("digest"),
     )
 
 
@@ -178,13 +179,13 @@ def digest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @BOOK.add(
     "redelivered",
     f"""WITH {inputs.EVENTS_CTE}
-    SELECT source_id, sha256(record) AS digest FROM ev WHERE event_id % 5000 >= 2500
-    GROUP BY source_id, sha256(record)""",
+    SELECT source_id, sha256(record) AS digest FROM ev
+    GROUP BY source_id, sha256(record) HAVING max((record_pos % 2 = 0)::INT) = 0""",
 )
 def redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records whose digest the target does not hold yet; it holds the first half of every run."""
+    """Records whose digest the target does not hold yet; it holds every other record of each page."""
     digested = landing.with_digest(walked_event_records(spark, sf_dir))
-    landed = digested.where(F.col("page_no") <= 10).select("source_id", "digest")
+    landed = digested.where(F.col("record_pos") % 2 == 0).select("source_id", "digest")
     index = landing.digest_index(digested)
     here = stage(landed.join(index.select("source_id", "digest"), ["source_id", "digest"], "left_semi"), "landed")
     fresh = landing.not_landed(digested, here)
@@ -279,3 +280,30 @@ def batch_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "watermark",
         "schema_fingerprint",
     )
+
+
+@BOOK.add(
+    "table_rows",
+    f"""WITH {inputs.EVENTS_CTE}
+    SELECT CAST(hash_id AS VARCHAR) AS source_id, '2026-01-' || substr(run_id, 6, 2) AS run_id,
+      CAST(event_id AS DOUBLE) AS id, source_id AS kind, sha256(record) AS digest
+    FROM ev JOIN (SELECT DISTINCT source_id AS s, '00' || length(source_id) || ascii(source_id) AS hash_id FROM ev)
+      ON s = source_id WHERE is_object""",
+)
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows read back from one table whose source ids look like numbers and run ids like dates."""
+    store = _fresh_store(spark)
+    name = F.concat(F.lit("00"), F.length("source_id").cast("string"), F.ascii("source_id").cast("string"))
+    run = F.concat(F.lit("2026-01-"), F.substring("run_id", 6, 2))
+    pages = inputs.event_pages(spark, sf_dir).withColumns({"source_id": name, "run_id": run})
+    specs = inputs.event_specs(
+        spark,
+        sf_dir,
+        watermark="NULL",
+        drift="'Ignore'",
+        destination="named_struct('type', 'BigQuery', 'project', 'p', 'dataset', 'd', 'table', 'all_events')",
+    ).withColumn("source_id", name)
+    run_batch(store, pages, specs, batch_id="b1", now=datetime(2024, 2, 1), dedupe=False)
+    return store.read_table("d.all_events").select(
+        F.col("_source_id").alias("source_id"), F.col("_run_id").alias("run_id"), "id", "kind", F.col("_digest").alias("digest")
+    )

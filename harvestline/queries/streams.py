@@ -55,6 +55,29 @@ def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.ledger().select("source_id", "run_id", "rows_ingested", "rows_skipped")
 
 
+@BOOK.add(
+    "stream_split_runs",
+    f"""WITH {inputs.EVENTS_CTE}
+    SELECT source_id, run_id, 'Succeeded' AS result, CAST(count(*) FILTER (is_object) AS BIGINT) AS rows_ingested,
+      count(*) FILTER (is_object) AS rows_landed
+    FROM ev GROUP BY source_id, run_id""",
+)
+def stream_split_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run's pages land in three files, last ones first, one of them twice; a micro-batch takes one file."""
+    pages = inputs.event_pages(spark, sf_dir)
+    zone, state = _folder(spark, "zone"), _folder(spark, "progress")
+    store = Store(spark, _folder(spark, "store"))
+    specs = inputs.event_specs(spark, sf_dir, watermark="NULL")
+    for part in (2, 1, 0, 1):
+        pages.where(F.col("page_no") % 3 == part).coalesce(1).write.mode("append").parquet(zone)
+    stream = read_page_stream(spark, zone, files_per_batch=1)
+    ingest_stream(store, stream, specs, state, now=datetime(2024, 2, 1), dedupe=False).awaitTermination()
+    landed = store.read_ndjson().groupBy(F.col("_source_id").alias("source_id"), F.col("_run_id").alias("run_id"))
+    return store.ledger().select("source_id", "run_id", "result", "rows_ingested").join(
+        landed.agg(F.count("*").alias("rows_landed")), ["source_id", "run_id"]
+    )
+
+
 @BOOK.add(
     "stream_dedup",
     f"""WITH {inputs.EVENTS_CTE} SELECT source_id, count(DISTINCT record) AS records
