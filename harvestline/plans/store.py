@@ -66,8 +66,8 @@ class Store:
         )
 
     def ledger(self) -> DataFrame:
-        """L1: every run, the latest attempt of each."""
-        return latest_attempt(self._read("runs", LEDGER))
+        """L1: every run, the latest attempt of each; batches number a run's attempts."""
+        return latest_attempt(self._read("runs", LEDGER), F.struct("attempt", "created_at"))
 
     def append_runs(self, runs: DataFrame) -> None:
         self._write(runs, "runs", LEDGER)
