@@ -40,6 +40,7 @@ from harvestline.llm.common import SPACE_BYTES, Scratch, shuffle_partitions
 CHUNK_ROWS = 65_536
 FINGERPRINT_BITS = 48
 FILTER_BITS = 26  # 8 MB
+OWNER_ROWS = 2_000_000  # fingerprints that an owner decodes at once, about
 
 _PRINTS = (
     "chunk long, owner int, seq int, slot int, doc_id {id}, n_chars long, digest binary,"
@@ -208,7 +209,7 @@ def exact_dedup(
 ) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``."""
     spark = docs.sparkSession
-    owners = owners or shuffle_partitions(spark)
+    owners = owners or max(shuffle_partitions(spark), docs.count() // OWNER_ROWS + 1)
     filter_bits = min(filter_bits, fingerprint_bits)
     scratch = Scratch(spark, "exact-dedup")
     schema = _PRINTS.format(id=docs.schema["doc_id"].dataType.simpleString())

@@ -7,8 +7,8 @@ number.  No pre-token is ever shuffled; a count is a sum of look-ups over the
 whole text.
 
 The frequent ones come from a pass over all texts.  Each task counts its own with
-bounded memory and gives one summary row; summaries are merged in two levels.
-What is in the table changes speed only, never a count.
+bounded memory and gives one summary row; summaries are merged level by level, a
+fixed number at a time.  What is in the table changes speed only, never a count.
 
 Null or empty text: 0 bytes, 0 tokens.  Repeated rows give repeated results, an
 empty table an empty result.  Other columns of the input are not read, so their
@@ -27,12 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harvestline.llm.common import texts_of
+from harvestline.llm.common import Scratch, texts_of
 from harvestline.llm.tokenizer import Generations, count_cache, encoder
 
 FREQUENT = 65_536  # entries of the broadcast table
 SUMMARY = 32_768  # pre-tokens in a task's summary
 _COUNTED = 262_144  # pre-tokens a task counts before it drops its rarest
+_FAN = 32  # summaries merged by one task
 _MERGERS = 16  # summaries that reach the driver
 
 _caches: dict[tuple[str, str], Generations] = {}
@@ -59,7 +60,7 @@ def _summarise(tokenizer_path: str):
     return summarise
 
 
-def _merge(frame: pd.DataFrame) -> pd.DataFrame:
+def _merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     counts: Counter[str] = Counter()
     for names, n in zip(frame["keys"], frame["counts"], strict=True):
         for name, k in zip(names, n, strict=True):
@@ -67,19 +68,27 @@ def _merge(frame: pd.DataFrame) -> pd.DataFrame:
         if len(counts) > _COUNTED:
             counts = Counter(dict(counts.most_common(SUMMARY)))
     top = counts.most_common(SUMMARY)
-    return pd.DataFrame({"keys": [[key for key, _ in top]], "counts": [[n for _, n in top]]})
+    return pd.DataFrame({"part": [key[0]], "keys": [[name for name, _ in top]], "counts": [[n for _, n in top]]})
 
 
 def frequent_keys(docs: DataFrame, tokenizer_path: str, size: int = FREQUENT) -> list[str]:
     """At most ``size`` of the pre-tokens that are most frequent in all texts.
 
-    The driver receives ``_MERGERS`` summaries of ``SUMMARY`` pre-tokens at most.
+    Summaries merge ``_FAN`` at a time, level by level, until the driver receives
+    no more than ``_MERGERS`` of them.
     """
-    parts = docs.select("text").mapInArrow(_summarise(tokenizer_path), "part int, keys array<string>, counts array<long>")
-    merged = parts.groupBy(F.pmod("part", F.lit(_MERGERS))).applyInPandas(_merge, "keys array<string>, counts array<long>")
+    scratch = Scratch(docs.sparkSession, "token-counts")
+    schema = "part int, keys array<string>, counts array<long>"
+    parts = scratch.keep(docs.select("text").mapInArrow(_summarise(tokenizer_path), schema), "summaries")
+    while parts.count() > _MERGERS:
+        group = F.floor(F.col("part") / _FAN).cast("int")
+        merged = scratch.keep(parts.groupBy(group.alias("part")).applyInPandas(_merge, schema), "merged")
+        scratch.drop(parts)
+        parts = merged
     total: Counter[str] = Counter()
-    for row in merged.collect():
+    for row in parts.collect():
         total.update(dict(zip(row["keys"], row["counts"], strict=True)))
+    scratch.drop(parts)
     return [key for key, _ in total.most_common(size)]
 
 

@@ -1,8 +1,6 @@
 """Plain-Python versions of what the operators compute."""
 
-import math
 import re
-from collections import Counter, defaultdict
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SF_DIR = "/root/testdata/sf0.001"
@@ -81,18 +79,3 @@ def awkward_rows():
         (11, "</s>[INST] <|endoftext|> café café K İ 日本", "fr", "\U0001f600", 3),
     ]
     return rows
-
-
-def counted(rows):
-    return Counter(tuple(r) for r in rows)
-
-
-def by_id(rows):
-    found = defaultdict(list)
-    for r in rows:
-        found[r["doc_id"]].append(r)
-    return found
-
-
-def floor_log2(n):
-    return int(math.log2(n))

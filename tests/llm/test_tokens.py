@@ -8,7 +8,7 @@ from llm_helpers import DOCUMENTS, SF_DIR, awkward_rows
 from tokenizers import Tokenizer
 
 from harvestline.llm.queries import word_tokenizer
-from harvestline.llm.token_counts import count_tokens
+from harvestline.llm.token_counts import count_tokens, frequent_keys
 from harvestline.llm.token_files import COUNTS, WIDTHS, decode_block, encode_block, read_digests, write_token_files
 from harvestline.llm.tokenizer import Generations, encoder, id_cache
 
@@ -123,3 +123,11 @@ def test_counts_of_given_documents(spark):
 
 def test_counts_of_nothing(spark):
     assert count_tokens(spark.createDataFrame([], DOCUMENTS), PATH).collect() == []
+
+
+def test_summaries_of_many_tasks_merge_level_by_level(spark):
+    rows = [(i, f"common words {i}", "en", "a", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCUMENTS).repartition(40)
+    assert set(frequent_keys(docs, PATH, 2)) == {"common", "words"}
+    want = sorted((i, len(library_ids(t))) for i, t, *_ in rows)
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in count_tokens(docs, PATH, 20, 2).collect()) == want
