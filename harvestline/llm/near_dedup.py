@@ -10,12 +10,15 @@
    of equal bits, must be within five standard errors of the threshold.
 4. Candidates are confirmed on their full sets.
 
-No group is spelled out in pairs.  In a bucket each node is first compared to the
-bucket's leader only, its most similar leader over all bands first.  Links make
-components (alternating large and small stars).  What is left are pairs in one
-bucket but in different components; those, and only those, are compared one by
-one, each in its first common band, so no link that a band shows is lost.  With
-four rows a band, a pair at similarity 0.8 misses all bands once in 2 * 10**7.
+No group is spelled out in pairs.  A node is compared to its bucket's leader, the
+most similar leader over all bands; then, if it is not in the largest component
+of a bucket, to one random node of that, another in each band and round.  Links make
+components (alternating large and small stars).  What is then still outside is
+compared to all other components of its buckets, but for pairs that can't be
+linked: a shingle that no other set has is in no intersection, and of each class
+of shingles an intersection has no more than the smaller count, which rules out
+most copies with edits of their own.  So no link that a band shows is lost.
+With four rows a band, a pair at similarity 0.8 misses all bands once in 2 * 10**7.
 
 A document without words or text has no shingles and is linked with nothing.
 With fewer words than a shingle has, the whole sequence is the only one.  A null
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,8 @@ from harvestline.llm.common import SPACE_BYTES, Scratch
 HASHES, BANDS, BITS = 128, 32, 2
 ROWS = HASHES // BANDS
 FILTER_BITS = 26
+CLASSES = 24  # of shingles, to bound intersections by
+ROUNDS = 1  # of random partners before what is left is compared one by one
 _SEGMENT = 4 << 20  # bytes hashed at a time
 _BLOCK = 8192  # shingles taken through the minima at a time
 
@@ -199,15 +205,15 @@ def _wanted_sets(k: int, shared):
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            found: dict[bytes, bytes] = {}
+            found: dict[bytes, np.ndarray] = {}
             for shingles in shingle_sets(_bytes(batch.column(0)), k):
                 if len(shingles):
                     node = _digest(shingles)
                     at = int.from_bytes(node[:8]) >> (64 - FILTER_BITS)
                     if wanted[at >> 3] >> (at & 7) & 1:
-                        found[node] = shingles.tobytes()
+                        found[node] = shingles.view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["node", "shingles"]
+                [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["node", "shingles"]
             )
 
     return fetch
@@ -218,10 +224,10 @@ def _confirm(least: int, of: int):
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (batch.column(k).to_pylist() for k in (2, 3))
+            left, right = batch.column(2), batch.column(3)
             keep = []
-            for i, (a, b) in enumerate(zip(left, right, strict=True)):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for i in range(batch.num_rows):
+                a, b = (side[i].values.to_numpy() for side in (left, right))
                 both = np.intersect1d(a, b, assume_unique=True).size
                 if of * both >= least * (len(a) + len(b) - both):
                     keep.append(i)
@@ -303,6 +309,37 @@ def _filter_bytes(nodes: DataFrame) -> bytes:
     return bytes(area)
 
 
+def _within_reach(nodes: DataFrame) -> DataFrame:
+    """``node, size, shared, spread``: a set's size, and how many of its shingles another of these sets has too.
+
+    ``spread`` counts the shared ones by class (their hash modulo ``CLASSES``).
+    """
+    tokens = nodes.select("node", F.explode("shingles").alias("token"))
+    seen = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    of_class = (
+        tokens.join(seen.filter("n > 1"), "token")
+        .groupBy("node", F.pmod("token", F.lit(CLASSES)).cast("int").alias("c"))
+        .agg(F.count("*").cast("int").alias("n"))
+    )
+    counts = of_class.groupBy("node").agg(
+        F.sum("n").alias("shared"), F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("by_class")
+    )
+    spread = F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda c: F.coalesce(F.col("by_class")[c], F.lit(0)))
+    return nodes.select("node", F.size("shingles").alias("size")).join(
+        counts.select("node", "shared", spread.alias("spread")), "node"
+    )
+
+
+def _rooted(members: DataFrame, roots: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Members with their root, and of each bucket with several roots the largest and one node of it, at random."""
+    rooted = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    each = rooted.groupBy("key", "root").agg(
+        F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("one")
+    )
+    top = each.groupBy("key").agg(F.max(F.struct("n", "root", "one")).alias("top"), F.count("*").alias("roots"))
+    return rooted, top.filter("roots > 1").select("key", F.col("top.root").alias("main"), F.col("top.one").alias("one"))
+
+
 def near_groups(docs: DataFrame, k: int = 5, least: int = 80, of: int = 100, key: str = "doc_id") -> DataFrame:
     """``row`` (the ``key`` column), ``n_shingles``, ``group``: equal groups are near-duplicates.
 
@@ -331,7 +368,7 @@ def near_groups(docs: DataFrame, k: int = 5, least: int = 80, of: int = 100, key
     shared = spark.sparkContext.broadcast(_filter_bytes(members.select("node")))
     sets = scratch.keep(
         docs.select("text")
-        .mapInArrow(_wanted_sets(k, shared), "node binary, shingles binary")
+        .mapInArrow(_wanted_sets(k, shared), "node binary, shingles array<long>")
         .join(members.select("node").distinct(), "node", "left_semi")
         .groupBy("node")
         .agg(F.first("shingles").alias("shingles")),
@@ -346,51 +383,58 @@ def near_groups(docs: DataFrame, k: int = 5, least: int = 80, of: int = 100, key
         full = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b")
         return scratch.keep(full.mapInArrow(_confirm(least, of), "a binary, b binary"), step)
 
-    # Each node and its bucket leaders, similar ones only.
-    stars = scratch.keep(
-        members.filter("node <> leader")
-        .select(F.col("node").alias("a"), F.col("leader").alias("b"))
-        .distinct()
-        .join(signed.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a")
-        .join(signed.select(F.col("node").alias("b"), F.col("bits").alias("bits_b")), "b")
-        .select("a", "b", _estimate(_equal_positions("bits_a", "bits_b")).alias("similar"))
-        .filter(F.col("similar") >= near),
-        "stars",
-    )
-    best = stars.groupBy("a").agg(F.max_by("b", "similar").alias("b"))
-    first = confirmed(best, "first")
-    roots = components(first, scratch)
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
-        b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-        joined = pairs.join(a, "a", "left").join(b, "b", "left")
-        return joined.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    def similar(pairs: DataFrame, step: str) -> DataFrame:
+        a = signed.select(F.col("node").alias("a"), F.col("bits").alias("bits_a"))
+        b = signed.select(F.col("node").alias("b"), F.col("bits").alias("bits_b"))
+        guess = _estimate(_equal_positions("bits_a", "bits_b"))
+        found = pairs.distinct().join(a, "a").join(b, "b").select("a", "b", guess.alias("similar"))
+        return scratch.keep(found.filter(F.col("similar") >= near), step)
 
-    tried = best.select("a", "b")
-    second = confirmed(apart(stars).join(tried, ["a", "b"], "left_anti"), "second")
-    links = first.unionByName(second)
-    roots = components(links, scratch)
+    # Each node and the most similar of its buckets' leaders.
+    stars = similar(members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")), "stars")
+    first = confirmed(stars.groupBy("a").agg(F.max_by("b", "similar").alias("b")), "first")
+    roots = components(first, scratch)
 
-    # Buckets that still hold more than one component: its pairs across them, each in one band.
-    rooted = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    side = scratch.keep(rooted.join(mixed, "key", "left_semi").join(nodes, "node"), "mixed")
-    names = ("node", "root", "bands", "bits")
-    left = side.select("key", *(F.col(n).alias(f"{n}_a") for n in names))
-    right = side.select("key", *(F.col(n).alias(f"{n}_b") for n in names))
+    # Each node outside its bucket's largest component and one of that, another in each bucket and round.
+    links = first
+    for turn in range(ROUNDS):
+        rooted, top = _rooted(members, roots, turn)
+        outside = rooted.join(top, "key").filter("root <> main").select(F.col("node").alias("a"), F.col("one").alias("b"))
+        more = confirmed(similar(outside, "outside"), "more")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        roots = components(links, scratch)
+
+    # What is left: nodes outside their bucket's largest component and all of other components.
+    rooted, top = _rooted(members, roots, ROUNDS)
+    loose = scratch.keep(rooted.join(top.drop("one"), "key"), "loose")
+    reach = _within_reach(sets.join(loose.select("node").distinct(), "node", "left_semi"))
+    side = scratch.keep(
+        loose.join(reach.filter(of * F.col("shared") >= least * F.col("size")), "node").join(nodes, "node"), "reach"
+    )
+    names = ("node", "root", "bands", "bits", "size", "shared", "spread")
+    left = side.filter("root <> main").select("key", *(F.col(n).alias(f"{n}_a") for n in names))
+    right = side.select("key", (F.col("root") == F.col("main")).alias("in_main"), *(F.col(n).alias(f"{n}_b") for n in names))
+    total = F.col("size_a") + F.col("size_b")
+    # No intersection is larger than the smaller of the two counts, nor than their sum class by class.
+    most = F.least("shared_a", "shared_b")
+    in_class = [F.least(F.get("spread_a", F.lit(c)), F.get("spread_b", F.lit(c))) for c in range(CLASSES)]
+    least_sum = reduce(lambda x, y: x + y, in_class)
     common = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True)
     across = left.join(
         right,
         (left["key"] == right["key"])
-        & (F.col("node_a") > F.col("node_b"))
         & (F.col("root_a") != F.col("root_b"))
+        & (F.col("in_main") | (F.col("node_a") > F.col("node_b")))
+        & (of * most >= least * (total - most))
         & (_estimate(_equal_positions("bits_a", "bits_b")) >= near)
+        & (of * least_sum >= least * (total - least_sum))
         & (F.element_at("bands_a", common.cast("int")) == left["key"]),
     ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    third = confirmed(across.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "third")
-    roots = components(links.unionByName(third), scratch)
-    scratch.drop(members, sets, side, stars, nodes)
+    last = confirmed(across, "last")
+    roots = components(links.unionByName(last), scratch)
+    scratch.drop(members, sets, loose, side, stars, nodes)
     return sketches.join(roots, "node", "left").select("row", "n_shingles", F.coalesce("root", "node").alias("group"))
 
 
@@ -422,13 +466,13 @@ def near_dedup(docs: DataFrame, k: int = 5, least: int = 80, of: int = 100) -> D
         ~(F.col("row.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row.text_key") == F.col("first.k")))
     )
     gone = scratch.keep(gone.select(F.col("row").alias("_of")).distinct(), "gone")
-    same = docs["doc_id"].eqNullSafe(F.col("_of.doc_id")) & (text_key == F.col("_of.text_key"))
-    kept = docs.join(gone, same, "left_anti")
+    same = lambda of: docs["doc_id"].eqNullSafe(of["_of"]["doc_id"]) & (text_key == of["_of"]["text_key"])
+    kept = docs.join(gone, same(gone), "left_anti")
     again = scratch.keep(
         found.filter("group IS NOT NULL").groupBy(F.col("row").alias("_of")).count().filter("count > 1").select("_of"), "again"
     )
     if again.isEmpty():
         return kept
-    repeated = docs.join(again, same, "left_semi").join(gone, same, "left_anti")
-    one = repeated.withColumn("_key", text_key).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return kept.join(again, same, "left_anti").unionByName(one)
+    repeated = docs.join(again, same(again), "left_semi").join(gone, same(gone), "left_anti")
+    one = repeated.withColumn("__text_key", text_key).dropDuplicates(["doc_id", "__text_key"]).drop("__text_key")
+    return kept.join(again, same(again), "left_anti").unionByName(one)
