@@ -12,7 +12,17 @@ whole tables and whole texts.  Families of well-known codes are stated below; a
 language not among them is a family of its own.
 
 Null text, or text without a letter: ``und``, score 0.  So is everything if
-nothing was learned.  A null ``doc_id`` or ``lang`` is never learned from.
+nothing was learned.
+
+``keep_identified`` rejects texts without a letter, and texts for which the
+machines don't speak: neither the margin of the winning family nor the winner's
+mean margin over its pairs reaches ``SLACK`` times what the weakest training row
+reaches, each in units of its median.  The training rows are measured by machines
+that didn't read them: half of the sample by those of the other half.  With fewer
+than ``CLEAN_ROWS`` measured rows, or one language only, there is no such bound,
+and every text with a letter stays; so it does if nothing was learned.
+
+A null ``doc_id`` or ``lang`` is never learned from.
 Repeated rows give repeated results, an empty table an empty result.  Input
 columns are carried in one struct, so their names can't clash.
 """
@@ -33,6 +43,8 @@ WIDTH = 4096
 _ROUNDS, _RATE, _DECAY = 150, 0.5, 1e-4
 _PIECE = 1 << 20  # bytes counted at a time
 UNKNOWN = "und"
+SLACK = 0.5  # of the weakest training row's margins
+CLEAN_ROWS = 50
 
 # Families of languages by code.
 FAMILIES = {
@@ -130,19 +142,23 @@ def _squash(margin: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-3 * np.clip(margin, -10, 10)))
 
 
-def predict(model: Model, x: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Language and score of each row of features."""
+def _judge(model: Model, x: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and the two margins (family, mean of the pairs; NaN if there are none) of each row of features."""
     x = _with_bias(x)
+    found = np.full((len(x), 2), np.nan)
     margins = x @ model.family_weights.T
     family = margins.argmax(axis=1)
-    score = _squash(margins[np.arange(len(x)), family]) if len(model.families) > 1 else np.ones(len(x))
+    score = np.ones(len(x))
+    if len(model.families) > 1:
+        found[:, 0] = margins[np.arange(len(x)), family]
+        score = _squash(found[:, 0])
     out = np.empty(len(x), object)
     for f in range(len(model.families)):
         rows = np.flatnonzero(family == f)
         langs = model.langs[f]
         if not len(rows):
             continue
-        votes, sums = np.zeros((len(rows), len(langs))), np.zeros((len(rows), len(langs)))
+        votes, sums, lead = (np.zeros((len(rows), len(langs))) for _ in range(3))
         for (i, j), w in model.pairs[f].items():
             margin = x[rows] @ w
             won = _squash(margin)
@@ -150,11 +166,43 @@ def predict(model: Model, x: np.ndarray) -> tuple[list[str], np.ndarray]:
             votes[:, j] += margin <= 0
             sums[:, i] += won
             sums[:, j] += 1 - won
+            lead[:, i] += margin
+            lead[:, j] -= margin
         best = (votes + 1e-3 * sums).argmax(axis=1)
         out[rows] = np.array(langs, object)[best]
         if len(langs) > 1:
             score[rows] *= sums[np.arange(len(rows)), best] / (len(langs) - 1)
-    return out.tolist(), score
+            found[rows, 1] = lead[np.arange(len(rows)), best] / (len(langs) - 1)
+    return out.tolist(), score, found
+
+
+def predict(model: Model, x: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score of each row of features."""
+    return _judge(model, x)[:2]
+
+
+def margin_bound(x: np.ndarray, langs: list[str]) -> np.ndarray | None:
+    """Family and pair margin below both of which a text is of no language that was learned."""
+    names, half = np.array(langs), np.arange(len(langs)) % 2 == 0
+    measured = []
+    for told in (half, ~half):
+        model = fit(x[~told], names[~told].tolist())
+        if model is not None:
+            measured.append(_judge(model, x[told & np.isin(names, names[~told])])[2])
+    found = np.concatenate(measured) if measured else np.empty((0, 2))
+    found = found[~np.isnan(found).all(axis=1)]
+    if len(found) < CLEAN_ROWS:
+        return None
+    usual = np.array([np.median(m[~np.isnan(m)]) if (~np.isnan(m)).any() else np.inf for m in found.T])
+    if (usual <= 0).any():
+        return None
+    least = np.nanmax(found / usual, axis=1).min()
+    return (least - (1 - SLACK) * abs(least)) * np.where(np.isinf(usual), 0, usual)
+
+
+def speaks(margins: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Whether one of the two margins, of those a text has, reaches its bound."""
+    return (margins >= bound).any(axis=1) | np.isnan(margins).all(axis=1)
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,13 +215,13 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model of ``labelled`` rows (``doc_id, text, lang``), of which ``sample`` are read at most."""
+def _sample_of(labelled: DataFrame, sample: int) -> tuple[np.ndarray | None, list[str]]:
+    """Features and languages of ``labelled`` rows (``doc_id, text, lang``), of ``sample`` at most."""
     usable = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     # One row a language.
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
-        return None
+        return None, []
     each = max(1, sample // len(counts))
     # A cut of the hash leaves little more than a language's share, whatever its size; the window is over that.
     wanted = labelled.sparkSession.createDataFrame(
@@ -190,7 +238,12 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     found = rows.select("lang", "text").mapInArrow(_feature_rows, "lang string, features binary").collect()
     found.sort(key=lambda r: (r["lang"], r["features"]))
     x = np.stack([np.frombuffer(r["features"], np.float16) for r in found]).astype(np.float32) if found else None
-    return fit(x, [r["lang"] for r in found])
+    return x, [r["lang"] for r in found]
+
+
+def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
+    """A model of ``labelled`` rows (``doc_id, text, lang``), of which ``sample`` are read at most."""
+    return fit(*_sample_of(labelled, sample))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -230,6 +283,20 @@ def language_report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` without the rows of no language: no text, or none with a letter."""
-    model = train(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), sample)
-    return identify(docs, model).filter(F.col("lang_pred") != UNKNOWN).select("doc.*")
+    """``docs`` without the rows of no language: no text, none with a letter, or margins below the bound."""
+    x, langs = _sample_of(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), sample)
+    bound = margin_bound(x, langs) if langs else None
+    shared = docs.sparkSession.sparkContext.broadcast((fit(x, langs), bound) if bound is not None else None)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            rows = np.array([i for i, t in enumerate(texts) if has_letter(t)], np.int64)
+            if known and len(rows):
+                model, least = known
+                rows = rows[speaks(_judge(model, np.stack([features(texts[i]) for i in rows]))[2], least)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows))], ["doc"])
+
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), docs["text"].alias("text"))
+    return packed.mapInArrow(keep, f"doc {packed.schema['doc'].dataType.simpleString()}").select("doc.*")

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 from llm_helpers import DOCUMENTS, SF_DIR, awkward_rows
 
 from harvestline.llm import language_id as li
@@ -71,3 +72,41 @@ def test_nothing_to_learn_from_and_empty_table(spark):
     got = li.language_report(spark.createDataFrame(rows, DOCUMENTS)).collect()
     assert {(r["lang_pred"], r["score"]) for r in got} == {("und", 0.0)}
     assert li.language_report(spark.createDataFrame([], DOCUMENTS)).collect() == []
+
+
+def test_nothing_learned_keeps_what_has_a_letter(spark):
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 == 1]
+    for rows in (
+        [(1, "some words", None, "a", 1), (2, None, None, "a", 1), (3, "12 !", None, "a", 1), (4, "Ж", None, None, 1)],
+        [(i, f"clean words {i}", "en", "a", 1) for i in held] + [(41, "", "en", "a", 1)],
+        [(i, f"one language {i}", "en", "a", 1) for i in range(200)],
+    ):
+        kept = li.keep_identified(spark.createDataFrame(rows, DOCUMENTS)).collect()
+        assert sorted(map(tuple, kept)) == sorted(r for r in rows if li.has_letter(r[1]))
+
+
+def test_the_classifier_rejects_what_it_never_learned(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    strange = [
+        "xq zvkj qqwx pfgh jjkz xcvb qwrt zxcv bnmk lkjh " * 5,
+        "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί",
+        "敏捷的棕色狐狸跳过懒狗然后跑进森林",
+        "Быстрая коричневая лиса прыгает через ленивую собаку и убегает далеко в лес",
+    ]
+    more = spark.createDataFrame([(10**6 + i, t, None, "odd", len(t)) for i, t in enumerate(strange)], DOCUMENTS)
+    kept = [r["doc_id"] for r in li.keep_identified(docs.unionByName(more)).collect()]
+    # Held-out documents, which set no bound, stay as the others do.
+    assert sorted(kept) == sorted(r["doc_id"] for r in docs.collect() if li.has_letter(r["text"]))
+
+
+def test_the_bound_keeps_held_out_documents():
+    rows = pq.read_table(f"{SF_DIR.replace('0.001', '0.01')}/documents.parquet").to_pylist()
+    rows = [r for r in rows if r["lang"] and li.has_letter(r["text"])]
+    out = [zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows]
+    x, langs = np.stack([li.features(r["text"]) for r in rows]), np.array([r["lang"] for r in rows])
+    read = ~np.array(out)
+    model, bound = li.fit(x[read], langs[read].tolist()), li.margin_bound(x[read], langs[read].tolist())
+    assert (bound > 0).all()
+    assert li.speaks(li._judge(model, x[~read])[2], bound).all()
+    assert not li.speaks(np.array([[0.9, 0.9]]) * bound, bound).any()
+    assert li.speaks(np.array([[1.1, 0.0], [0.0, 1.1], [np.nan, 1.1], [np.nan, np.nan]]) * bound, bound).all()
