@@ -14,7 +14,8 @@ last pass takes documents up to the target, to the nearest document.
 Running sums over a source of any size go in two levels: per slice of the random
 order, then within a slice.  Only sizes are shuffled, never texts.
 
-Null or empty text has size 0 and is taken whenever its turn comes, for nothing.
+Null or empty text has size 0 and is taken whenever its turn comes, for nothing;
+in a source without any words it is taken once, at position 0.
 A null source is a source, last in order.  Rows with equal ``doc_id``, source and
 text are taken together, as one document of their joint size.  An empty table
 gives an empty result.  Columns with clashing names are left as they are.
@@ -143,8 +144,9 @@ def plan_mix(
     middle = F.col("start") + F.col("inner") + F.col("joint") / 2
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)).cast("int")
     rest = F.col("target") - F.col("whole") * F.col("source_size")
-    more = (F.col("whole") < cap) & (F.col("middle") <= rest)
-    share = lambda k: (k * F.col("source_size") + F.col("middle")) / F.col("target")
+    # Without words in its source a document is taken once, at the start.
+    more = (F.col("source_size") > 0) & (F.col("whole") < cap) & (F.col("middle") <= rest)
+    share = lambda k: F.coalesce(F.try_divide(k * F.col("source_size") + F.col("middle"), F.col("target")), F.lit(0.0))
     plan = (
         placed.withColumn("middle", middle)
         .withColumn("whole", whole)

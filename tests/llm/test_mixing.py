@@ -71,3 +71,16 @@ def test_empty_table_and_clashing_columns(spark):
     named = spark.createDataFrame(rows, DOCUMENTS).selectExpr("*", "1 AS size", "2 AS target", "3 AS unit", "4 AS copies", "5 AS _of", "6 AS _at", "7 AS doc")
     check(rows, mix_report(named, SCHEDULES).collect())
     assert mix_documents(named, SCHEDULES).columns == named.columns
+
+
+def test_sources_without_words(spark):
+    empty = [(1, None, None, "none", None), (2, "", "en", "none", 0), (3, " \t\n", "en", "none", 3), (4, "", "en", None, 0)]
+    words = [(i, "w " * (i % 5 + 1), "en", f"s{i % 2}", 1) for i in range(10, 60)]
+    for rows in (empty, empty + words):
+        df = spark.createDataFrame(rows, DOCUMENTS)
+        got = mix_report(df, SCHEDULES).collect()
+        check(rows, got)
+        none = [r for r in got if r["doc_id"] < 10]
+        assert [(r["target"], r["copies"], r["taken"], r["first_position"]) for r in none] == [(0.0, 1, 0, 0.0)] * 4
+        mixed = Counter(r["doc_id"] for r in mix_documents(df, SCHEDULES).collect())
+        assert mixed == Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]})
