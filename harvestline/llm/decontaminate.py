@@ -5,7 +5,9 @@ rest.  Seeds of all places of benchmark items and of training texts are hashed
 and joined, so a passage with changed words still meets its item wherever five
 read words agree.  Around a hit the item is laid over the text on the hit's
 diagonal and compared word by word.  It is a leak if in some stretch of
-``STRETCH`` words (the whole item, if shorter) at least ``SHARE`` agree.
+``STRETCH`` words (the whole item, if shorter) at least ``SHARE`` agree.  The four
+masks meet every such stretch, wherever its other words are; a mask may stand out
+over an end of the text or item with words that it doesn't read.
 
 Seeds of the benchmark are broadcast if there are ``BROADCAST_SEEDS`` at most;
 beyond that the join is by shuffle, with the same result.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from harvestline.llm.common import Scratch
 
-MASKS = ((0, 1, 2, 4, 7), (0, 2, 3, 5, 6), (0, 1, 3, 4, 5))  # words that are read
+MASKS = ((0, 1, 2, 4, 7), (0, 2, 3, 5, 6), (0, 1, 3, 4, 5), (1, 4, 5, 6, 7))  # words that are read
 SPAN = 8
 SHORTEST = 5
 STRETCH = 16
@@ -50,11 +52,11 @@ def _seeds(parsed: DataFrame, words: str, lengths: list[int], *carry: str) -> Da
     inside generated code and are never copied for it.
     """
     size = F.size(words)
-    fits = lambda n, seed: F.when(F.col("at") + n <= size, seed)
-    found = [fits(SPAN, _seed(words, "at", i, mask)) for i, mask in enumerate(MASKS)]
-    found += [fits(n, _seed(words, "at", -n, tuple(range(n)))) for n in lengths]
-    shortest = min([SPAN, *lengths])
-    placed = parsed.filter(size >= shortest).select(*carry, words, F.explode(F.sequence(F.lit(0), size - shortest)).alias("at"))
+    kinds = [*enumerate(MASKS), *((-n, tuple(range(n))) for n in lengths)]
+    fits = lambda reads: (F.col("at") >= -reads[0]) & (F.col("at") + reads[-1] < size)
+    found = [F.when(fits(reads), _seed(words, "at", kind, reads)) for kind, reads in kinds]
+    first, shortest = -max(reads[0] for _, reads in kinds), min(reads[-1] + 1 for _, reads in kinds)
+    placed = parsed.filter(size >= shortest).select(*carry, words, F.explode(F.sequence(F.lit(first), size - shortest)).alias("at"))
     kept = dict.fromkeys([*carry, "at"])
     return placed.select(*kept, F.explode(F.array(*found)).alias("seed"))
 
@@ -81,7 +83,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BRO
     )
     sizes = items.filter(F.size("i_words") < SPAN).select(F.size("i_words").alias("n")).distinct()
     lengths = sorted(r["n"] for r in sizes.collect())  # three at most
-    seeds = _seeds(items, "i_words", [], "item")
+    seeds = _seeds(items.filter(F.size("i_words") >= SPAN), "i_words", [], "item")
     for n in lengths:
         one = items.filter(F.size("i_words") == n).withColumn("at", F.lit(0))
         seeds = seeds.unionByName(one.select("item", "at", _seed("i_words", "at", -n, tuple(range(n))).alias("seed")))

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -88,3 +89,28 @@ def test_empty_tables(spark):
     assert find_leaks(no_docs, items).collect() == []
     assert find_leaks(docs, no_items).collect() == []
     assert decontaminate(docs, no_items).count() == docs.count()
+
+
+def test_every_allowed_change_of_a_passage_is_found(spark):
+    items = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in range(SPAN, STRETCH + 2)]
+    rows = []
+    for n, item in items:
+        wide = min(n, STRETCH)
+        lost = max(k for k in range(wide) if wide - k >= SHARE * wide)
+        for gone in itertools.combinations(range(n), lost):
+            text = ["zz" if j in gone else w for j, w in enumerate(item.split())]
+            rows.append((len(rows), " ".join(text), "en", "a", 1))
+            # The same with the changed words at the ends left out.
+            if {0, n - 1} & set(gone):
+                rows.append((len(rows), " ".join(text).strip("z "), "en", "a", 1))
+    docs, bench = spark.createDataFrame(rows, DOCUMENTS), spark.createDataFrame(items, BENCHMARK)
+    want = {(r[0], int(re.search(r"i(\d+)x", r[1])[1])) for r in rows}
+    assert brute(rows[:40], items) == {p for p in want if p[0] < 40}
+    assert pairs(find_leaks(docs, bench)) == want == pairs(find_leaks(docs, bench, broadcast_seeds=0))
+
+
+def test_leaks_are_exactly_those_of_brute_force(spark):
+    for seed in (1, 3):
+        rows, items = planted(seed)
+        docs, bench = spark.createDataFrame(rows, DOCUMENTS), spark.createDataFrame(items, BENCHMARK)
+        assert pairs(find_leaks(docs, bench)) == brute(rows, items)
