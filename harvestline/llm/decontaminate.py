@@ -13,7 +13,8 @@ Seeds of the benchmark are broadcast if there are ``BROADCAST_SEEDS`` at most;
 beyond that the join is by shuffle, with the same result.
 
 Items of 5 to 7 words, too short for a mask, must stand there exactly.  Items of
-fewer words can't be told from ordinary text and are never leaks.  Null or empty
+fewer words can't be told from ordinary text within it and are leaks only where
+the text has exactly their words and no others.  Null or empty
 texts have no words.  Rows with equal ``doc_id`` and text give one result, equal
 items give one each.  Empty tables give an empty result.  Columns with clashing
 names are left as they are.
@@ -28,7 +29,7 @@ from harvestline.llm.common import Scratch
 
 MASKS = ((0, 1, 2, 4, 7), (0, 2, 3, 5, 6), (0, 1, 3, 4, 5), (1, 4, 5, 6, 7))  # words that are read
 SPAN = 8
-SHORTEST = 5
+SHORTEST = 5  # of items that are looked for within a text
 STRETCH = 16
 SHARE = 0.8
 BROADCAST_SEEDS = 1_000_000
@@ -54,7 +55,8 @@ def _seeds(parsed: DataFrame, words: str, lengths: list[int], *carry: str) -> Da
     size = F.size(words)
     kinds = [*enumerate(MASKS), *((-n, tuple(range(n))) for n in lengths)]
     fits = lambda reads: (F.col("at") >= -reads[0]) & (F.col("at") + reads[-1] < size)
-    found = [F.when(fits(reads), _seed(words, "at", kind, reads)) for kind, reads in kinds]
+    whole = lambda n: F.lit(True) if n >= SHORTEST else size == n
+    found = [F.when(fits(reads) & whole(len(reads)), _seed(words, "at", kind, reads)) for kind, reads in kinds]
     first, shortest = -max(reads[0] for _, reads in kinds), min(reads[-1] + 1 for _, reads in kinds)
     placed = parsed.filter(size >= shortest).select(*carry, words, F.explode(F.sequence(F.lit(first), size - shortest)).alias("at"))
     kept = dict.fromkeys([*carry, "at"])
@@ -78,11 +80,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BRO
     items = scratch.keep(
         benchmark.select(
             F.monotonically_increasing_id().alias("item"), F.col("item_id"), words_of(F.col("text")).alias("i_words")
-        ).filter(F.size("i_words") >= SHORTEST),
+        ).filter(F.size("i_words") > 0),
         "items",
     )
     sizes = items.filter(F.size("i_words") < SPAN).select(F.size("i_words").alias("n")).distinct()
-    lengths = sorted(r["n"] for r in sizes.collect())  # three at most
+    lengths = sorted(r["n"] for r in sizes.collect())  # seven at most
     seeds = _seeds(items.filter(F.size("i_words") >= SPAN), "i_words", [], "item")
     for n in lengths:
         one = items.filter(F.size("i_words") == n).withColumn("at", F.lit(0))

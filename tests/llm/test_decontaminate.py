@@ -114,3 +114,12 @@ def test_leaks_are_exactly_those_of_brute_force(spark):
         rows, items = planted(seed)
         docs, bench = spark.createDataFrame(rows, DOCUMENTS), spark.createDataFrame(items, BENCHMARK)
         assert pairs(find_leaks(docs, bench)) == brute(rows, items)
+
+
+def test_items_of_few_words_are_found_where_they_are_the_text(spark):
+    items = [(1, "Paris"), (2, "one two"), (3, "a b c d"), (4, ""), (5, " ".join(f"t{i}" for i in range(20)))]
+    texts = ["paris!", "Paris Paris", "One, two.", "one two three", "two one", "A b c d", "a b c", "", None]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCUMENTS)
+    bench = spark.createDataFrame(items, BENCHMARK)
+    for most in (1_000_000, 0):
+        assert pairs(find_leaks(docs, bench, broadcast_seeds=most)) == {(0, 1), (2, 2), (5, 3)}
