@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestline.plans.staging import shared_folder, stage
+from harvestline.plans.staging import shared_folder
 from harvestline.session import configure
 
 # White space that separates words; the same six characters everywhere in this package.
@@ -47,21 +47,27 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.label = spark, label
+        self._kept: list[tuple[DataFrame, str]] = []
 
     def path(self, step: str) -> str:
         """A new folder in the shared one."""
         return f"{shared_folder(self.spark)}/{self.label}-{step}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, step: str) -> DataFrame:
-        return stage(df, f"{self.label}-{step}")
+        path = self.path(step)
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self._kept.append((kept, path))
+        return kept
 
     def drop(self, *staged: DataFrame) -> None:
-        jvm = self.spark._jvm
+        """Delete staged tables; what was read from one before is of no use after."""
+        gone = [path for df, path in self._kept if any(df is s for s in staged)]
+        self._kept = [(df, path) for df, path in self._kept if path not in gone]
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in staged:
-            for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+        for path in gone:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
 
 
 def lower_ascii(text: Column) -> Column:
