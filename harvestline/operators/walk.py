@@ -14,7 +14,8 @@ def walk_runs(facts: DataFrame) -> DataFrame:
 
     ``complete``            a terminal page was reached with no page missing before it
     ``failed``              a page before the end could not be decoded
-    ``max_pages_exceeded``  the page cap was read without reaching the end
+    ``max_pages_exceeded``  the page cap was read without reaching the end, or
+                            the pages lead back to one another and never would
     ``truncated``           pages are missing before the end
     ``unsupported``         the pagination type is unknown
 
@@ -32,6 +33,7 @@ def walk_runs(facts: DataFrame) -> DataFrame:
         F.min_by("page_error", F.when(has_error, number)).alias("page_error"),
         F.sort_array(F.collect_set(number)).alias("seen"),
         F.count_if(F.col("page_no") < 1).alias("strays"),
+        F.max("loops").alias("loops"),
     )
     # Sorted distinct page numbers equal their position up to the first gap.
     reach = F.size(F.filter("seen", lambda p, i: p == i + 1))
@@ -43,7 +45,7 @@ def walk_runs(facts: DataFrame) -> DataFrame:
         F.when((F.col("strays") > 0) | F.coalesce(failed, F.lit(False)), "failed")
         .when(~supported, "unsupported")
         .when(F.coalesce(stop <= F.col("reach"), F.lit(False)), "complete")
-        .when(F.col("reach") >= F.col("max_pages"), "max_pages_exceeded")
+        .when((F.col("reach") >= F.col("max_pages")) | F.col("loops"), "max_pages_exceeded")
         .otherwise("truncated")
     )
     runs = runs.withColumn("walk_status", status)

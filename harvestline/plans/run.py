@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 from harvestline.functions.text import canonical_json
 from harvestline.model import REQUESTS, SHAPE_CHANGE
 from harvestline.operators import drift, landing, resume, shape, walk
+from harvestline.operators.chains import number_pages
 from harvestline.operators.ledger import failure_message
 from harvestline.operators.requestlog import page_outcomes, request_counts
 from harvestline.operators.specs import with_defaults, with_violations
@@ -127,7 +128,8 @@ def read_batch(
 
 def fetch_errors(pages: DataFrame) -> DataFrame:
     """The first page of each run that never got an answer, and why."""
-    bad = page_outcomes(pages).where(F.col("outcome").isin("terminal", "gave_up"))
+    # A page that no walk asks for has no number and can't fail one.
+    bad = page_outcomes(pages.where(F.col("page_no").isNotNull())).where(F.col("outcome").isin("terminal", "gave_up"))
     status = F.coalesce(F.col("last_status").cast("string"), F.lit("no response"))
     text = F.when(
         F.col("outcome") == "gave_up",
@@ -151,6 +153,7 @@ def run_batch(
     now: datetime,
     dedupe: bool = True,
     hold_open: bool = False,
+    snapshot_every: int | None = None,
 ) -> DataFrame:
     """Run every source that has pages in this batch; returns the ledger rows written.
 
@@ -159,7 +162,8 @@ def run_batch(
     ``requests`` holds backfills and triggers; those not carried out before are
     bound to this batch's runs, see ``bound_requests``.  With ``hold_open`` a run
     whose pages end before its result set does is not failed but ``Running``: it
-    lands nothing, and is to be given again with all its pages.
+    lands nothing, and is to be given again with all its pages.  Once
+    ``snapshot_every`` batches have come since the last snapshot, a new one is taken.
     """
     if not store.has_batch(batch_id):
         keep = Staging(store.spark, f"batch-{batch_id}")
@@ -167,6 +171,8 @@ def run_batch(
             _run(store, pages, specs, requests, batch_id, now, dedupe, hold_open, keep)
         finally:
             keep.clear()
+        if snapshot_every is not None and store.recent_batches() >= snapshot_every:
+            store.snapshot()
     return store.batch(batch_id)
 
 
@@ -183,10 +189,13 @@ def _run(
 ) -> None:
     spark = store.spark
     # One row a run of this batch, so the page bodies meet only a short list.
-    times = pages.groupBy(*RUN).agg(F.min("requested_at").alias("first_request"))
+    times = pages.groupBy(*RUN).agg(
+        F.min("requested_at").alias("first_request"),
+        F.count_if(F.col("page_no").isNull()).alias("unnumbered"),
+    )
     calls = keep(request_counts(pages).join(times, RUN), "calls")
     before = keep(
-        store.ledger().join(calls.select(*RUN), RUN, "left_semi").select(*RUN, "result", F.col("attempt").alias("tried")),
+        store.attempts_of(calls.select(*RUN)).select(*RUN, "result", F.col("attempt").alias("tried")),
         "before",
     )
     done = before.where(F.col("result") == "Succeeded").select(*RUN)
@@ -195,9 +204,11 @@ def _run(
 
     full = keep(checked_specs(specs), "specs")
     valid = full.where(F.size("violations") == 0)
+    if not calls.where(F.col("unnumbered") > 0).isEmpty():
+        pages = number_pages(pages, page_config(valid), keep)
     if requests is None:
         requests = spark.createDataFrame([], REQUESTS)
-    asked = keep(bound_requests(calls, requests, store.ledger()), "requests")
+    asked = keep(bound_requests(calls, requests, store.started()), "requests")
     runs_of_specs = valid.join(calls.select(*RUN), "source_id")
     bounds = keep(resume.resolve_bounds(runs_of_specs, store.resume_points(), asked), "bounds")
 

@@ -3,6 +3,12 @@
 Data is written first, under the batch that made it; the ledger row comes last.
 Readers join on the ledger, so a batch that died half-way is invisible, and
 writing it again replaces exactly its own partitions.
+
+Ledger rows, shapes and columns go to the current generation.  A snapshot closes
+it: what later batches need of the runs so far (a fold state, open runs, accepted
+shapes, current columns) is written as a few rows a source, and the generation's
+ledger rows as one sorted table of history.  From then on a batch reads one
+snapshot and the generation after it, however old the ledger is.
 """
 
 from __future__ import annotations
@@ -14,7 +20,15 @@ from pyspark.errors import AnalysisException
 
 from harvestline.model import DEAD_LETTERS, PAGES, RUNS
 from harvestline.operators.landing import landed_name
-from harvestline.operators.ledger import fold_runs, latest_attempt, run_order
+from harvestline.operators.foldstate import (
+    fold_state,
+    merge_states,
+    newest_attempts,
+    resolve,
+    settled,
+    still_open,
+)
+from harvestline.operators.ledger import failure_streaks, run_order
 
 _LANDED = {"string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
 _BATCH = T.StructField("batch_id", T.StringType())
@@ -37,6 +51,10 @@ COLUMNS = T.StructType(
         _BATCH,
     ]
 )
+_ORDER = T.StructType(
+    [T.StructField("run_time", T.TimestampType()), T.StructField("run_id", T.StringType())]
+)
+MADE = T.StructType([*COLUMNS.fields, T.StructField("at", _ORDER)])
 # What a table has beside its records' columns.
 TABLE_COLUMNS = ("_source_id", "_run_id", "_digest")
 DEAD = T.StructType([*DEAD_LETTERS.fields, T.StructField("table_name", T.StringType()), _BATCH])
@@ -50,6 +68,13 @@ class Store:
     def _path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(""))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _exists(self, name: str) -> bool:
+        return self._files().exists(self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name)))
+
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(self._path(name))
@@ -65,60 +90,151 @@ class Store:
             self._path(name)
         )
 
+    # --- generations ----------------------------------------------------------------------
+
+    def generation(self) -> int:
+        """The generation that batches write to: the one after the last snapshot."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self._path("snapshots"))
+        if not self._files().exists(folder):
+            return 0
+        taken = [int(f.getPath().getName()) for f in self._files().listStatus(folder)]
+        return max([n + 1 for n in taken if self._exists(f"snapshots/{n}/state/_SUCCESS")], default=0)
+
+    def _current(self, name: str, schema: T.StructType) -> DataFrame:
+        return self._read(f"{name}/generation={self.generation()}", schema)
+
+    def _append(self, df: DataFrame, name: str, schema: T.StructType) -> None:
+        self._write(df, f"{name}/generation={self.generation()}", schema)
+
+    def _snapshot(self, name: str, schema: T.StructType) -> DataFrame:
+        """A table of the last snapshot, empty before the first."""
+        last = self.generation() - 1
+        if last < 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._path(f"snapshots/{last}/{name}"))
+
+    def recent_batches(self) -> int:
+        """How many batches the current generation has."""
+        folder = f"runs/generation={self.generation()}"
+        if not self._exists(folder):
+            return 0
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(folder))
+        return sum(f.getPath().getName().startswith("batch_id=") for f in self._files().listStatus(path))
+
+    def snapshot(self) -> int:
+        """Settle the current generation's runs; returns the generation batches write to next.
+
+        To be taken between batches, by whoever runs them.  One that died half-way
+        is not seen and is taken again; the generation it was of is whole until
+        the snapshot after it.
+        """
+        of = self.generation()
+        recent = self._current("runs", LEDGER)
+        history = recent.repartitionByRange("source_id", "run_id").sortWithinPartitions("source_id", "run_id")
+        history.write.mode("overwrite").parquet(self._path(f"history/generation={of}"))
+
+        def keep(df: DataFrame, name: str) -> None:
+            df.write.mode("overwrite").parquet(self._path(f"snapshots/{of}/{name}"))
+
+        live = self._live_runs()
+        keep(self._batches().distinct(), "batches")
+        keep(still_open(live).select(*LEDGER.fieldNames()), "open")
+        keep(self.accepted_shape(runs=True), "shapes")
+        keep(self._live_columns(), "columns")
+        # The state's own mark of success makes the snapshot the one that is read.
+        keep(merge_states(self._settled_state().unionByName(fold_state(settled(live)))), "state")
+        older = [f"runs/generation={of - 1}", f"snapshots/{of - 1}"]
+        for name in older if of else []:
+            self._files().delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name)), True)
+        return of + 1
+
+    def _settled_state(self) -> DataFrame:
+        return self._snapshot("state", fold_state(self.spark.createDataFrame([], LEDGER)).schema)
+
+    def _live_runs(self) -> DataFrame:
+        """The newest attempt of the runs that the last snapshot left open or that came since."""
+        return newest_attempts(self._snapshot("open", LEDGER).unionByName(self._current("runs", LEDGER)))
+
+    def _state(self) -> DataFrame:
+        return merge_states(self._settled_state().unionByName(fold_state(self._live_runs())))
+
+    def folded(self) -> DataFrame:
+        """The fold of the whole ledger, out of a snapshot and what came since."""
+        return resolve(self._state())
+
+    def streaks(self) -> DataFrame:
+        """Failed runs since each source's last success; those are all still open."""
+        return failure_streaks(self._live_runs(), self.folded())
+
+    # --- ledger ---------------------------------------------------------------------------
+
+    def _rows(self) -> DataFrame:
+        """Every ledger row ever written."""
+        rows, now = self._current("runs", LEDGER), self.generation()
+        if now:
+            past = self.spark.read.schema(LEDGER).parquet(
+                *[self._path(f"history/generation={n}") for n in range(now)]
+            )
+            rows = past.unionByName(rows)
+        return rows
+
     def ledger(self) -> DataFrame:
-        """L1: every run, the latest attempt of each; batches number a run's attempts."""
-        return latest_attempt(self._read("runs", LEDGER), F.struct("attempt", "created_at"))
+        """L1: every run, the latest attempt of each."""
+        return newest_attempts(self._rows())
 
     def append_runs(self, runs: DataFrame) -> None:
-        self._write(runs, "runs", LEDGER)
+        self._append(runs, "runs", LEDGER)
 
     def has_batch(self, batch_id: str) -> bool:
-        return not self._read("runs", LEDGER).where(F.col("batch_id") == batch_id).isEmpty()
+        return not self._batches().where(F.col("batch_id") == batch_id).isEmpty()
+
+    def _batches(self) -> DataFrame:
+        known = T.StructType([_BATCH])
+        return self._snapshot("batches", known).unionByName(self._current("runs", LEDGER).select("batch_id"))
 
     def batch(self, batch_id: str) -> DataFrame:
         """The runs of one batch, as it recorded them."""
-        return self._read("runs", LEDGER).where(F.col("batch_id") == batch_id)
+        recent = self._current("runs", LEDGER).where(F.col("batch_id") == batch_id)
+        return self._rows().where(F.col("batch_id") == batch_id) if recent.isEmpty() else recent
+
+    def attempts_of(self, runs: DataFrame) -> DataFrame:
+        """Of the named runs, result and number of the newest attempt.  Reads keys, not rows."""
+        keys = self._rows().select("source_id", "run_id", "attempt", "created_at", "result")
+        return newest_attempts(keys.join(runs, ["source_id", "run_id"], "left_semi"))
+
+    def started(self) -> DataFrame:
+        """What tells whether a request was carried out: ids, results and backfills of all runs."""
+        return self._rows().select("source_id", "run_id", "result", "backfill_id")
 
     def append_shapes(self, shapes: DataFrame) -> None:
-        self._write(shapes, "shapes", SHAPES)
-
-    def accepted_shape(self) -> DataFrame:
-        """The shape of each source's latest successful run that observed one."""
-        shapes = self._read("shapes", SHAPES)
-        latest = (
-            self.ledger()
-            .where((F.col("result") == "Succeeded") & (F.coalesce("schema_fingerprint", F.lit("")) != ""))
-            .groupBy("source_id")
-            .agg(F.max(run_order())["run_id"].alias("run_id"))
-        )
-        return shapes.join(latest, ["source_id", "run_id"], "left_semi").select(
-            "source_id", "path", "type"
-        )
+        self._append(shapes, "shapes", SHAPES)
+
+    def accepted_shape(self, runs: bool = False) -> DataFrame:
+        """The shape of each source's latest successful run that observed one; ``runs``: with the run's columns."""
+        shapes = self._snapshot("shapes", SHAPES).unionByName(self._current("shapes", SHAPES))
+        latest = self._state().select("source_id", F.col("shaped_run")["value"]["run_id"].alias("run_id"))
+        found = shapes.join(latest, ["source_id", "run_id"], "left_semi")
+        return found.select(*SHAPES.fieldNames()) if runs else found.select("source_id", "path", "type")
 
     def resume_points(self) -> DataFrame:
         """Where each source's next run starts."""
-        return fold_runs(self.ledger()).select("source_id", "watermark")
+        return self.folded().select("source_id", "watermark")
 
     def append_columns(self, columns: DataFrame) -> None:
-        self._write(columns, "columns", COLUMNS)
+        self._append(columns, "columns", COLUMNS)
+
+    def _live_columns(self) -> DataFrame:
+        """Columns of each table's current version, by the committed batches that made them, and when those ran."""
+        committed = settled(newest_attempts(self._current("runs", LEDGER)))
+        when = committed.groupBy("table_name", "batch_id").agg(F.max(run_order()).alias("at"))
+        recent = self._current("columns", COLUMNS).join(when, ["table_name", "batch_id"])
+        made = self._snapshot("columns", MADE).unionByName(recent.select(*MADE.fieldNames()))
+        current = made.groupBy("table_name").agg(F.max_by("version", "at").alias("version"))
+        return made.join(current, ["table_name", "version"], "left_semi").select(*MADE.fieldNames())
 
     def columns(self) -> DataFrame:
         """Columns of each table's current version, which a committed run must have made."""
-        made = self._read("columns", COLUMNS)
-        committed = self.ledger().where(F.col("result") == "Succeeded").select(
-            "table_name", "batch_id", run_order().alias("at")
-        )
-        live = made.join(committed, ["table_name", "batch_id"], "left_semi")
-        current = (
-            live.select("table_name", "version", "batch_id")
-            .distinct()
-            .join(committed, ["table_name", "batch_id"])
-            .groupBy("table_name")
-            .agg(F.max_by("version", "at").alias("version"))
-        )
-        return live.join(current, ["table_name", "version"], "left_semi").select(
-            "table_name", "version", "column_name", "landing_type"
-        )
+        return self._live_columns().select("table_name", "version", "column_name", "landing_type")
 
     def table_path(self, table_name: str, version: str) -> str:
         return self._path(f"tables/{table_name}/{version}")

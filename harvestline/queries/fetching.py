@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from harvestline.functions.variants import dotted_text
-from harvestline.operators import requestlog, walk
+from harvestline.operators import chains, requestlog, walk
 from harvestline.plans.staging import stage
 from harvestline.queries import inputs
 from harvestline.queries.book import Book
@@ -222,6 +222,47 @@ def walk_unsupported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walked(inputs.as_landed(grouped, _items()), config)
 
 
+# The pages of walk_cursor without numbers, in no order, every third one landed twice.  Runs of
+# kind 1 go round pages 5, 6 and 7 for ever.
+@BOOK.add(
+    "walk_chain",
+    f"""WITH RECURSIVE {inputs.ORDER_PAGES_CTE}, edges AS (
+      SELECT source_id, run_id, n, kind = 3 AND page_no = 6 AS bad,
+        CASE WHEN page_no > 1 THEN 'c' || CAST(page_no - 1 AS STRING) ELSE '' END AS key,
+        CASE WHEN (kind = 0 AND page_no = 7) OR (kind = 3 AND page_no = 6) THEN NULL
+          WHEN kind = 1 AND page_no = 7 THEN 'c4' ELSE 'c' || CAST(page_no AS STRING) END AS after
+      FROM op WHERE NOT (kind = 2 AND page_no = 4)),
+    walk AS (SELECT *, 1 AS step FROM edges WHERE key = ''
+      UNION ALL SELECT e.*, step + 1 FROM walk w JOIN edges e ON e.source_id = w.source_id
+        AND e.run_id = w.run_id AND e.key = w.after WHERE step < 12),
+    ends AS (SELECT source_id, run_id, count(DISTINCT key) FILTER (NOT bad) AS reach, max(step) AS steps,
+        bool_or(bad) AS failed, bool_or(after IS NULL AND NOT bad) AS done FROM walk GROUP BY ALL),
+    read AS (SELECT source_id, run_id, sum(n) AS records FROM
+      (SELECT DISTINCT source_id, run_id, key, n FROM walk WHERE NOT bad) GROUP BY ALL)
+    SELECT r.source_id, r.run_id, CASE WHEN failed THEN 'failed' WHEN done THEN 'complete'
+        WHEN steps = 12 THEN 'max_pages_exceeded' ELSE 'truncated' END AS walk_status,
+      CAST(coalesce(reach, 0) AS INTEGER) AS end_page, CAST(coalesce(records, 0) AS BIGINT) AS records
+    FROM (SELECT DISTINCT source_id, run_id FROM edges) r
+      LEFT JOIN ends e ON e.source_id = r.source_id AND e.run_id = r.run_id
+      LEFT JOIN read d ON d.source_id = r.source_id AND d.run_id = r.run_id""",
+)
+def walk_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = inputs.order_pages(spark, sf_dir).where(~((_kind() == 2) & (_page() == 4)))
+    token = F.when((_kind() == 1) & (_page() == 7), F.lit("c4")).when(
+        ~((_kind() == 0) & (_page() == 7)), F.format_string("c%d", _page())
+    )
+    sent = F.when(_page() > 1, F.format_string("c%d", _page() - 1))
+    meta = F.coalesce(F.concat(F.lit(',"meta":{"next":"'), token, F.lit('"}')), F.lit(""))
+    body = F.when((_kind() == 3) & (_page() == 6), F.lit('{"items":[')).otherwise(_items(meta))
+    config = inputs.order_sources(
+        grouped, pagination_type="Cursor", next_cursor_path="meta.next", max_pages=12
+    )
+    twice = F.explode(F.when(_page() % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    landed = inputs.as_landed(grouped, body, cursor=sent).withColumn("copy", twice).drop("copy")
+    loose = landed.withColumn("page_no", F.lit(None).cast("int")).repartition(F.xxhash64("body"))
+    return _walked(pg.one_answer(chains.number_pages(loose, config)), config)
+
+
 # --- requests -----------------------------------------------------------------------------
 
 

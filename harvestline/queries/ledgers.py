@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harvestline.operators import ledger, ops_metrics, status as st
 from harvestline.operators.specs import with_defaults
-from harvestline.plans.staging import stage
+from harvestline.plans.staging import shared_folder, stage
+from harvestline.plans.store import Store
 from harvestline.queries import inputs
 from harvestline.queries.book import Book
 
@@ -206,6 +208,43 @@ def fingerprint_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@BOOK.add(
+    "incremental_fold",
+    f"""{_LG}, {_FOLD} SELECT f.source_id, CAST(total_rows_ingested AS BIGINT) AS total_rows_ingested,
+      last_finished, running, last_successful, schema_fingerprint, watermark,
+      last_completed_backfill_id, consecutive_failures
+    FROM fold f JOIN streak s ON s.source_id = f.source_id""",
+)
+def incremental_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of the ledger, the first two folded into snapshots; a third of the first's
+    runs had failed with other counts before, and half of the second's were still going on."""
+    store = Store(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    runs = _runs(spark, sf_dir).withColumn("table_name", F.lit(None).cast("string"))
+    n = F.substring("run_id", 2, 9).cast("bigint")
+    failed = {"result": F.lit("Failed"), "rows_ingested": F.lit(7).cast("bigint"), "attempt": F.lit(0)}
+    going = {"result": F.lit("Running"), "completed_at": F.lit(None).cast("timestamp"), "attempt": F.lit(0)}
+    batches = [
+        runs.where(n % 3 == 0).unionByName(runs.where(n % 9 == 1).withColumns(failed)),
+        runs.where(n % 3 == 1).unionByName(runs.where(n % 6 == 2).withColumns(going)),
+        runs.where(n % 3 == 2),
+    ]
+    for i, batch in enumerate(batches):
+        if i:
+            store.snapshot()
+        store.append_runs(batch.withColumn("batch_id", F.lit(f"b{i}")))
+    return store.folded().join(store.streaks(), "source_id").select(
+        "source_id",
+        "total_rows_ingested",
+        F.col("last_finished_run.run_id").alias("last_finished"),
+        F.col("running_run.run_id").alias("running"),
+        F.col("last_successful_run.run_id").alias("last_successful"),
+        "schema_fingerprint",
+        "watermark",
+        "last_completed_backfill_id",
+        "consecutive_failures",
+    )
+
+
 # --- status -------------------------------------------------------------------------------
 
 _STATUS = f"""{inputs.LEDGER_SPECS_CTE}, {_FOLD},

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from harvestline.functions.once import compute_once
 from harvestline.functions.variants import dotted_get, dotted_text, is_array, has_element, kind_sql, parse_body
@@ -55,22 +55,29 @@ def responses(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("status") < 300)
 
 
+def page_key() -> Column:
+    """What tells a run's pages apart: their number, or what was asked for where they have none."""
+    return F.coalesce(
+        F.concat(F.lit("#"), F.col("page_no").cast("string")), F.concat(F.lit("@"), "request_cursor"), F.lit("@")
+    )
+
+
 def one_answer(pages: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = stage) -> DataFrame:
     """One answer a page, however often it was fetched or delivered: the last attempt's.
 
     Only page keys are counted; the bodies of pages with one answer stay where
     they are, and those of the others alone are shuffled to pick one.
     """
-    page = ["source_id", "run_id", "page_no"]
-    answered = responses(pages)
+    page = ["source_id", "run_id", "page_key"]
+    answered = responses(pages).withColumn("page_key", page_key())
     several = keep(answered.groupBy(*page).count().where("count > 1").select(*page), "answers")
     if several.isEmpty():
-        return answered
+        return answered.drop("page_key")
     last = Window.partitionBy(*page).orderBy(
         F.desc_nulls_last("attempt"), F.desc_nulls_last("requested_at"), F.xxhash64("body"), "body"
     )
     picked = answered.join(several, page, "left_semi").withColumn("k", F.row_number().over(last)).where("k = 1")
-    return answered.join(several, page, "left_anti").unionByName(picked.drop("k"))
+    return answered.join(several, page, "left_anti").unionByName(picked.drop("k")).drop("page_key")
 
 
 def decode_pages(pages: DataFrame, config: DataFrame) -> DataFrame:
@@ -104,24 +111,33 @@ def decode_pages(pages: DataFrame, config: DataFrame) -> DataFrame:
     return found.withColumn("page_error", error).drop("too_big")
 
 
+def next_key() -> Column:
+    """What a decoded page says to ask for next; null where it names nothing."""
+    cursor = F.when(
+        F.col("next_cursor_path").isNotNull(), dotted_text(F.col("doc"), F.col("next_cursor_path"))
+    )
+    kind = F.col("pagination_type")
+    return F.when(kind == "Cursor", cursor).when(
+        kind == "LinkHeader", next_link(header(F.col("headers"), "Link"))
+    )
+
+
 def page_facts(decoded: DataFrame) -> DataFrame:
     """What the walk needs to know of each page: is it in error, is it the last one.
 
     Carries no body, so everything after it moves only a few dozen bytes a page.
     """
-    doc, kind = F.col("doc"), F.col("pagination_type")
-    cursor = dotted_text(doc, F.col("next_cursor_path"))
-    cursor = F.when(F.col("next_cursor_path").isNotNull(), cursor)
+    kind, following = F.col("pagination_type"), next_key()
     short = ~has_element(F.col("records"), 0) | (
         (F.col("page_size") > 0) & ~has_element(F.col("records"), F.col("page_size") - 1)
     )
-    link = next_link(header(F.col("headers"), "Link"))
     terminal = (
         F.when(kind == "None", F.lit(True))
-        .when(kind == "Cursor", cursor.isNull() | cursor.eqNullSafe(F.col("request_cursor")))
+        .when(kind == "Cursor", following.isNull() | following.eqNullSafe(F.col("request_cursor")))
         .when(kind.isin("PageNumber", "Offset"), short)
-        .when(kind == "LinkHeader", link.isNull())
+        .when(kind == "LinkHeader", following.isNull())
     )
+    loops = F.col("loops") if "loops" in decoded.columns else F.lit(False)
     return decoded.select(
         "source_id",
         "run_id",
@@ -130,6 +146,7 @@ def page_facts(decoded: DataFrame) -> DataFrame:
         "max_pages",
         "page_error",
         terminal.alias("terminal"),
+        loops.alias("loops"),
     )
 
 
