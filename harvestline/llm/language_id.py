@@ -29,7 +29,7 @@ columns are carried in one struct, so their names can't clash.
 
 from __future__ import annotations
 
-import re
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,7 +59,6 @@ FAMILIES = {
 }
 _FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
@@ -69,7 +68,7 @@ def family_of(lang: str) -> str:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return any(map(str.isalpha, text or ""))
 
 
 def features(text: str) -> np.ndarray:
@@ -215,35 +214,53 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _sample_of(labelled: DataFrame, sample: int) -> tuple[np.ndarray | None, list[str]]:
-    """Features and languages of ``labelled`` rows (``doc_id, text, lang``), of ``sample`` at most."""
+def _sample_of(labelled: DataFrame, sample: int) -> DataFrame | None:
+    """``lang, features`` of ``labelled`` rows (``doc_id, text, lang``), of ``sample`` at most; none without any."""
     usable = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     # One row a language.
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
-        return None, []
+        return None
     each = max(1, sample // len(counts))
     # A cut of the hash leaves little more than a language's share, whatever its size; the window is over that.
     wanted = labelled.sparkSession.createDataFrame(
         [(lang, min(1.0, (1.5 * each + 50) / n)) for lang, n in counts.items()], "_lang string, share double"
     )
-    place = F.xxhash64("doc_id", F.lit(7))
+    row = ["doc_id", "lang", "text_key"]
+    keyed = usable.withColumn("text_key", F.xxhash64("text"))
+    place = F.xxhash64("doc_id", "text_key", F.lit(7))
     near = (place / float(2**64) + 0.5) <= F.col("share")
-    few = usable.select("doc_id", "lang").join(F.broadcast(wanted), F.col("lang") == F.col("_lang")).filter(near)
-    first = Window.partitionBy("lang").orderBy(place, "doc_id")
-    chosen = few.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= each)
-    # At most ``sample`` ids and languages of a few bytes.
-    ids = F.broadcast(chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct())
-    rows = usable.join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
-    found = rows.select("lang", "text").mapInArrow(_feature_rows, "lang string, features binary").collect()
-    found.sort(key=lambda r: (r["lang"], r["features"]))
-    x = np.stack([np.frombuffer(r["features"], np.float16) for r in found]).astype(np.float32) if found else None
-    return x, [r["lang"] for r in found]
+    few = keyed.select(*row).join(F.broadcast(wanted), F.col("lang") == F.col("_lang")).filter(near).select(*row).distinct()
+    first = Window.partitionBy("lang").orderBy(place, "doc_id", "text_key")
+    # At most ``sample`` keys of a few bytes.
+    chosen = F.broadcast(few.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= each).select(*row))
+    # Rows that repeat an id and a text are one; each task passes on one of them.
+    once = keyed.join(chosen, row, "left_semi").groupBy(*row).agg(F.first("text").alias("text"))
+    return once.select("lang", "text").mapInArrow(_feature_rows, "lang string, features binary")
+
+
+def _learned(rows: DataFrame | None, bounded: bool) -> tuple[Model | None, np.ndarray | None]:
+    """A model of a sample's rows and, if asked for, their bound.
+
+    One task fits them, since they are ``sample`` rows at most; only weights come back.
+    """
+    if rows is None:
+        return None, None
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(pair for batch in batches for pair in zip(*batch.to_pydict().values(), strict=True))
+        langs = [lang for lang, _ in found]
+        x = np.stack([np.frombuffer(raw, np.float16) for _, raw in found]).astype(np.float32) if found else None
+        bound = margin_bound(x, langs) if bounded and found else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((fit(x, langs), bound))], pa.binary())], ["learned"])
+
+    (row,) = rows.repartition(1).mapInArrow(learn, "learned binary").collect()
+    return pickle.loads(row["learned"])
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model of ``labelled`` rows (``doc_id, text, lang``), of which ``sample`` are read at most."""
-    return fit(*_sample_of(labelled, sample))
+    return _learned(_sample_of(labelled, sample), bounded=False)[0]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -284,9 +301,9 @@ def language_report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without the rows of no language: no text, none with a letter, or margins below the bound."""
-    x, langs = _sample_of(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), sample)
-    bound = margin_bound(x, langs) if langs else None
-    shared = docs.sparkSession.sparkContext.broadcast((fit(x, langs), bound) if bound is not None else None)
+    read = _sample_of(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), sample)
+    model, bound = _learned(read, bounded=True)
+    shared = docs.sparkSession.sparkContext.broadcast((model, bound) if bound is not None else None)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value

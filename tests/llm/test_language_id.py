@@ -67,6 +67,25 @@ def test_awkward_rows_and_clashing_columns(spark):
     assert kept.count() == sum(1 for r in rows if li.has_letter(r[1]))
 
 
+def test_signs_that_are_no_letters(spark):
+    texts = ["½ ² ①", "⅓ ㊿ Ⅷ ٣ _", "٣٤", "12 ª", "é", "_x_", "日"]
+    assert [li.has_letter(t) for t in texts] == [False] * 3 + [True] * 4
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    more = spark.createDataFrame([(10**6 + i, t, None, "odd", 1) for i, t in enumerate(texts)], DOCUMENTS)
+    got = {r["doc_id"]: r for r in li.language_report(docs.unionByName(more)).collect() if r["doc_id"] >= 10**6}
+    assert [(got[10**6 + i]["lang_pred"], got[10**6 + i]["score"]) for i in range(3)] == [("und", 0.0)] * 3
+    assert all(got[10**6 + i]["lang_pred"] != "und" for i in range(3, 7))
+
+
+def test_one_id_for_everything_is_still_a_bounded_sample(spark):
+    free = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    docs = spark.range(20_000).selectExpr(
+        f"{free}L AS doc_id", "concat('the same words and number ', if(id % 4 = 0, 0, id)) AS text", "if(id % 2 = 0, 'en', 'de') AS lang"
+    )
+    rows = li._sample_of(docs, 400).collect()
+    assert 200 <= len(rows) <= 400 and {r["lang"] for r in rows} == {"en", "de"}
+
+
 def test_nothing_to_learn_from_and_empty_table(spark):
     rows = [(1, "some words", None, "a", 1), (2, None, None, "a", 1)]
     got = li.language_report(spark.createDataFrame(rows, DOCUMENTS)).collect()
