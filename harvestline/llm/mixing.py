@@ -15,7 +15,8 @@ Running sums over a source of any size go in two levels: per slice of the random
 order, then within a slice.  Only sizes are shuffled, never texts.
 
 Null or empty text has size 0 and is taken whenever its turn comes, for nothing;
-in a source without any words it is taken once, at position 0.
+in a source without any words it is taken once, at position 0.  A source whose
+schedule is 0 throughout has the target 0: none of its words are taken.
 A null source is a source, last in order.  Rows with equal ``doc_id``, source and
 text are taken together, as one document of their joint size.  An empty table
 gives an empty result.  Columns with clashing names are left as they are.
@@ -62,19 +63,21 @@ def _targets(sources: DataFrame, cap: float) -> DataFrame:
     )
     known = sources.withColumn("weight", area).withColumn("most", cap * F.col("source_size"))
     # Sources fill up in the order of what a unit of weight would have to bring.
-    order = Window.orderBy(F.col("most") / F.col("weight"), "source")
+    # One without weight never does: its target is 0.
+    order = Window.orderBy(F.try_divide("most", "weight").asc_nulls_last(), "source")
     before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum(
-        "weight"
-    ).over(rest)
-    full = F.col("most") <= F.col("level") * F.col("weight")
+    level = F.try_divide(
+        F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("most").over(before), F.lit(0.0)),
+        F.sum("weight").over(rest),
+    )
+    full = F.coalesce(F.col("most") <= F.col("level") * F.col("weight"), F.lit(False))
     # From the first source that isn't full on, one level holds for all.
     first = F.min(F.when(~full, F.struct("place", "level"))).over(Window.partitionBy())
     return (
         known.withColumn("place", F.row_number().over(order))
         .withColumn("level", level)
         .withColumn("open", first["level"])
-        .withColumn("target", F.when(full, F.col("most")).otherwise(F.col("open") * F.col("weight")))
+        .withColumn("target", F.when(full, F.col("most")).otherwise(F.coalesce("open", F.lit(0.0)) * F.col("weight")))
         .select("source", "source_size", "segments", "weight", F.col("target").cast("double").alias("target"))
     )
 

@@ -84,3 +84,20 @@ def test_sources_without_words(spark):
         assert [(r["target"], r["copies"], r["taken"], r["first_position"]) for r in none] == [(0.0, 1, 0, 0.0)] * 4
         mixed = Counter(r["doc_id"] for r in mix_documents(df, SCHEDULES).collect())
         assert mixed == Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]})
+
+
+@pytest.mark.parametrize("schedules", [[[(0.0, 0.0), (1.0, 0.0)], [(0.0, 2.0), (1.0, 1.0)]], [[(0.0, 0.0), (1.0, 0.0)]]])
+def test_a_source_without_weight_gives_no_words(spark, schedules):
+    rows = [(i, "w " * (i % 5 + 1), "en", f"s{i % 3}", 1) for i in range(90)]
+    df = spark.createDataFrame(rows, DOCUMENTS)
+    got = mix_report(df, schedules).collect()
+    total = sizes(rows)
+    weightless = {s for k, s in enumerate(sorted(total)) if sum(w for _, w in schedules[k % len(schedules)]) == 0}
+    source = {r[0]: r[3] for r in rows}
+    for r in got:
+        if source[r["doc_id"]] in weightless:
+            assert (r["target"], r["taken"], r["copies"]) == (0.0, 0, 0)
+    open_ = [r for r in got if source[r["doc_id"]] not in weightless]
+    # One open source, which stops at three times its size.
+    assert all(r["target"] == 3 * r["source_size"] and r["copies"] == 3 for r in open_)
+    assert mix_documents(df, schedules).count() == 3 * len(open_)
