@@ -9,6 +9,8 @@ whole text.
 The frequent ones come from a pass over all texts.  Each task counts its own with
 bounded memory and gives one summary row; summaries are merged level by level, a
 fixed number at a time.  What is in the table changes speed only, never a count.
+Pre-tokens longer than ``LONGEST`` are neither counted nor remembered, so what a
+task, a worker and the driver hold is bounded in bytes.
 
 Null or empty text: 0 bytes, 0 tokens.  Repeated rows give repeated results, an
 empty table an empty result.  Other columns of the input are not read, so their
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestline.llm.common import Scratch, texts_of
-from harvestline.llm.tokenizer import Generations, count_cache, encoder
+from harvestline.llm.tokenizer import LONGEST, Generations, count_cache, encoder
 
 FREQUENT = 65_536  # entries of the broadcast table
 SUMMARY = 32_768  # pre-tokens in a task's summary
@@ -44,7 +46,7 @@ def _summarise(tokenizer_path: str):
         keys, counts = encoder(tokenizer_path).keys, Counter()
         for batch in batches:
             for text in texts_of(batch.column(0)):
-                counts.update(keys(text))
+                counts.update(key for key in keys(text) if len(key) <= LONGEST)
             if len(counts) > _COUNTED:
                 counts = Counter(dict(counts.most_common(SUMMARY)))
         top = counts.most_common(SUMMARY)
@@ -106,7 +108,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, freque
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs``."""
     spark = docs.sparkSession
     encode = encoder(tokenizer_path)
-    names = [key for key in frequent_keys(docs, tokenizer_path, frequent) if len(key) <= 64 and "\n" not in key]
+    names = [key for key in frequent_keys(docs, tokenizer_path, frequent) if "\n" not in key]
     shared = spark.sparkContext.broadcast(("\n".join(names), [encode.count(name) for name in names]))
 
     run = uuid.uuid4().hex

@@ -97,11 +97,15 @@ class Encoder:
         return len(self.ids(key)) // 4
 
 
+LONGEST = 64  # characters of a key that is counted or remembered
+
+
 class Generations(dict):
     """A bounded memory of ``make(key)``: what was asked for lately stays, the rest is made again.
 
     Entries are in two generations of half the capacity; the older one is given
-    up whenever the younger is full.  ``pinned`` entries always stay.
+    up whenever the younger is full.  ``pinned`` entries always stay.  Keys of
+    more than ``LONGEST`` characters are made each time, so the bytes are bounded too.
     """
 
     def __init__(self, make, capacity: int, pinned: dict | None = None) -> None:
@@ -110,6 +114,8 @@ class Generations(dict):
         self.full = len(self.pinned) + max(1, capacity // 2)
 
     def __missing__(self, key: str):
+        if len(key) > LONGEST:
+            return self.make(key)
         found = self.older.get(key)
         if found is None:
             found = self.make(key)

@@ -65,6 +65,23 @@ def test_memory_is_bounded():
     assert "pinned" not in made
 
 
+def test_long_pre_tokens_are_not_remembered():
+    memory = Generations(len, 1000)
+    assert memory["x" * 5000] == 5000 and memory["x" * 64] == 64
+    assert list(memory) == ["x" * 64]
+
+
+@pytest.mark.parametrize("path", [PATH, PATH.replace("word_bpe_49k", "byte_bpe_50k")])
+def test_texts_without_spaces_send_no_long_keys_to_the_driver(spark, path):
+    texts = ["".join(chr(0x4E00 + (i * 7 + j * j) % 3000) for j in range(2000)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "zh", "a", 1) for i, t in enumerate(texts + ["short words", "short"])], DOCUMENTS)
+    assert all(len(key) <= 64 for key in frequent_keys(docs, path))
+    library = Tokenizer.from_file(path)
+    got = {r["doc_id"]: r["n_tokens"] for r in count_tokens(docs, path).collect()}
+    assert got[40] == len(library.encode("short words", add_special_tokens=False).ids)
+    assert got[3] == len(library.encode(texts[3], add_special_tokens=False).ids)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 49_407), st.integers(0, 2**64 - 1), st.integers(0, 3)), max_size=300))
 def test_blocks_round_trip(values):
