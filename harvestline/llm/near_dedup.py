@@ -374,6 +374,7 @@ def near_groups(docs: DataFrame, k: int = 5, least: int = 80, of: int = 100, key
         .agg(F.first("shingles").alias("shingles")),
         "sets",
     )
+    shared.destroy()
     signed = nodes.select("node", "bits")
     near = _near(least / of)
 
