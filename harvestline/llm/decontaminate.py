@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harvestline.functions.once import compute_once
 from harvestline.llm.common import Scratch
 
 MASKS = ((0, 1, 2, 4, 7), (0, 2, 3, 5, 6), (0, 1, 3, 4, 5), (1, 4, 5, 6, 7))  # words that are read
@@ -63,11 +64,12 @@ def _seeds(parsed: DataFrame, words: str, lengths: list[int], *carry: str) -> Da
     return placed.select(*kept, F.explode(F.array(*found)).alias("seed"))
 
 
-def _best_stretch(agree: Column, length: Column) -> Column:
-    """Most agreeing words in a stretch; ``agree`` is text of 1 and 0, one a word of the item."""
+def _best_stretch(places: Column, length: Column) -> Column:
+    """Most agreeing words in a stretch; ``places`` are those of the item's words that agree, in order."""
     wide = F.least(length, F.lit(STRETCH))
-    ones = lambda j: F.char_length(F.replace(F.substring(agree, j + 1, wide), F.lit("0"), F.lit("")))
-    return F.array_max(F.transform(F.sequence(F.lit(0), length - wide), ones))
+    # Some best stretch begins at a word that agrees, or holds no more than the one before the item's end.
+    inside = lambda p, i: F.size(F.filter(F.slice(places, i + 1, STRETCH), lambda q: q < p + wide))
+    return F.coalesce(F.array_max(F.transform(places, inside)), F.lit(0))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -93,36 +95,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BRO
     small = table.count() <= broadcast_seeds
 
     parsed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words_of(F.col("text")).alias("words"))
-    if small:
-        hits = _seeds(parsed, "words", lengths, "doc_id", "text_key", "words").join(F.broadcast(table), "seed")
-    else:
-        # Without the broadcast only places are shuffled; words are fetched for the hits.
-        found = _seeds(parsed, "words", lengths, "doc_id", "text_key").join(table, "seed")
-        found = found.select(
-            F.struct("doc_id", "text_key").alias("of"), "item", (F.col("at") - F.col("i_at")).alias("at"), F.lit(0).alias("i_at")
-        ).distinct()
-        hits = found.join(
-            parsed, F.col("of.doc_id").eqNullSafe(parsed["doc_id"]) & (F.col("of.text_key") == parsed["text_key"])
-        ).drop("of")
+    # A passage hits at nearly all its places; its diagonal is one short row before any word is fetched.
+    hits = _seeds(parsed, "words", lengths, "doc_id", "text_key").join(F.broadcast(table) if small else table, "seed")
+    found = scratch.keep(
+        hits.select(F.struct("doc_id", "text_key").alias("of"), "item", (F.col("at") - F.col("i_at")).alias("first_word")).distinct(),
+        "hits",
+    )
+    words = found.join(parsed, F.col("of.doc_id").eqNullSafe(parsed["doc_id"]) & (F.col("of.text_key") == parsed["text_key"]))
     length = F.size("i_words")
-    first_word = F.col("at") - F.col("i_at")
-    # Of the text no more than lies under the item goes on from here.
-    laid = hits.join(F.broadcast(items) if small else items, "item").select(
-        "doc_id",
-        "text_key",
-        "item",
-        "item_id",
-        first_word.alias("first_word"),
-        F.slice("words", F.greatest(first_word, F.lit(0)) + 1, length).alias("under"),
-        "i_words",
+    # Of the text no more than lies under the item goes on from here, cut out once and not for each place.
+    laid = compute_once(
+        words.join(items, "item").withColumn("n_item", length),
+        under=F.slice("words", F.greatest("first_word", F.lit(0)) + 1, length),
     )
     place = lambda i: i + F.least("first_word", F.lit(0))
     agrees = lambda i: F.coalesce(F.get("under", place(i)) == F.get("i_words", i), F.lit(False))
-    agree = F.array_join(F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.when(agrees(i), "1").otherwise("0")), "")
+    agreeing = compute_once(laid, places=F.filter(F.sequence(F.lit(0), length - 1), agrees))
     judged = (
-        laid.select("doc_id", "text_key", "item", "item_id", "first_word", length.alias("n_item"), agree.alias("agree"))
+        agreeing.withColumn("n_agree", _best_stretch(F.col("places"), F.col("n_item")))
+        .select("doc_id", "text_key", "item", "item_id", "first_word", "n_item", "n_agree")
         .dropDuplicates(["doc_id", "text_key", "item", "first_word"])
-        .withColumn("n_agree", _best_stretch(F.col("agree"), F.col("n_item")))
         .withColumn("n_compared", F.least("n_item", F.lit(STRETCH)))
         .withColumn("share", F.col("n_agree") / F.col("n_compared"))
         .filter(F.col("share") >= F.when(F.col("n_item") < SPAN, 1.0).otherwise(SHARE))

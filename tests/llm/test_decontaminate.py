@@ -123,3 +123,18 @@ def test_items_of_few_words_are_found_where_they_are_the_text(spark):
     bench = spark.createDataFrame(items, BENCHMARK)
     for most in (1_000_000, 0):
         assert pairs(find_leaks(docs, bench, broadcast_seeds=most)) == {(0, 1), (2, 2), (5, 3)}
+
+
+def test_a_very_long_item(spark):
+    rng = random.Random(6)
+    words_ = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
+    item = " ".join(words_)
+    changed = " ".join("zz" if i % 9 == 0 else w for i, w in enumerate(words_))
+    texts = [item] * 40 + [changed] * 40 + ["intro " + " ".join(words_[500 + i : 530 + i]) for i in range(20)]
+    texts += [" ".join(rng.choice(words_) for _ in range(2000)) for _ in range(5)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCUMENTS)
+    for most in (1_000_000, 0):
+        found = {r["doc_id"]: r for r in find_leaks(docs, spark.createDataFrame([(7, item)], BENCHMARK), most).collect()}
+        assert sorted(found) == list(range(100))
+        assert {(r["first_word"], r["n_agree"]) for i, r in found.items() if i < 40} == {(0, 16)}
+        assert all(found[80 + i]["first_word"] == 1 - (500 + i) for i in range(20))
