@@ -79,6 +79,7 @@ def judge(diff: DataFrame, policies: DataFrame) -> DataFrame:
         text.alias("change_text"),
         verdict.alias("verdict"),
     )
+    # What a refused run says.
     error = F.when(
         F.col("verdict") == "reject",
         F.when(
@@ -90,6 +91,7 @@ def judge(diff: DataFrame, policies: DataFrame) -> DataFrame:
         .when(F.col("drift") == "Fail", F.concat(F.lit("record shape changed: "), F.col("change_text")))
         .otherwise(F.format_string('unsupported schema drift policy "%s"', F.col("drift"))),
     )
+    # End of fixed values.
     return judged.withColumn("drift_error", error)
 
 

@@ -24,6 +24,27 @@ def _condition(kind: str, status: bool, reason: str, message: Column | str) -> C
     )
 
 
+def suspended_sources(specs: DataFrame, streaks: DataFrame) -> DataFrame:
+    """L4: ``source_id, why`` of the sources that are not scheduled: after failures, or as requested."""
+    streak = F.coalesce(F.col("consecutive_failures"), F.lit(0))
+    limit = F.coalesce(F.col("suspend_after"), F.lit(DEFAULT_SUSPEND_AFTER))
+    why = F.when((limit > 0) & (streak >= limit), "failures").when(F.col("suspend"), "requested")
+    return specs.join(streaks, "source_id", "left").select("source_id", why.alias("why")).where(F.col("why").isNotNull())
+
+
+def due_runs(specs: DataFrame, suspended: DataFrame, pending: DataFrame) -> DataFrame:
+    """``source_id, kind, request_id`` of the runs that are due.
+
+    A scheduled run of every source that isn't suspended, and what was asked for
+    by name: suspending stops the schedule, not a backfill or a trigger.
+    """
+    scheduled = specs.join(suspended, "source_id", "left_anti").select(
+        "source_id", F.lit("scheduled").alias("kind"), F.lit(None).cast("string").alias("request_id")
+    )
+    asked = pending.join(specs.select("source_id"), "source_id", "left_semi")
+    return scheduled.unionByName(asked.select("source_id", "kind", "request_id").distinct())
+
+
 def status_rows(
     specs: DataFrame, folded: DataFrame, streaks: DataFrame, backfilling: DataFrame
 ) -> DataFrame:
@@ -53,6 +74,7 @@ def status_rows(
         F.array_join("violations", "; ") if "violations" in specs.columns else F.lit("")
     )
     running = F.col("running_run").isNotNull()
+    # Reasons and messages of the conditions, up to ``progress``.
     stopped = F.format_string("scheduling stopped after %d consecutive failures", streak)
     scheduled = F.concat(F.lit('scheduled as "'), F.col("schedule"), F.lit('"'))
     failing = F.format_string("%d consecutive failed runs", streak)
@@ -118,6 +140,7 @@ def status_rows(
             )
         ).cast(_CONDITIONS)
     )
+    # End of fixed values.
     return joined.withColumn("state", state).select(
         "source_id",
         phase.alias("phase"),

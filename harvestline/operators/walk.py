@@ -57,6 +57,7 @@ def walk_runs(facts: DataFrame) -> DataFrame:
         .when(is_status("unsupported"), F.least(F.col("reach"), F.lit(1)))
         .otherwise(F.col("reach"))
     )
+    # What a walk that didn't end well says.
     error = (
         F.when(F.col("strays") > 0, F.lit("page numbers start at 1"))
         .when(is_status("failed"), F.col("page_error"))
@@ -73,6 +74,7 @@ def walk_runs(facts: DataFrame) -> DataFrame:
         )
         .when(is_status("truncated"), F.lit("landed pages end before the result set does"))
     )
+    # End of fixed values.
     return runs.select(
         *RUN,
         "pagination_type",

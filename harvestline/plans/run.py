@@ -24,7 +24,7 @@ from harvestline.operators.chains import number_pages
 from harvestline.operators.ledger import failure_message
 from harvestline.operators.requestlog import page_outcomes, request_counts
 from harvestline.operators.specs import with_defaults, with_violations
-from harvestline.operators.status import pending_requests
+from harvestline.operators.status import pending_requests, suspended_sources
 from harvestline.plans.staging import Staging, stage
 from harvestline.plans.store import TABLE_COLUMNS, Store
 from harvestline.sources.pages import (
@@ -151,24 +151,29 @@ def run_batch(
     *,
     batch_id: str,
     now: datetime,
-    dedupe: bool = True,
+    dedupe: bool | str = True,
     hold_open: bool = False,
+    expire_before: datetime | None = None,
     snapshot_every: int | None = None,
 ) -> DataFrame:
     """Run every source that has pages in this batch; returns the ledger rows written.
 
     ``batch_id`` names the batch's content: one already in the ledger is not run
     again, and of any other the runs that have succeeded before are left out.
+    ``dedupe`` collapses copies of a record within its run; ``"table"`` lands a
+    source's record once in a table, whatever run brings it again.
+    Scheduled runs of suspended sources are left out, unless ``hold_open``.
     ``requests`` holds backfills and triggers; those not carried out before are
     bound to this batch's runs, see ``bound_requests``.  With ``hold_open`` a run
     whose pages end before its result set does is not failed but ``Running``: it
-    lands nothing, and is to be given again with all its pages.  Once
+    lands nothing, and is to be given again with all its pages, unless its first
+    request was before ``expire_before``: then it fails for good.  Once
     ``snapshot_every`` batches have come since the last snapshot, a new one is taken.
     """
     if not store.has_batch(batch_id):
         keep = Staging(store.spark, f"batch-{batch_id}")
         try:
-            _run(store, pages, specs, requests, batch_id, now, dedupe, hold_open, keep)
+            _run(store, pages, specs, requests, batch_id, now, dedupe, hold_open, expire_before, keep)
         finally:
             keep.clear()
         if snapshot_every is not None and store.recent_batches() >= snapshot_every:
@@ -183,8 +188,9 @@ def _run(
     requests: DataFrame | None,
     batch_id: str,
     now: datetime,
-    dedupe: bool,
+    dedupe: bool | str,
     hold_open: bool,
+    expire_before: datetime | None,
     keep: Staging,
 ) -> None:
     spark = store.spark
@@ -209,6 +215,12 @@ def _run(
     if requests is None:
         requests = spark.createDataFrame([], REQUESTS)
     asked = keep(bound_requests(calls, requests, store.started()), "requests")
+    if not hold_open:
+        # What a stream brings was fetched before and would be gone; a batch can be given again.
+        off = keep(suspended_sources(full, store.streaks()), "suspended")
+        idle = calls.select(*RUN).join(off, "source_id", "left_semi").join(asked, RUN, "left_anti")
+        calls = keep(calls.join(idle, RUN, "left_anti"), "due")
+        pages = pages.join(calls.select(*RUN), RUN, "left_semi")
     runs_of_specs = valid.join(calls.select(*RUN), "source_id")
     bounds = keep(resume.resolve_bounds(runs_of_specs, store.resume_points(), asked), "bounds")
 
@@ -262,13 +274,18 @@ def _run(
         & ~F.col("destination.create_if_missing")
         & (count("rows_accepted") > 0)
     )
-    waits = F.lit(hold_open) & (F.size("violations") == 0) & F.col("fetch_error").isNull() & (
+    unfinished = (F.size("violations") == 0) & F.col("fetch_error").isNull() & (
         F.coalesce(F.col("walk_status"), F.lit("truncated")) == "truncated"
     )
+    expired = F.lit(False)
+    if expire_before is not None:
+        expired = unfinished & (F.coalesce("first_request", F.lit(now)) < F.lit(expire_before))
+    waits = F.lit(hold_open) & unfinished & ~expired
     # What a failed run says.
     error = F.coalesce(
         F.when(F.size("violations") > 0, F.array_join("violations", "; ")),
         F.col("fetch_error"),
+        F.when(expired, F.concat(F.lit("gave up waiting for pages: "), F.coalesce("walk_error", F.lit("no page was answered")))),
         F.when(F.col("walk_status") != "complete", F.col("walk_error")),
         F.when(F.col("walk_status").isNull(), F.lit("no page was answered")),
         F.col("drift_error"),
@@ -292,7 +309,11 @@ def _run(
     rows = marked.where(F.col("verdict") == "accepted").join(writable, RUN)
     if dedupe:
         rows = _without_copies(rows, keep)
+    if dedupe == "table":
+        rows = _not_in_tables(store, rows, full, existing, batch_id, keep)
     broken = _write_tables(store, rows, writable, shapes, full, existing, batch_id, keep)
+    if dedupe == "table":
+        store.append_digests(rows.where(F.col("table_name").isNotNull()).withColumn("batch_id", F.lit(batch_id)))
     _write_ndjson(store, rows, writable)
 
     if broken:
@@ -366,6 +387,31 @@ def _without_copies(rows: DataFrame, keep: Staging) -> DataFrame:
     return landing.first_copies(rows, repeated, RUN)
 
 
+def _not_in_tables(
+    store: Store, rows: DataFrame, specs: DataFrame, existing: DataFrame, batch_id: str, keep: Staging
+) -> DataFrame:
+    """Rows of no table, and of the others those whose record their table doesn't hold yet, with its ``version``.
+
+    A record that several runs of the batch bring goes with the first of them.
+    What is compared are digests; a table that is new or truncated holds nothing.
+    """
+    appending = specs.where(F.col("destination.write_disposition") == "Append").select("table_name").distinct()
+    versions = existing.select("table_name", "version").distinct().join(appending, "table_name", "left_semi")
+    key = ["table_name", "source_id", "digest"]
+    named = rows.where(F.col("table_name").isNotNull())
+    index = named.groupBy(*key).agg(F.min("run_id").alias("first_run"), F.max("run_id").alias("last_run"))
+    index = keep(index.join(versions, "table_name", "left"), "fresh_digests")
+    landed = keep(store.landed_digests(index.where(F.col("version").isNotNull())), "landed_digests")
+    several = keep(index.where(F.col("first_run") < F.col("last_run")).select(*key, "first_run"), "several_runs")
+    once = named.join(several, key, "left").where(
+        F.col("first_run").isNull() | (F.col("run_id") == F.col("first_run"))
+    )
+    new = once.drop("first_run").join(landed, key, "left_anti").join(versions, "table_name", "left")
+    new = new.withColumn("version", F.coalesce("version", F.lit(f"v-{batch_id}")))
+    plain = rows.where(F.col("table_name").isNull()).withColumn("version", F.lit(None).cast("string"))
+    return plain.unionByName(new)
+
+
 def _write_tables(
     store: Store,
     rows: DataFrame,

@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+# The folder of each application that names none; the setting can't be changed in a running one.
+_LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,9 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{_CONF} must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="run-harvestline-")
-    spark.conf.set(_CONF, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="run-harvestline-")
+    return _LOCAL[application]
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

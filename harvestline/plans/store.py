@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
 from harvestline.model import DEAD_LETTERS, PAGES, RUNS
@@ -51,6 +51,22 @@ COLUMNS = T.StructType(
         _BATCH,
     ]
 )
+# What each table version holds, by digest; a partition a first digit of the digest.
+DIGESTS = T.StructType(
+    [
+        T.StructField("table_name", T.StringType()),
+        T.StructField("version", T.StringType()),
+        T.StructField("source_id", T.StringType()),
+        T.StructField("run_id", T.StringType()),
+        T.StructField("digest", T.StringType()),
+        T.StructField("prefix", T.StringType()),
+        _BATCH,
+    ]
+)
+OPEN_PAGES = T.StructType(
+    [*PAGES.fields, T.StructField("bucket", T.IntegerType()), T.StructField("label", T.StringType())]
+)
+_BUCKETS = 64  # folders of kept pages an epoch
 _ORDER = T.StructType(
     [T.StructField("run_time", T.TimestampType()), T.StructField("run_id", T.StringType())]
 )
@@ -60,6 +76,10 @@ TABLE_COLUMNS = ("_source_id", "_run_id", "_digest")
 DEAD = T.StructType([*DEAD_LETTERS.fields, T.StructField("table_name", T.StringType()), _BATCH])
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("source_id", "run_id"), F.lit(_BUCKETS)).cast("int")
+
+
 @dataclass(frozen=True)
 class Store:
     spark: SparkSession
@@ -236,6 +256,30 @@ class Store:
         """Columns of each table's current version, which a committed run must have made."""
         return self._live_columns().select("table_name", "version", "column_name", "landing_type")
 
+    def append_digests(self, rows: DataFrame) -> None:
+        """Remember what a batch wrote, sorted so that a digest's neighbours share row groups."""
+        index = rows.withColumn("prefix", F.substring("digest", 1, 1)).select(*DIGESTS.fieldNames())
+        index.hint("rebalance", "prefix").sortWithinPartitions("prefix", "digest").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("prefix", "batch_id").parquet(self._path("digests"))
+
+    def landed_digests(self, fresh: DataFrame) -> DataFrame:
+        """Of the distinct ``(table_name, version, source_id, digest)`` given, those that committed runs landed.
+
+        Reads the index, never a table's rows, and of the index the partitions and
+        row groups that the given digests can be in.  What a batch wrote without
+        committing doesn't count.
+        """
+        key = ["prefix", "table_name", "version", "source_id", "digest"]
+        asked = fresh.withColumn("prefix", F.substring("digest", 1, 1)).select(*key)
+        found = self._read("digests", DIGESTS).join(asked, key, "left_semi")
+        committed = self._rows().where(F.col("result") == "Succeeded").select("source_id", "run_id", "batch_id")
+        return (
+            found.join(committed, ["source_id", "run_id", "batch_id"], "left_semi")
+            .select("table_name", "source_id", "digest")
+            .distinct()
+        )
+
     def table_path(self, table_name: str, version: str) -> str:
         return self._path(f"tables/{table_name}/{version}")
 
@@ -283,14 +327,48 @@ class Store:
             *[f.name for f in DEAD.fields]
         )
 
-    def open_pages(self, label: str) -> DataFrame | None:
-        """Pages of runs that were still open after the batch of that name."""
-        try:
-            return self.spark.read.schema(PAGES).parquet(self._path(f"open_pages/{label}"))
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
+    # --- pages of open runs -----------------------------------------------------------------
+
+    def keep_pages(self, pages: DataFrame, label: str) -> None:
+        """Add an epoch's pages of runs that are still open; written once, by the bucket of their run.
 
-    def write_open_pages(self, pages: DataFrame, label: str) -> None:
-        pages.select(*PAGES.fieldNames()).write.mode("overwrite").parquet(self._path(f"open_pages/{label}"))
+        Writing the same label again replaces what it wrote.
+        """
+        kept = pages.select(*PAGES.fieldNames()).withColumns({"bucket": _bucket(), "label": F.lit(label)})
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "bucket", "label"
+        ).parquet(self._path("open_pages"))
+
+    def open_pages(self, runs: DataFrame | None = None) -> DataFrame:
+        """The kept pages, of the given runs (``source_id, run_id``) only; prunes to their buckets."""
+        kept = self._read("open_pages", OPEN_PAGES)
+        if runs is None:
+            return kept.select(*PAGES.fieldNames())
+        wanted = runs.select("source_id", "run_id", _bucket().alias("bucket")).distinct()
+        return kept.join(wanted, ["bucket", "source_id", "run_id"], "left_semi").select(*PAGES.fieldNames())
+
+    def open_runs(self) -> DataFrame:
+        """Runs that wait for pages, with the first request of each; reads no body."""
+        waiting = self._live_runs().where(F.col("result") == "Running")
+        return waiting.select("source_id", "run_id", "started_at", "attempt", "batch_id")
+
+    def forget_pages(self) -> int:
+        """Delete the kept pages of runs that are over; returns how many folders went.
+
+        To be called after the commit that ended them.  A folder holds one bucket of
+        one epoch and goes when none of its runs is open; so a bucket with a run
+        that stays open keeps only the folders that run has pages in.
+        """
+        if not self._exists("open_pages"):
+            return 0
+        kept = self._read("open_pages", OPEN_PAGES).select("bucket", "label", "source_id", "run_id")
+        alive = kept.join(self.open_runs().select("source_id", "run_id"), ["source_id", "run_id"], "left_semi")
+        alive = alive.select("bucket", "label").distinct().withColumn("alive", F.lit(True))
+        folders = kept.select("bucket", "label").distinct().join(alive, ["bucket", "label"], "left")
+        # One short row a folder.
+        gone = folders.where(F.col("alive").isNull()).select("bucket", "label").collect()
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for row in gone:
+            name = f"open_pages/bucket={row['bucket']}/label={escape(row['label'])}"
+            self._files().delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name)), True)
+        return len(gone)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -282,6 +283,65 @@ def batch_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@BOOK.add(
+    "lazy_tables",
+    f"""WITH {inputs.EVENTS_CTE} SELECT source_id, source_id NOT IN ('click', 'view') AS made_first,
+      source_id <> 'view' AS made, count(*) FILTER (is_object AND source_id <> 'view')
+        * CASE WHEN source_id = 'click' THEN 1 ELSE 2 END AS rows_in_table
+    FROM ev GROUP BY source_id""",
+)
+def lazy_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table is made by the first run that has a row for it: one source has none at first, one never."""
+    store = _fresh_store(spark)
+    pages = inputs.event_pages(spark, sf_dir)
+    specs = _to_tables(spark, sf_dir, "'Append'", "true")
+    empty = F.lit('{"data":{"items":[]},"meta":{}}')
+    never, late = F.col("source_id") == "view", F.col("source_id") == "click"
+    existed = []
+    for i, none in enumerate((never | late, never), 1):
+        landed = pages.where(~none | (F.col("page_no") == 1)).withColumn("body", F.when(none, empty).otherwise(F.col("body")))
+        run_batch(store, _shifted(landed, f"-{i}"), specs, batch_id=f"b{i}", now=datetime(2024, 2, i))
+        existed.append(stage(store.columns().select("table_name").distinct(), "existed"))
+    names = [r[0] for r in existed[1].sort("table_name").collect()]
+    tables = [store.read_table(n).select(F.lit(n).alias("table_name")) for n in names]
+    counts = reduce(DataFrame.unionByName, tables).groupBy("table_name").agg(F.count("*").alias("n"))
+    sources = specs.select("source_id", F.concat(F.lit("d.t_"), "source_id").alias("table_name"))
+    for name, found in zip(("made_first", "made"), existed, strict=True):
+        sources = sources.join(found.withColumn(name, F.lit(True)), "table_name", "left")
+    return sources.join(counts, "table_name", "left").select(
+        "source_id",
+        F.coalesce("made_first", F.lit(False)).alias("made_first"),
+        F.coalesce("made", F.lit(False)).alias("made"),
+        F.coalesce("n", F.lit(0)).alias("rows_in_table"),
+    )
+
+
+@BOOK.add(
+    "dedup_across_runs",
+    f"""WITH {inputs.EVENTS_CTE}
+    SELECT source_id, run_id || CASE WHEN event_id // 5000 % 2 = 0 THEN '-1' ELSE '-2' END AS run_id,
+      count(DISTINCT record) AS rows_landed
+    FROM ev WHERE is_object GROUP BY ALL""",
+)
+def dedup_across_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full pulls into one table: half the runs, then all of them twice; each record lands once."""
+    store = _fresh_store(spark)
+    pages = inputs.event_pages(spark, sf_dir)
+    specs = inputs.event_specs(
+        spark,
+        sf_dir,
+        watermark="NULL",
+        drift="'Ignore'",
+        destination="named_struct('type', 'BigQuery', 'project', 'p', 'dataset', 'd', 'table', 'all_events')",
+    )
+    half = pages.where(F.substring("run_id", 2, 6).cast("int") % 2 == 0)
+    for i, pulled in enumerate((half, pages, pages), 1):
+        run_batch(store, _shifted(pulled, f"-{i}"), specs, batch_id=f"b{i}", now=datetime(2024, 2, i), dedupe="table")
+    return store.read_table("d.all_events").groupBy(
+        F.col("_source_id").alias("source_id"), F.col("_run_id").alias("run_id")
+    ).agg(F.count("*").alias("rows_landed"))
+
+
 @BOOK.add(
     "table_rows",
     f"""WITH {inputs.EVENTS_CTE}

@@ -13,6 +13,7 @@ from harvestline.plans.staging import shared_folder, stage
 from harvestline.plans.store import Store
 from harvestline.queries import inputs
 from harvestline.queries.book import Book
+from harvestline.sources.requests import plan_requests
 
 BOOK = Book()
 
@@ -352,6 +353,40 @@ def pending_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending.select("source_id", "kind", "request_id", "run_id").distinct()
 
 
+@BOOK.add(
+    "due_requests",
+    f"""{_LG}, {_STATUS}, {_REQUESTS}
+    SELECT source_id, 'scheduled' AS kind, CAST(NULL AS STRING) AS request_id, 'https://vendor.invalid/x'
+        || coalesce('?since=' || replace(watermark, ':', '%3A'), '') AS url
+      FROM status WHERE state NOT IN ('auto', 'suspended')
+    UNION ALL SELECT DISTINCT source_id, kind, request_id,
+        'https://vendor.invalid/x?since=2024-01-01T00%3A00%3A00Z' FROM asked a
+      WHERE source_id IN (SELECT source_id FROM sp) AND NOT EXISTS (SELECT 1 FROM begun b WHERE b.run_id = a.run_id)
+        AND NOT (kind = 'backfill' AND EXISTS (SELECT 1 FROM runs r WHERE r.source_id = a.source_id
+          AND r.result = 'Succeeded' AND r.backfill_id = a.request_id))""",
+)
+def due_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First requests of all runs that are due; suspended sources have none but those asked for by name."""
+    runs, folded = _runs(spark, sf_dir), _folded(spark, sf_dir)
+    specs = stage(with_defaults(inputs.ledger_specs(spark, sf_dir)), "specs")
+    off = st.suspended_sources(specs, ledger.failure_streaks(runs, folded))
+    pending = st.pending_requests(_requests(spark, sf_dir), _runs_with_one_offs(spark, sf_dir))
+    due = st.due_runs(specs, off, pending)
+    # One spec a run, so that each has its own bounds.
+    run = F.concat_ws(" ", "source_id", "kind", "request_id")
+    each = due.join(specs, "source_id").withColumn("of", F.col("source_id")).withColumn("source_id", run)
+    asked = F.when(F.col("kind") != "scheduled", F.lit("2024-01-01T00:00:00Z"))
+    resumed = folded.select(F.col("source_id").alias("of"), F.col("watermark").alias("resume_point"))
+    bounds = each.select("source_id", "of", asked.alias("asked")).join(resumed, "of", "left").select(
+        "source_id", F.coalesce("asked", "resume_point").alias("from_value"), F.lit(None).cast("string").alias("to_value")
+    )
+    steps = each.select("source_id", F.lit(0).alias("page_index"), *[F.lit(None).cast("string").alias(c) for c in ("cursor", "next_url")])
+    planned = plan_requests(each, bounds, steps)
+    return planned.join(each.select("source_id", "of", "kind", "request_id"), "source_id").select(
+        F.col("of").alias("source_id"), "kind", "request_id", "url"
+    )
+
+
 @BOOK.add(
     "event_log",
     f"""{_LG}, {_STATUS}, {_CHANGES}, {_REQUESTS}

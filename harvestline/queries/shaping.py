@@ -237,3 +237,21 @@ def adopt_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.max("run_id").alias("run_id"))
     )
     return drift.adopt_shape(stored, shapes, winners)
+
+
+@BOOK.add(
+    "corrupt_shapes",
+    f"""{_WITH}, {_ACCEPTED} SELECT source_id, path, type FROM acc WHERE source_id IN ('click', 'view')""",
+)
+def corrupt_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored documents that are cut off, of another form, empty or missing count as nothing accepted."""
+    documents = drift.format_accepted(_accepted(_shapes(spark, sf_dir)))
+    of = lambda name: F.col("source_id") == name
+    spoilt = (
+        F.when(of("purchase"), F.expr("substring(document, 1, length(document) - 3)"))
+        .when(of("error"), F.lit('[{"fields": 1}]'))
+        .when(of("signup"), F.lit(None))
+        .otherwise(F.col("document"))
+    )
+    more = documents.select(F.concat("source_id", F.lit("-empty")).alias("source_id"), F.lit("").alias("document"))
+    return drift.parse_accepted(documents.withColumn("document", spoilt).unionByName(more))

@@ -12,7 +12,7 @@ from harvestline.plans.store import Store
 from harvestline.queries import inputs
 from harvestline.queries.book import Book
 from harvestline.sources.pages import decode_pages, explode_records, page_config, read_page_stream
-from harvestline.streaming.ingest import dedup_stream, ingest_stream
+from harvestline.streaming.ingest import dedup_stream, expire_runs, ingest_stream
 
 BOOK = Book()
 
@@ -109,3 +109,67 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("source_id")
         .agg(F.count("*").alias("records"))
     )
+
+
+@BOOK.add(
+    "stream_redelivered",
+    f"""WITH {inputs.EVENTS_CTE} SELECT source_id, run_id, 'Succeeded' AS result, CAST(1 AS INTEGER) AS attempt,
+      count(DISTINCT record) AS rows_landed
+    FROM ev WHERE is_object GROUP BY source_id, run_id""",
+)
+def stream_redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page lands once, the stream drains and stops, and after its restart every page lands again.
+
+    What comes again is known from the state in the checkpoint, so no batch sees
+    it and no run is tried twice.
+    """
+    pages = inputs.event_pages(spark, sf_dir)
+    zone, state = _folder(spark, "zone"), _folder(spark, "progress")
+    store = Store(spark, _folder(spark, "store"))
+    specs = inputs.event_specs(spark, sf_dir, watermark="NULL")
+    for _ in range(2):
+        pages.write.mode("append").parquet(zone)
+        stream = read_page_stream(spark, zone)
+        ingest_stream(
+            store, stream, specs, state, now=datetime(2024, 2, 1), redelivery="30 days", snapshot_every=1
+        ).awaitTermination()
+    landed = store.read_ndjson().groupBy(F.col("_source_id").alias("source_id"), F.col("_run_id").alias("run_id"))
+    return store.ledger().select("source_id", "run_id", "result", "attempt").join(
+        landed.agg(F.count("*").alias("rows_landed")), ["source_id", "run_id"]
+    )
+
+
+@BOOK.add(
+    "stream_open_runs",
+    f"""WITH {inputs.EVENTS_CTE}, last AS (SELECT source_id, run_id, max(page_no) AS pages FROM ev GROUP BY ALL),
+    fate AS (SELECT *, CASE WHEN source_id = 'view' AND pages > 1 THEN 'Failed' ELSE 'Succeeded' END AS result FROM last)
+    SELECT f.source_id, f.run_id, f.result,
+      CASE WHEN f.result = 'Failed'
+        THEN 'gave up waiting for pages: landed pages end before the result set does' END AS error,
+      CAST(CASE WHEN f.result = 'Failed' THEN 0 ELSE count(*) FILTER (is_object) END AS BIGINT) AS rows_ingested,
+      CAST(0 AS BIGINT) AS pages_kept
+    FROM ev e JOIN fate f ON f.source_id = e.source_id AND f.run_id = e.run_id
+    GROUP BY f.source_id, f.run_id, f.result""",
+)
+def stream_open_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages arrive over five micro-batches; one source's last pages never do, and its runs expire.
+
+    Kept pages are written once an epoch and none is left when all runs are over.
+    """
+    pages = inputs.event_pages(spark, sf_dir)
+    zone, state = _folder(spark, "zone"), _folder(spark, "progress")
+    store = Store(spark, _folder(spark, "store"))
+    specs = inputs.event_specs(spark, sf_dir, watermark="NULL")
+    last = pages.groupBy("source_id", "run_id").agg(F.max("page_no").alias("pages"))
+    marked = pages.join(last, ["source_id", "run_id"])
+    comes = marked.where((F.col("source_id") != "view") | (F.col("page_no") < F.col("pages")) | (F.col("pages") == 1))
+    comes = comes.drop("pages")
+    for part in range(5):
+        comes.where(F.col("page_no") % 5 == part).coalesce(1).write.mode("append").parquet(zone)
+    stream = read_page_stream(spark, zone, files_per_batch=1)
+    ingest_stream(store, stream, specs, state, now=datetime(2024, 2, 1), dedupe=False).awaitTermination()
+    expire_runs(store, specs, datetime(2025, 1, 1), now=datetime(2025, 1, 2), batch_id="overdue")
+    kept = store.open_pages().groupBy("source_id", "run_id").agg(F.count("*").alias("pages_kept"))
+    return store.ledger().join(kept, ["source_id", "run_id"], "left").select(
+        "source_id", "run_id", "result", "error", "rows_ingested", F.coalesce("pages_kept", F.lit(0)).alias("pages_kept")
+    )

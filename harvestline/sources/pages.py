@@ -93,6 +93,7 @@ def decode_pages(pages: DataFrame, config: DataFrame) -> DataFrame:
     parsed = compute_once(joined, doc=parse_body(F.col("body"))).drop("body")
     found = compute_once(parsed, records=dotted_get(F.col("doc"), F.col("records_path")))
     kind = F.expr(kind_sql("schema_of_variant(records)"))
+    # What a page in error says.
     named = F.concat(F.lit('recordsPath "'), F.col("records_path"), F.lit('"'))
     error = (
         F.when(F.col("too_big"), F.lit(f"response is larger than {MAX_RESPONSE_BYTES} bytes"))
@@ -108,6 +109,7 @@ def decode_pages(pages: DataFrame, config: DataFrame) -> DataFrame:
             ),
         )
     )
+    # End of fixed values.
     return found.withColumn("page_error", error).drop("too_big")
 
 

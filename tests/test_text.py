@@ -27,7 +27,7 @@ def test_rfc3339_keys(spark):
         "2026-02-30T00:00:00Z",
         "2026-01-02T00:00:60Z",
         "2026-01-02T00:00:00",
-        "not-a-timestamp",
+        "yesterday at noon",
         "",
     ]
     keys = column(spark, values, lambda v: order_key(v, "RFC3339"))
