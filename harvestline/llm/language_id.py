@@ -99,40 +99,49 @@ class Model:
     pairs: list[dict[tuple[int, int], np.ndarray]]
 
 
+_BIAS = np.float32(0.1)  # the feature that every text has
+
+
+def _margins(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What machines (one row each, bias last) say of each row; ``x`` is never copied."""
+    return x @ weights[..., :-1].T + _BIAS * weights[..., -1]
+
+
 def _machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A linear support vector machine (squared hinge), by gradient steps with momentum; classes weigh the same."""
+    """A linear support vector machine (squared hinge), by gradient steps with momentum; classes weigh the same.
+
+    Rows whose ``y`` is 0 are of neither class.
+    """
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = np.zeros(x.shape[1], np.float32)
+    w = np.zeros(x.shape[1] + 1, np.float32)
     step = np.zeros_like(w)
     for _ in range(_ROUNDS):
-        miss = np.maximum(0, 1 - y * (x @ w)) * y * weight
-        step = 0.9 * step + (miss @ x) - _DECAY * w
-        w += _RATE * step
+        miss = np.maximum(0, 1 - y * _margins(x, w)) * y * weight
+        step = 0.9 * step + np.append(miss @ x, _BIAS * miss.sum()).astype(np.float32) - np.float32(_DECAY) * w
+        w += np.float32(_RATE) * step
     return w
 
 
-def _with_bias(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([x, np.full((len(x), 1), 0.1, np.float32)], axis=1)
-
-
-def fit(x: np.ndarray, langs: list[str]) -> Model | None:
-    """A model of the languages named, or none without rows."""
-    if not langs:
+def fit(x: np.ndarray, langs: list[str], use: np.ndarray | None = None) -> Model | None:
+    """A model of the languages named, or none without rows; ``use`` marks the rows to learn from."""
+    names = np.array(langs, object)
+    use = np.ones(len(names), bool) if use is None else use
+    if not use.any():
         return None
-    x, names = _with_bias(x), np.array(langs)
     of = np.array([family_of(n) for n in langs])
-    families = sorted(set(of))
-    side = lambda mask: np.where(mask, 1, -1).astype(np.float32)
-    heads = [_machine(x, side(of == f)) if len(families) > 1 else np.zeros(x.shape[1], np.float32) for f in families]
+    families = sorted(set(of[use]))
+    side = lambda own, both: np.where(both, np.where(own, 1, -1), 0).astype(np.float32)
+    nothing = np.zeros(x.shape[1] + 1, np.float32)
+    heads = [_machine(x, side(of == f, use)) if len(families) > 1 else nothing for f in families]
     members, pairs = [], []
     for f in families:
-        own = sorted(set(names[of == f]))
+        own = sorted(set(names[use & (of == f)]))
         members.append([str(n) for n in own])
         machines = {}
         for i in range(len(own)):
             for j in range(i + 1, len(own)):
-                both = (names == own[i]) | (names == own[j])
-                machines[i, j] = _machine(x[both], side(names[both] == own[i]))
+                both = use & ((names == own[i]) | (names == own[j]))
+                machines[i, j] = _machine(x, side(names == own[i], both))
         pairs.append(machines)
     return Model([str(f) for f in families], members, np.stack(heads), pairs)
 
@@ -143,9 +152,8 @@ def _squash(margin: np.ndarray) -> np.ndarray:
 
 def _judge(model: Model, x: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and the two margins (family, mean of the pairs; NaN if there are none) of each row of features."""
-    x = _with_bias(x)
     found = np.full((len(x), 2), np.nan)
-    margins = x @ model.family_weights.T
+    margins = _margins(x, model.family_weights)
     family = margins.argmax(axis=1)
     score = np.ones(len(x))
     if len(model.families) > 1:
@@ -159,7 +167,7 @@ def _judge(model: Model, x: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarr
             continue
         votes, sums, lead = (np.zeros((len(rows), len(langs))) for _ in range(3))
         for (i, j), w in model.pairs[f].items():
-            margin = x[rows] @ w
+            margin = _margins(x, w)[rows]
             won = _squash(margin)
             votes[:, i] += margin > 0
             votes[:, j] += margin <= 0
@@ -185,9 +193,9 @@ def margin_bound(x: np.ndarray, langs: list[str]) -> np.ndarray | None:
     names, half = np.array(langs), np.arange(len(langs)) % 2 == 0
     measured = []
     for told in (half, ~half):
-        model = fit(x[~told], names[~told].tolist())
+        model = fit(x, langs, ~told)
         if model is not None:
-            measured.append(_judge(model, x[told & np.isin(names, names[~told])])[2])
+            measured.append(_judge(model, x)[2][told & np.isin(names, names[~told])])
     found = np.concatenate(measured) if measured else np.empty((0, 2))
     found = found[~np.isnan(found).all(axis=1)]
     if len(found) < CLEAN_ROWS:
@@ -250,8 +258,11 @@ def _learned(rows: DataFrame | None, bounded: bool) -> tuple[Model | None, np.nd
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted(pair for batch in batches for pair in zip(*batch.to_pydict().values(), strict=True))
         langs = [lang for lang, _ in found]
-        x = np.stack([np.frombuffer(raw, np.float16) for _, raw in found]).astype(np.float32) if found else None
-        bound = margin_bound(x, langs) if bounded and found else None
+        x = np.empty((len(found), WIDTH), np.float32)
+        for i in range(len(found)):
+            x[i] = np.frombuffer(found[i][1], np.float16)
+            found[i] = None
+        bound = margin_bound(x, langs) if bounded and langs else None
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((fit(x, langs), bound))], pa.binary())], ["learned"])
 
     (row,) = rows.repartition(1).mapInArrow(learn, "learned binary").collect()
