@@ -96,6 +96,8 @@ def failed_filters(docs: DataFrame, scratch: Scratch) -> DataFrame:
     read = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), "text")
     scanned = scratch.keep(read.mapInArrow(_scan, f"id {kind}, part string, failed string, digest binary"), "scanned")
     first = scanned.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # A table read again, not an aggregate, so that the join can split a text with very many copies.
+    first = scratch.keep(first, "first")
     again = F.when(F.col("id") > F.col("first"), "E").otherwise("")
     return scanned.join(first, "digest", "left").select("id", "part", F.concat("failed", again).alias("failed"))
 
