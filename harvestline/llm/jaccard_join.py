@@ -14,7 +14,10 @@ most ``H = (of - least) * (a + b) / (of + least)`` grams.
    where it spent 2, so that one subset is the other with one deletion or equal.
    What it spends is chosen by cost, the number of sets it would meet; so a segment
    whose subset half the corpus has gets 0, and rare ones get 1 or 2.
-4. Sets met are compared in full.  Links make components.
+4. Sets met are compared by sketch, then in full.  A sketch has a bit for each of
+   many buckets: whether an odd number of the set's grams are in it.  Sketches that
+   differ in more than H bits are of sets that differ in more than H grams, so none
+   that are similar are lost, and most grams are never moved.  Links make components.
 
 No group is spelled out in pairs.  First each node is compared with one other: of
 the centres of its shared subsets (the node that shares most) the one it shares most
@@ -40,18 +43,21 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvestline.llm.common import Scratch
 from harvestline.llm.near_dedup import components, shingle_sets
 
 FILTER_BITS = 26  # of a bitmap of hashes that lets rows through to a join
+_SHIFTS = (64 - FILTER_BITS, 19, 0)  # which bits of a hash name its places in the bitmap
 _WIDEN = (3, 2)  # a band's sizes reach to this times its least
 _REMEMBERED = 1 << 18  # sets a task remembers, to pass on each once
 _ROWS = 1 << 16  # questions in a batch, or one set's
-_OUTPUT = 32 << 20  # bytes in such a batch
+_PIECE = 4 << 20  # bytes of texts or sets in hand at a time
 
 
 @dataclass(frozen=True)
@@ -83,6 +89,11 @@ class Space:
     def segments(self) -> int:
         return self.rule.differing(self.high, self.rule.largest(self.high)) + 1
 
+    @property
+    def words(self) -> int:
+        """64-bit words of a sketch: 32 bits for each gram that may differ."""
+        return (self.segments + 1) // 2
+
     def spend(self, size: int) -> int:
         """What a set of this size has to spend here."""
         own = size <= self.high
@@ -111,8 +122,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_ABOUT = [(0, pa.binary()), (1, pa.int64()), (2, pa.int32()), (3, pa.int32())]
+_ABOUT = [(0, pa.binary()), (1, pa.int32()), (2, pa.int32()), (3, pa.int32())]
 _PLACE = np.uint64(0xD6E8FEB86659FD93)
+_BUCKET = np.uint64(0x8EBC6AF09C88C6E3)
 _VALUE = np.uint64(0xA0761D6478BD642F)
 
 
@@ -132,81 +144,99 @@ def segment_hashes(grams: np.ndarray, space: Space) -> tuple[np.ndarray, np.ndar
     return hashes, segment, value
 
 
+def sketch(grams: np.ndarray, space: Space) -> np.ndarray:
+    """Parities of the buckets of a space, packed."""
+    bucket = (_mix(grams * _BUCKET) >> np.uint64(33)) % np.uint64(64 * space.words)
+    odd = np.bincount(bucket.astype(np.int64), minlength=64 * space.words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch cut into slices of ``_PIECE`` bytes of a column, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    begin, held = 0, 0
+    for i, size in enumerate(sizes):
+        held += size
+        if held >= _PIECE or i == len(sizes) - 1:
+            yield batch.slice(begin, i + 1 - begin)
+            begin, held = i + 1, 0
+
+
 def _grams(column: pa.Array) -> Iterator[np.ndarray]:
     for raw in column:
         yield np.frombuffer(raw.as_py(), np.uint64)
 
 
-def _halves(nodes: list[bytes]) -> np.ndarray:
-    """Nodes as two integers each."""
-    return np.frombuffer(b"".join(nodes), ">u8").astype(np.uint64).reshape(len(nodes), 2)
+def _first_halves(nodes: list[bytes]) -> np.ndarray:
+    """The first eight bytes of each node as an integer."""
+    return np.frombuffer(b"".join(nodes), ">u8").astype(np.uint64)[::2]
 
 
 def _ints(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array(np.concatenate(arrays).astype(np.uint64).view(np.int64) if arrays else np.zeros(0, np.int64), pa.int64())
 
 
-def _sets(k: int):
-    """Every row's size and node; of each node's rows in a task, as far as it remembers, the first has the grams."""
+_SETS = "size long, node binary, place long, grams binary, sketches array<struct<space:int,bits:array<long>>>"
+_SKETCHES = pa.list_(pa.struct([("space", pa.int32()), ("bits", pa.list_(pa.int64()))]))
+
+
+def _sets(k: int, rule: Similarity):
+    """Every row's size and node; of each node's rows in a task, as far as it remembers, the first has the set."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, known = TaskContext.get().partitionId() << 40, set()
         for batch in batches:
-            sizes, nodes, grams, places, held = [], [], [], [], 0
-            begin = 0
-            texts = [raw or b"" for raw in batch.column(1).cast(pa.binary()).to_pylist()]
-            for i, found in enumerate(shingle_sets(texts, k)):
-                raw = found.tobytes()
-                node = hashlib.blake2b(raw, digest_size=16).digest() if raw else None
-                new = raw and node not in known
-                if new:
-                    if len(known) >= _REMEMBERED:
-                        known.clear()
-                    known.add(node)
-                    place += 1
-                    held += len(raw)
-                sizes.append(len(found))
-                nodes.append(node)
-                grams.append(raw if new else None)
-                places.append(place if new else None)
-                if held >= _OUTPUT or i == len(texts) - 1:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).slice(begin, i + 1 - begin),
-                            pa.array(sizes, pa.int64()),
-                            pa.array(nodes, pa.binary()),
-                            pa.array(places, pa.int64()),
-                            pa.array(grams, pa.binary()),
-                        ],
-                        ["row", "size", "node", "place", "grams"],
-                    )
-                    sizes, nodes, grams, places, held, begin = [], [], [], [], 0, i + 1
+            batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.binary())], ["row", "text"])
+            for piece in _pieces(batch, 1):
+                sizes, nodes, places, grams, sketches = [], [], [], [], []
+                for found in shingle_sets([raw or b"" for raw in piece.column(1).to_pylist()], k):
+                    raw = found.tobytes()
+                    node = hashlib.blake2b(raw, digest_size=16).digest() if raw else None
+                    new = bool(raw) and node not in known
+                    if new:
+                        if len(known) >= _REMEMBERED:
+                            known.clear()
+                        known.add(node)
+                        place += 1
+                    sizes.append(len(found))
+                    nodes.append(node)
+                    places.append(place if new else None)
+                    grams.append(raw if new else None)
+                    spaces = spaces_of(len(found), rule) if new else ()
+                    sketches.append([{"space": s.number, "bits": sketch(found, s)} for s in spaces] if new else None)
+                columns = (sizes, pa.int64()), (nodes, pa.binary()), (places, pa.int64()), (grams, pa.binary()), (sketches, _SKETCHES)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), *(pa.array(values, kind) for values, kind in columns)],
+                    ["row", "size", "node", "place", "grams", "sketches"],
+                )
 
     return sets
 
 
 def _subsets(rule: Similarity):
-    """``hash, high, low``: each subset of each node, the node as two integers."""
+    """``hash, bits``: each subset of each node, the node by its first half."""
 
     def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, 1)):
             found, many, nodes = [], [], []
             for node, grams in zip(batch.column(0).to_pylist(), _grams(batch.column(1)), strict=True):
                 for space in spaces_of(len(grams), rule):
                     found.append(segment_hashes(grams, space)[0])
                     many.append(len(found[-1]))
                     nodes.append(node)
-            halves = np.repeat(_halves(nodes).view(np.int64), many, axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [_ints(found), *(pa.array(halves[:, i], pa.int64()) for i in (0, 1))], ["hash", "high", "low"]
-            )
+            halves = np.repeat(_first_halves(nodes).view(np.int64), many)
+            yield pa.RecordBatch.from_arrays([_ints(found), pa.array(halves, pa.int64())], ["hash", "bits"])
 
     return subsets
 
 
 def _marked(area: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes >> np.uint64(64 - FILTER_BITS)
-    return (area[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    """Whether all of a hash's bits are set in a bitmap."""
+    found = np.ones(len(hashes), bool)
+    for shift in _SHIFTS:
+        at = (hashes >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
+        found &= (area[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return found
 
 
 def _shared_subsets(rule: Similarity, shared):
@@ -217,7 +247,7 @@ def _shared_subsets(rule: Similarity, shared):
 
     def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         area = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, 1)):
             found, about = [], []
             for node, grams in zip(batch.column(0).to_pylist(), _grams(batch.column(1)), strict=True):
                 for space in spaces_of(len(grams), rule):
@@ -242,11 +272,11 @@ def _shared_subsets(rule: Similarity, shared):
 
 
 def _questions(rule: Similarity):
-    """``node, size, space, spend, segment, hash, deleted``: all that a set could ask for in a space.
+    """``node, space, spend, segments, segment, hash, deleted``: all that a set could ask for in a space.
 
     Its subsets, and its subsets without one gram (``deleted``).
     """
-    names = ["node", "size", "space", "spend", "segment", "hash", "deleted"]
+    names = ["node", "space", "spend", "segments", "segment", "hash", "deleted"]
 
     def batch_of(sets: list[tuple], columns: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         many = [len(part[0]) for part in columns]
@@ -265,7 +295,7 @@ def _questions(rule: Similarity):
                     if space.number not in numbers:
                         continue
                     hashes, segment, value = segment_hashes(grams, space)
-                    sets.append((node, len(grams), space.number, space.spend(len(grams))))
+                    sets.append((node, space.number, space.spend(len(grams)), space.segments))
                     columns.append(
                         (
                             np.concatenate([np.arange(len(hashes)), segment]),
@@ -284,15 +314,15 @@ def _questions(rule: Similarity):
 
 
 def _answers(rule: Similarity, whole, without):
-    """``hash, deleted, node, size``: subsets that are asked for, and subsets that are with one deletion.
+    """``hash, deleted, node, size, space``: subsets that are asked for, and subsets that are with one deletion.
 
     ``whole`` marks the hashes that subsets may have, ``without`` those that they may have with a gram deleted.
     """
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = [np.frombuffer(area.value, np.uint8) for area in (whole, without)]
-        for batch in batches:
-            found, deleted, nodes, sizes = [], [], [], []
+        for batch in (piece for some in batches for piece in _pieces(some, 1)):
+            found, deleted, nodes, sizes, numbers = [], [], [], [], []
             for node, grams in zip(batch.column(0).to_pylist(), _grams(batch.column(1)), strict=True):
                 for space in spaces_of(len(grams), rule):
                     hashes, segment, value = segment_hashes(grams, space)
@@ -302,9 +332,10 @@ def _answers(rule: Similarity, whole, without):
                         deleted += [bool(kind)] * len(hits)
                         nodes += [node] * len(hits)
                         sizes += [len(grams)] * len(hits)
+                        numbers += [space.number] * len(hits)
+            columns = (deleted, pa.bool_()), (nodes, pa.binary()), (sizes, pa.int64()), (numbers, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [_ints(found), pa.array(deleted, pa.bool_()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64())],
-                ["hash", "deleted", "node", "size"],
+                [_ints(found), *(pa.array(values, kind) for values, kind in columns)], ["hash", "deleted", "node", "size", "space"]
             )
 
     return answers
@@ -328,16 +359,17 @@ def allocate(spend: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
 def _allocations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes, spaces, segments, units = [], [], [], []
-        for node, space, spend, costs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            costs = sorted((c["segment"], c["one"], c["two"]) for c in costs)
-            one, two = (np.array([c[i] for c in costs], np.float64) for i in (1, 2))
+        for node, space, spend, many, costs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            one, two = np.zeros(many), np.zeros(many)
+            for c in costs:
+                one[c["segment"]], two[c["segment"]] = c["one"], c["two"]
             spent = allocate(spend, one, two)
-            for (segment, _, _), u in zip(costs, spent.tolist(), strict=True):
-                if u:
-                    nodes.append(node)
-                    spaces.append(space)
-                    segments.append(segment)
-                    units.append(u)
+            # Where nothing is met it doesn't matter what is spent.
+            for segment in (c["segment"] for c in costs if spent[c["segment"]]):
+                nodes.append(node)
+                spaces.append(space)
+                segments.append(segment)
+                units.append(int(spent[segment]))
         yield pa.RecordBatch.from_arrays(
             [pa.array(nodes, pa.binary()), pa.array(spaces, pa.int32()), pa.array(segments, pa.int32()), pa.array(units, pa.int32())],
             ["node", "space", "segment", "units"],
@@ -350,7 +382,7 @@ def _marked_nodes(shared):
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         area = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            yield batch.filter(pa.array(_marked(area, _halves(batch.column(0).to_pylist())[:, 0])))
+            yield batch.filter(pa.array(_marked(area, _first_halves(batch.column(0).to_pylist()))))
 
     return marked
 
@@ -369,10 +401,10 @@ def _verify(rule: Similarity):
 
 
 def bitmap(hashes: DataFrame) -> bytes:
-    """A bitmap of fixed size with the first bits of one column of longs set."""
-    bit = F.shiftrightunsigned(hashes.columns[0], 64 - FILTER_BITS) + 1
+    """A bitmap of fixed size with some bits set for each of one column of longs."""
+    each = [F.shiftrightunsigned(hashes.columns[0], s).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1 for s in _SHIFTS]
     # Spark's bitmaps are of 32,768 bits each.
-    parts = hashes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
+    parts = hashes.select(F.explode(F.array(*each)).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
     area = bytearray((1 << FILTER_BITS) // 8)
     for row in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).toLocalIterator():
         begin = (row["bucket"] - 1) * 4096
@@ -390,22 +422,34 @@ class _Join:
         self.spark, self.rule = docs.sparkSession, rule
         self.scratch = Scratch(self.spark, "jaccard-join")
         kind = docs.schema[key].dataType.simpleString()
-        self.rows = self.scratch.keep(
-            docs.select(key, "text").mapInArrow(_sets(k), f"row {kind}, size long, node binary, place long, grams binary"), "sets"
-        )
+        self.rows = self.scratch.keep(docs.select(key, "text").mapInArrow(_sets(k, rule), f"row {kind}, {_SETS}"), "sets")
         # A set of fewer grams than this is similar to equal ones only.
         least = next((n for n in range(1, 10_000) if spaces_of(n, rule)), 1 << 62)
-        self.sets = self.rows.filter(F.col("place").isNotNull() & (F.col("size") >= least)).select("node", "grams", "place")
+        self.sets = self.rows.filter(F.col("place").isNotNull() & (F.col("size") >= least))
 
     def shared(self, hashes: DataFrame):
         return self.spark.sparkContext.broadcast(bitmap(hashes))
 
+    def sketches(self, nodes: DataFrame, side: str) -> DataFrame:
+        """``{side}, space, size_{side}, bits_{side}`` of distinct nodes; reads no grams."""
+        some = self.sets.select("node", "size", "sketches").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        return some.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.inline("sketches")).withColumnRenamed(
+            "bits", f"bits_{side}"
+        )
+
+    def may_be_similar(self) -> Column:
+        """Of ``size_a, bits_a, size_b, bits_b``: not true only where the sets can't be similar."""
+        differ = F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        grams = F.aggregate(differ, F.lit(0), lambda total, n: total + n)
+        least, of = self.rule.least, self.rule.of
+        near = of * F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")
+        return near & ((of + least) * grams <= (of - least) * (F.col("size_a") + F.col("size_b")))
+
     def subsets(self) -> DataFrame:
         """``hash, space, node, size, slack``: subsets that several nodes have, each node once."""
-        every = self.sets.select("node", "grams").mapInArrow(_subsets(self.rule), "hash long, high long, low long")
-        ends = [f(c).alias(f"{n}_{c}") for c in ("high", "low") for n, f in (("min", F.min), ("max", F.max))]
-        common = every.groupBy("hash").agg(*ends).filter("min_high <> max_high OR min_low <> max_low").select("hash")
-        common = self.scratch.keep(common, "common")
+        every = self.sets.select("node", "grams").mapInArrow(_subsets(self.rule), "hash long, bits long")
+        ends = every.groupBy("hash").agg(F.min("bits").alias("least"), F.max("bits").alias("most"))
+        common = self.scratch.keep(ends.filter("least <> most").select("hash"), "common")
         marks = self.shared(common)
         found = self.sets.select("node", "grams").mapInArrow(
             _shared_subsets(self.rule, marks), "hash long, space int, node binary, size long, slack int"
@@ -415,24 +459,25 @@ class _Join:
         self.scratch.drop(common)
         return kept
 
-    def grams_of(self, nodes: DataFrame, step: str) -> DataFrame:
-        """``node, grams`` of distinct nodes, each once."""
+    def grams_of(self, nodes: DataFrame) -> tuple[DataFrame, Broadcast]:
+        """``node, grams`` of distinct nodes, each once, by node; and the bitmap behind it."""
         marks = self.shared(_node_bits(nodes))
-        found = self.sets.mapInArrow(_marked_nodes(marks), self.sets.schema).join(nodes, "node", "left_semi")
-        one = self.scratch.keep(found.groupBy("node").agg(F.min_by("grams", "place").alias("grams")), step)
-        marks.destroy()
-        return one
+        some = self.sets.select("node", "grams", "place")
+        found = some.mapInArrow(_marked_nodes(marks), some.schema).join(nodes, "node", "left_semi")
+        return found.groupBy("node").agg(F.min_by("grams", "place").alias("grams")), marks
 
     def verified(self, pairs: DataFrame, step: str) -> DataFrame:
         """The links among distinct pairs ``a, b``."""
         pairs = self.scratch.keep(pairs, f"{step}-pairs")
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        grams = self.grams_of(self.scratch.keep(nodes, f"{step}-nodes"), f"{step}-grams")
+        # Grams are dealt by node once, for both sides; what moves again is one set a pair.
+        grams, marks = self.grams_of(self.scratch.keep(nodes, f"{step}-nodes"))
         a = grams.select(F.col("node").alias("a"), F.col("grams").alias("of_a"))
         b = grams.select(F.col("node").alias("b"), F.col("grams").alias("of_b"))
         full = pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b")
         links = self.scratch.keep(full.mapInArrow(_verify(self.rule), "a binary, b binary"), step)
-        self.scratch.drop(pairs, grams)
+        marks.destroy()
+        self.scratch.drop(pairs)
         return links
 
     def first_links(self, subsets: DataFrame) -> DataFrame:
@@ -440,9 +485,17 @@ class _Join:
         many = subsets.groupBy("hash").agg(F.count("*").alias("n"))
         weight = subsets.join(many, "hash").groupBy("node").agg(F.sum("n").alias("weight"))
         centres = subsets.join(weight, "node").groupBy("hash").agg(F.max_by("node", F.struct("weight", "node")).alias("centre"))
-        near = subsets.join(centres, "hash").filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
-        best = near.groupBy(F.col("node").alias("a")).agg(F.max_by("centre", F.struct("n", "centre")).alias("b"))
-        return self.verified(best, "first")
+        met = subsets.join(centres, "hash").filter("node <> centre").groupBy("node", "space", "slack", "centre")
+        # Similar sets have all but H subsets in common.
+        near = met.agg(F.count("*").alias("n")).filter("n > slack")
+        best = near.groupBy(F.col("node").alias("a")).agg(F.max_by(F.struct("centre", "space"), F.struct("n", "centre")).alias("best"))
+        best = self.scratch.keep(best.select("a", F.col("best.centre").alias("b"), F.col("best.space").alias("space")), "best")
+        a = self.sketches(best.select(F.col("a").alias("node")), "a")
+        b = self.sketches(best.select(F.col("b").alias("node")).distinct(), "b")
+        close = best.join(a, ["a", "space"]).join(b, ["b", "space"]).filter(self.may_be_similar())
+        links = self.verified(close.select("a", "b"), "first")
+        self.scratch.drop(best)
+        return links
 
     def searching(self, subsets: DataFrame, ranks: DataFrame) -> DataFrame:
         """``node, spaces``: those that can't spend all on subsets that no larger component shares."""
@@ -456,16 +509,19 @@ class _Join:
         """All links between nodes of different components."""
         roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
         size = roots.groupBy("root").agg(F.count("*").alias("many"))
-        ranks = self.scratch.keep(roots.join(size, "root").select("node", F.struct("many", "root").alias("rank")), "ranks")
+        ranks = self.scratch.keep(roots.join(size, "root").select("node", F.struct("many", F.xxhash64("root").alias("root")).alias("rank")), "ranks")
         searching = self.scratch.keep(self.searching(subsets, ranks), "searching")
-        own = self.grams_of(searching.select("node"), "own").join(searching, "node").select("node", "grams", "spaces")
+        own, marks = self.grams_of(searching.select("node"))
         asked = self.scratch.keep(
-            own.mapInArrow(_questions(self.rule), "node binary, size long, space int, spend int, segment int, hash long, deleted boolean"),
+            own.join(searching, "node")
+            .select("node", "grams", "spaces")
+            .mapInArrow(_questions(self.rule), "node binary, space int, spend int, segments int, segment int, hash long, deleted boolean"),
             "questions",
         )
+        marks.destroy()
         whole, without = self.shared(asked.select("hash")), self.shared(asked.filter("NOT deleted").select("hash"))
         found = self.sets.select("node", "grams").mapInArrow(
-            _answers(self.rule, whole, without), "hash long, deleted boolean, node binary, size long"
+            _answers(self.rule, whole, without), "hash long, deleted boolean, node binary, size long, space int"
         )
         wanted = asked.select("hash").distinct()
         answers = self.scratch.keep(
@@ -481,40 +537,48 @@ class _Join:
             .unionByName(shorter.withColumns({"against": F.lit(False), "unit": F.lit(2)}))
             .drop("deleted")
         )
-        looks = _ranked(looks, ranks)
         kinds = answers.withColumnRenamed("deleted", "against")
         all_of = kinds.groupBy("hash", "against").agg(F.count("*").alias("all"), F.max("rank").alias("top"))
         own_of = kinds.groupBy("hash", "against", "rank").agg(F.count("*").alias("own"))
-        priced = looks.join(all_of, ["hash", "against"], "left").join(own_of, ["hash", "against", "rank"], "left")
-        price = F.when(F.col("top") > F.col("rank"), F.col("all") - F.coalesce("own", F.lit(0))).otherwise(0)
-        segments = priced.groupBy("node", "space", "spend", "segment").agg(
+        # Only what meets a node of a larger component has a price; the rest is for nothing.
+        met = _ranked(looks.join(all_of, ["hash", "against"]), ranks).filter("rank < top")
+        met = self.scratch.keep(met.drop("top"), "met")
+        priced = met.join(own_of, ["hash", "against", "rank"], "left")
+        price = F.col("all") - F.coalesce("own", F.lit(0))
+        costs = priced.groupBy("node", "space", "spend", "segments", "segment").agg(
             F.sum(F.when(F.col("unit") == 1, price).otherwise(0)).alias("one"), F.sum(price).alias("two")
         )
         spent = self.scratch.keep(
-            segments.groupBy("node", "space", "spend")
+            costs.groupBy("node", "space", "spend", "segments")
             .agg(F.collect_list(F.struct("segment", "one", "two")).alias("costs"))
             .mapInArrow(_allocations, "node binary, space int, segment int, units int"),
             "spent",
         )
-        chosen = looks.join(spent, ["node", "space", "segment"]).filter("unit <= units")
-        other = kinds.select("hash", "against", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("rank").alias("rank_b"))
-        asking = chosen.select("hash", "against", F.col("node").alias("a"), "size", "rank")
-        least, of = self.rule.least, self.rule.of
+        chosen = met.join(spent, ["node", "space", "segment"]).filter("unit <= units")
+        chosen = self.scratch.keep(chosen.select("hash", "against", "space", F.col("node").alias("a"), "rank"), "chosen")
+        lowest = chosen.groupBy("hash", "against").agg(F.min("rank").alias("lowest"))
+        others = self.scratch.keep(
+            kinds.join(lowest, ["hash", "against"])
+            .filter("rank > lowest")
+            .select("hash", "against", "space", F.col("node").alias("b"), F.col("rank").alias("rank_b")),
+            "others",
+        )
+        asking = chosen.join(self.sketches(searching.select("node"), "a"), ["a", "space"])
+        answering = others.join(self.sketches(others.select(F.col("b").alias("node")).distinct(), "b"), ["b", "space"])
         pairs = (
-            asking.join(other, ["hash", "against"])
-            .filter(F.col("rank") < F.col("rank_b"))
-            .filter(of * F.least("size", "size_b") >= least * F.greatest("size", "size_b"))
+            asking.join(answering.drop("space"), ["hash", "against"])
+            .filter((F.col("rank") < F.col("rank_b")) & self.may_be_similar())
             .select("a", "b")
             .distinct()
         )
         links = self.verified(pairs, "last")
-        self.scratch.drop(ranks, searching, asked, answers, spent)
+        self.scratch.drop(ranks, searching, asked, answers, met, spent, chosen, others)
         return links
 
 
 def _ranked(rows: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Rows with a node, and its component's rank: by number of nodes, then root."""
-    alone = F.struct(F.lit(1).cast("long").alias("many"), F.col("node").alias("root"))
+    """Rows with a node, and its component's rank: by number of nodes, then hash of the root."""
+    alone = F.struct(F.lit(1).cast("long").alias("many"), F.xxhash64("node").alias("root"))
     return rows.join(ranks, "node", "left").withColumn("rank", F.coalesce("rank", alone))
 
 
@@ -530,7 +594,7 @@ def similar_groups(docs: DataFrame, k: int = 3, least: int = 90, of: int = 100,
     last = join.last_links(subsets, components(first, join.scratch))
     roots = components(first.unionByName(last), join.scratch)
     join.scratch.drop(subsets)
-    return join.rows.join(roots, "node", "left").select("row", F.col("size").alias("n_shingles"), F.coalesce("root", "node").alias("group"))
+    return join.rows.select("row", "size", "node").join(roots, "node", "left").select("row", F.col("size").alias("n_shingles"), F.coalesce("root", "node").alias("group"))
 
 
 def join_report(docs: DataFrame, k: int = 3, least: int = 90, of: int = 100) -> DataFrame:

@@ -79,6 +79,21 @@ def test_similar_sets_meet_in_a_space_whatever_is_spent(rule):
     assert met > 50
 
 
+def test_sketches_never_part_similar_sets():
+    rng = np.random.default_rng(11)
+    parted = 0
+    for _ in range(300):
+        a, b = near_sets(rng, int(rng.integers(20, 600)), int(rng.integers(1, 150)))
+        for space in set(jj.spaces_of(len(a), RULE)) & set(jj.spaces_of(len(b), RULE)):
+            x, y = jj.sketch(a, space), jj.sketch(b, space)
+            assert len(x) == space.words
+            bits = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+            assert bits <= len(np.setxor1d(a, b))
+            parted += bits > RULE.differing(len(a), len(b))
+            assert not (similar(a, b, RULE) and bits > RULE.differing(len(a), len(b)))
+    assert parted
+
+
 def test_allocations_are_the_cheapest_or_nearly_so():
     rng = np.random.default_rng(3)
     for _ in range(200):
