@@ -1,11 +1,13 @@
 """Operator 10: chat formatting of heterogeneous layouts, in DataFrame operations only.
 
 A record's layout is told by its schema fingerprint: the hash of its nested field
-paths, types left out.  A table of fingerprints selects the declarative mapping
-that turns a record into canonical turns (role, text): rows of one turn,
-prompt-and-answer pairs, instructions with input and output, lists of messages
-under two spellings.  Typed columns are fingerprinted by their schema, JSON
-records one by one; both give the same fingerprint for the same paths.
+paths, types left out.  Fingerprints select the declarative mapping that turns a
+record into canonical turns (role, text): rows of one turn, prompt-and-answer
+pairs, instructions with input and output, lists of messages under two spellings.
+Records are JSON texts or rows of typed columns, each fingerprinted by itself, so
+one table may hold several layouts.  Fields that a layout doesn't name are set
+aside; of layouts that a record has all fields of, the first in ``LAYOUTS`` is
+its own.
 
 A turn is written as
 
@@ -16,20 +18,26 @@ and the widely used ones, ``CONTROL``) are replaced by a backslash and a letter,
 so none is left and reading back is exact.  The loss mask is a list of spans, one
 an assistant turn, over that turn's text and nothing else.
 
-Null text or role: empty.  Null ``conv_id``: a conversation of its own.  Turns
-are in order of ``turn`` (null first), then role, then text, so repeated rows
-stand side by side.  A record of unknown layout gives no turns and is reported
-with layout null; it is not dropped.  An empty table gives an empty result.
+Null text or role: empty; a column or JSON field that is null is there all the
+same.  An empty list of messages has no turns.  Null ``conv_id``: a conversation of
+its own.  Turns are in order of ``turn`` (null first), then role, then text, so
+repeated rows stand side by side.  A record of unknown layout gives no turns and is
+reported by ``canonical_turns`` with layout null; a table whose columns hold no
+layout is refused.  Columns called ``layout`` or ``turns`` beside records are
+replaced.  An empty table gives an empty result.  A record may have 128 MiB, as much
+as a VARIANT holds; JSON strings may have 20 million characters, Spark's parser's limit.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harvestline.functions.once import compute_once
+
 TURN, END = "<|turn|>", "<|end|>\n"
 
 # Control strings and the letters that stand for them after a backslash.
@@ -68,31 +76,33 @@ def _list(path: str, role: str, text: str) -> str:
 
 
 # Layouts: name, field paths, and the turns as an expression over the variant ``record``.
+# One that has all paths of another comes before it.
 LAYOUTS: list[tuple[str, list[str], str]] = [
     ("turn", ["role", "text"], _pairs((_field("role"), _field("text")))),
-    ("prompt", ["completion", "prompt"], _pairs(("'user'", _field("prompt")), ("'assistant'", _field("completion")))),
-    ("answer", ["prompt", "response"], _pairs(("'user'", _field("prompt")), ("'assistant'", _field("response")))),
+    ("messages", ["messages[].content", "messages[].role"], _list("messages", "role", "content")),
+    ("conversations", ["conversations[].from", "conversations[].value"], _list("conversations", "from", "value")),
     (
-        "question",
-        ["answer", "question"],
-        _pairs(("'user'", _field("question")), ("'assistant'", _field("answer"))),
+        "instruction_input",
+        ["input", "instruction", "output"],
+        _pairs(
+            ("'user'", f"concat_ws('\\n\\n', {_field('instruction')}, nullif({_field('input')}, ''))"),
+            ("'assistant'", _field("output")),
+        ),
     ),
     (
         "instruction",
         ["instruction", "output"],
         _pairs(("'user'", _field("instruction")), ("'assistant'", _field("output"))),
     ),
+    ("prompt", ["completion", "prompt"], _pairs(("'user'", _field("prompt")), ("'assistant'", _field("completion")))),
+    ("answer", ["prompt", "response"], _pairs(("'user'", _field("prompt")), ("'assistant'", _field("response")))),
     (
-        "instruction_input",
-        ["input", "instruction", "output"],
-        _pairs(
-            ("'user'", f"concat_ws('\\n\\n', {_field('instruction')}, nullif({_field('input')}, ''))"),
-            ("'assistant'", _field("output")),
-        ),
+        "question",
+        ["answer", "question"],
+        _pairs(("'user'", _field("question")), ("'assistant'", _field("answer"))),
     ),
-    ("messages", ["messages[].content", "messages[].role"], _list("messages", "role", "content")),
-    ("conversations", ["conversations[].from", "conversations[].value"], _list("conversations", "from", "value")),
 ]
+KNOWN = sorted({path for _, paths, _ in LAYOUTS for path in paths})
 
 
 def schema_paths(schema: T.DataType, at: str = "") -> list[str]:
@@ -105,69 +115,90 @@ def schema_paths(schema: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def _shape(paths: list[str]) -> str:
-    """Field paths as the nested type that JSON records of that layout show."""
-    tree: dict = {}
-    for path in paths:
-        node = tree
-        for part in path.split("."):
-            node = node.setdefault(part, {})
+def known_paths(record: Column) -> Column:
+    """Of a variant: its nested field paths that some layout has, sorted."""
+    fields = F.map_keys(F.try_variant_get(record, "$", "map<string,variant>"))
+    there = []
+    for path in KNOWN:
+        head, _, inner = path.partition("[].")
+        if inner:
+            items = F.try_variant_get(record, f"$.{head}", "array<map<string,variant>>")
+            # An empty list has the fields of any.
+            names = F.flatten(F.transform(items, lambda item: F.map_keys(item)))
+            has = (F.size(items) == 0) | F.array_contains(names, inner)
+        else:
+            has = F.array_contains(fields, head)
+        there.append(F.when(has, F.lit(path)))
+    return F.array_compact(F.array(*there))
 
-    def shown(node: dict) -> str:
-        if not node:
-            return "*"
-        fields = sorted((k.removesuffix("[]"), k.endswith("[]"), v) for k, v in node.items())
-        return "OBJECT<" + ", ".join(f"{k}: {'ARRAY<' + shown(v) + '>' if many else shown(v)}" for k, many, v in fields) + ">"
 
-    return shown(tree)
+def _hashed(paths: Column) -> Column:
+    return F.xxhash64(F.array_join(paths, "\n"))
 
 
 def fingerprint_of(paths: list[str]) -> Column:
-    return F.xxhash64(F.lit(_shape(paths)))
+    return _hashed(F.array(*(F.lit(path) for path in sorted(paths))))
 
 
 def fingerprint(record: Column) -> Column:
-    """Of a variant: the hash of its field paths."""
-    scalar = r"(?<=[:<] )(?!OBJECT<|ARRAY<)[A-Z]+(\([0-9, ]*\))?|(?<=ARRAY<)(?!OBJECT<|ARRAY<)[A-Z]+(\([0-9, ]*\))?"
-    return F.xxhash64(F.regexp_replace(F.schema_of_variant(record), scalar, "*"))
+    """Of a variant: the hash of its field paths, unknown ones set aside."""
+    return _hashed(known_paths(record))
 
 
-def _layouts(spark: SparkSession) -> DataFrame:
-    made = spark.createDataFrame([(name, _shape(paths)) for name, paths, _ in LAYOUTS], "layout string, shape string")
-    return made.select(F.xxhash64("shape").alias("fingerprint"), "layout")
+def _layout(paths: Column) -> Column:
+    """The first layout whose fingerprint is that of the record's paths without those that it doesn't name."""
 
+    def told(name: str, wanted: list[str]) -> Column:
+        own = F.array_intersect(F.array(*(F.lit(path) for path in sorted(wanted))), paths)
+        return F.when(_hashed(own) == fingerprint_of(wanted), F.lit(name))
 
-def canonical_turns(records: DataFrame) -> DataFrame:
-    """``layout`` and ``turns`` beside the columns of ``records``, whose JSON text is in ``record``."""
-    parsed = records.withColumn("record", F.try_parse_json("record")).withColumn("fingerprint", fingerprint(F.col("record")))
-    known = parsed.join(F.broadcast(_layouts(records.sparkSession)), "fingerprint", "left")
+    return F.coalesce(*(told(name, wanted) for name, wanted, _ in LAYOUTS))
+
+
+def _mapped(records: DataFrame) -> DataFrame:
+    """``row, layout, turns`` of ``row`` and a variant ``record``."""
+    known = compute_once(records, paths=known_paths(F.col("record")))
+    known = compute_once(known, layout=_layout(F.col("paths")))
     turns = reduce(
         lambda rest, layout: F.when(F.col("layout") == layout[0], F.expr(layout[2]).cast(_TURN)).otherwise(rest),
         LAYOUTS,
         F.array().cast(_TURN),
     )
-    return known.withColumn("turns", turns).drop("record", "fingerprint")
+    return known.select("row", "layout", turns.alias("turns"))
+
+
+def canonical_turns(records: DataFrame) -> DataFrame:
+    """``layout`` and ``turns`` beside the columns of ``records``, whose JSON text is in ``record``."""
+    parsed = compute_once(records.select(F.struct("*").alias("row")), record=F.try_parse_json("row.record"))
+    kept = [F.col("row").getField(name).alias(name) for name in records.columns if name not in ("record", "layout", "turns")]
+    return _mapped(parsed).select(*kept, "layout", "turns")
+
+
+def _spread(mapped: DataFrame) -> DataFrame:
+    """``conv_id, turn, part, role, text``: a row a turn."""
+    each = mapped.select("row.conv_id", "row.turn", F.posexplode("turns").alias("part", "made"))
+    return each.select("conv_id", "turn", "part", "made.role", "made.text")
+
+
+def record_rows(records: DataFrame) -> DataFrame:
+    """``conv_id, turn, part, role, text`` from JSON records (``conv_id, turn, record``) of any layouts."""
+    rows = F.struct("conv_id", "turn").alias("row")
+    return _spread(_mapped(compute_once(records.select(rows, F.col("record").alias("raw")), record=F.try_parse_json("raw"))))
 
 
 def turn_rows(rows: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, text`` from rows of one turn, whatever mapping their columns select.
+    """``conv_id, turn, part, role, text`` from rows of typed columns, each row a record.
 
-    The row's message columns (all but ``conv_id`` and ``turn``) are fingerprinted
-    by the table's schema.  Columns no mapping knows are left aside.
+    The row's columns that some mapping knows make up the record; others, and fields
+    inside them that no mapping knows, are left aside.
     """
-    spark = rows.sparkSession
-    wanted = {p for _, paths, _ in LAYOUTS for p in paths}
-    message = T.StructType([f for f in rows.schema if f.name in wanted])
-    known = _layouts(spark).filter(F.col("fingerprint") == fingerprint_of(schema_paths(message))).select("layout")
-    layout = known.first()
-    if layout is None:
-        raise ValueError(f"no mapping for rows with the fields {schema_paths(message)}")
-    expression = next(e for name, _, e in LAYOUTS if name == layout["layout"])
-    # Typed columns need no JSON: a mapping's fields are the columns themselves.
-    for name in message.names:
-        expression = expression.replace(_field(name), f"cast(`{name}` AS string)")
-    spread = rows.select("conv_id", "turn", F.posexplode(F.expr(expression).cast(_TURN)).alias("part", "made"))
-    return spread.select("conv_id", "turn", "part", "made.role", "made.text")
+    heads = {path.partition("[]")[0] for path in KNOWN}
+    message = T.StructType([f for f in rows.schema if f.name in heads])
+    paths = schema_paths(message)
+    if not any(set(wanted) <= set(paths) for _, wanted, _ in LAYOUTS):
+        raise ValueError(f"no mapping for rows with the fields {paths}")
+    record = F.to_variant_object(F.struct(*message.names))
+    return _spread(_mapped(compute_once(rows.select(F.struct("conv_id", "turn").alias("row"), *message.names), record=record)))
 
 
 def _escaped(text: Column, line: bool = False) -> Column:
@@ -236,7 +267,11 @@ def read_back(chats: DataFrame) -> DataFrame:
 
 def chat_report(rows: DataFrame) -> DataFrame:
     """Digests of each conversation as read back from its formatted text."""
-    back = read_back(format_chats(turn_rows(rows)))
+    return digests(read_back(format_chats(turn_rows(rows))))
+
+
+def digests(back: DataFrame) -> DataFrame:
+    """What was read back, a row a conversation, as digests."""
     turn = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
     loss = F.array_join("learnt", "")
     return back.select(

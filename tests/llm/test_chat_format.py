@@ -100,3 +100,48 @@ def test_typed_and_json_records_have_one_fingerprint(spark, name, paths):
 def test_unknown_typed_layout_is_refused(spark):
     with pytest.raises(ValueError, match="no mapping"):
         cf.turn_rows(spark.createDataFrame([(1, 0, "x")], "conv_id long, turn long, body string"))
+
+
+def read(turns):
+    return {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in cf.read_back(cf.format_chats(turns)).collect()}
+
+
+def test_records_of_all_layouts_through_to_chats(spark):
+    further = {"id": 7, "source": "x", "meta": {"role": "r"}, "system": None}
+    rows = [(i, 0, json.dumps({**r, **more})) for more in ({}, further) for i, (r, layout, _) in enumerate(RECORDS) if layout]
+    rows = [(k, turn, record) for k, (_, turn, record) in enumerate(rows)]
+    want = [[(role, text or "") for role, text in turns] for _, layout, turns in RECORDS if layout] * 2
+    got = read(cf.record_rows(spark.createDataFrame(rows, "conv_id long, turn long, record string")))
+    assert got == dict(enumerate(want))
+
+
+def test_further_keys_inside_messages_and_empty_lists(spark):
+    records = [
+        {"messages": [{"role": "user", "content": "u", "name": "n", "weight": 1}, {"role": "assistant", "content": "a"}], "id": 1},
+        {"messages": []},
+        {"messages": [1, 2]},
+        {"messages": "text"},
+        {"messages": None},
+        {"role": "user", "text": "t", "input": "x", "prompt": "p"},
+        {"instruction": "i", "input": "x", "output": "o", "answer": "a"},
+        {"prompt": "p"},
+    ]
+    rows = [(i, json.dumps(r), "mine", 3) for i, r in enumerate(records)]
+    df = spark.createDataFrame(rows, "id long, record string, layout string, paths long")
+    got = {r["id"]: r for r in cf.canonical_turns(df).collect()}
+    assert [got[i]["layout"] for i in range(len(records))] == ["messages", "messages", None, None, None, "turn", "instruction_input", None]
+    turns = [[(t["role"], t["text"]) for t in got[i]["turns"]] for i in range(len(records))]
+    assert turns == [[("user", "u"), ("assistant", "a")], [], [], [], [], [("user", "t")], [("user", "i\n\nx"), ("assistant", "o")], []]
+    assert all(r["paths"] == 3 for r in got.values())
+
+
+def test_columns_called_like_fields_of_other_layouts(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, None, None), (None, 0, "assistant", "c")]
+    df = spark.createDataFrame(rows, TURNS).selectExpr("*", "'x' AS input", "'y' AS prompt", "7 AS answer", "'z' AS row", "1 AS paths", "2 AS record")
+    check(spark, rows, df)
+
+
+def test_typed_lists_of_messages(spark):
+    rows = [(1, 0, [("u", "user", 1), ("a", "assistant", 2)]), (2, 0, []), (3, 0, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, messages array<struct<content string, role string, weight int>>")
+    assert read(cf.turn_rows(df)) == {1: [("user", "u"), ("assistant", "a")]}
