@@ -12,7 +12,11 @@ The base phrases are templates too, with k = 2 and all k-grams demanded on one
 diagonal, so each of their places is one such span.  Longer notices use k = 5,
 which keeps pairs of frequent words from meeting everything.
 
-The template table is fixed in this module, which bounds its broadcast.
+Notices are a table (``phrase``, ``label``) of any size; those of this module are the
+default.  Their k-grams are broadcast up to ``BROADCAST_GRAMS``; beyond that places
+go to them by shuffle, each with its own few words.  A notice of 2 to 4 words is
+found as base phrases are, whole; one of a single word, or null, never.  A notice
+with a null label is found but adds none.  A repeated notice counts once.
 
 Null or empty text has no words and no labels (``labels`` is ''), score 0.  Rows
 with equal ``doc_id`` and text give equal rows.  An empty table gives an empty
@@ -48,17 +52,25 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE_K, NOTICE_K = 2, 5
 NEAR = 3  # words between diagonals that merge
 COVER = 0.5  # of a notice's k-grams that a span must hold
+BROADCAST_GRAMS = 200_000
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    rows = [(i, p, label, True, BASE_K) for i, (p, label) in enumerate(BASE.items())]
-    rows += [(len(BASE) + i, p, label, False, NOTICE_K) for i, (p, label) in enumerate(NOTICES.items())]
-    made = spark.createDataFrame(rows, "template int, phrase string, label string, base boolean, k int")
-    return made.withColumn("t_words", F.split("phrase", " ")).withColumn("t_grams", F.size("t_words") - F.col("k") + 1)
+def templates(spark: SparkSession, notices: DataFrame | None = None) -> DataFrame:
+    """``t_words, label, base, k, template, t_grams``: the base phrases and the notices."""
+    if notices is None:
+        notices = spark.createDataFrame(list(NOTICES.items()), "phrase string, label string")
+    base = spark.createDataFrame(list(BASE.items()), "phrase string, label string")
+    known = (
+        base.select(words_of(F.col("phrase")).alias("t_words"), "label", F.lit(True).alias("base"))
+        .unionByName(notices.select(words_of(F.col("phrase")).alias("t_words"), "label", F.lit(False).alias("base")).distinct())
+        .withColumn("k", F.when(F.col("base") | (F.size("t_words") < NOTICE_K), BASE_K).otherwise(NOTICE_K))
+    )
+    named = known.withColumn("template", F.xxhash64("t_words", "label", F.isnull("label"), "base"))
+    return named.withColumn("t_grams", F.size("t_words") - F.col("k") + 1).filter("t_grams > 0")
 
 
 def _gram(words: str, at: str, k: int) -> Column:
@@ -67,10 +79,11 @@ def _gram(words: str, at: str, k: int) -> Column:
 
 
 def _template_grams(known: DataFrame) -> DataFrame:
-    """A row a k-gram: its hash, its template and its place there."""
+    """A row a k-gram: its hash, its words, its template and its place there."""
     spread = known.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("t_grams") - 1)))
     gram = F.when(F.col("k") == BASE_K, _gram("t_words", "t", BASE_K)).otherwise(_gram("t_words", "t", NOTICE_K))
-    return spread.select(gram.alias("gram"), "template", "label", "base", "k", "t", "t_words", "t_grams")
+    own = F.slice("t_words", F.col("t") + 1, F.col("k"))
+    return spread.select(gram.alias("gram"), "template", "label", "base", "k", "t", own.alias("t_gram"), "t_grams")
 
 
 def text_key(text: Column) -> Column:
@@ -78,10 +91,10 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), F.lit(9))
 
 
-def license_spans(docs: DataFrame) -> DataFrame:
+def license_spans(docs: DataFrame, notices: DataFrame | None = None, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """``doc_id, key, label, base, first_word, end_word, cover``: the verified spans of all texts."""
     spark = docs.sparkSession
-    grams = _template_grams(templates(spark))
+    grams = Scratch(spark, "license-scan").keep(_template_grams(templates(spark, notices)), "grams")
     parsed = docs.select("doc_id", text_key(F.col("text")).alias("key"), words_of(F.col("text")).alias("words"))
     # Places of pairs; a longer gram that would pass the end has null words and meets nothing.
     placed = parsed.filter(F.size("words") >= BASE_K).select(
@@ -94,20 +107,25 @@ def license_spans(docs: DataFrame) -> DataFrame:
         "p",
         F.explode(F.array(_gram("words", "p", BASE_K), _gram("words", "p", NOTICE_K))).alias("gram"),
     )
-    alike = F.slice("words", F.col("p") + 1, F.col("k")) == F.slice("t_words", F.col("t") + 1, F.col("k"))
+    # The words at a place: cut out after a broadcast join, for what met; before a shuffle, so that no text moves.
+    here = F.slice("words", F.col("p") + 1, NOTICE_K).alias("here")
+    if grams.count() <= broadcast_grams:
+        met = hashed.join(F.broadcast(grams), "gram").select("*", here)
+    else:
+        met = hashed.select("doc_id", "key", "p", "gram", here).join(grams, "gram")
     votes = (
-        hashed.join(F.broadcast(grams), "gram")
-        .filter(alike)
+        met.filter(F.slice("here", F.lit(1), F.col("k")) == F.col("t_gram"))
         .select("doc_id", "key", "template", "label", "base", "k", "t_grams", "t", "p", (F.col("p") - F.col("t")).alias("diagonal"))
     )
     by = ["doc_id", "key", "template", "label", "base", "k", "t_grams"]
     diagonals = votes.groupBy(*by, "diagonal").agg(
         F.min("p").alias("low"), F.max("p").alias("high"), F.collect_set("t").alias("seen")
     )
-    # A base phrase stands on one diagonal; a notice's neighbours are joined to it.
+    # What is found whole stands on one diagonal; a longer notice's neighbours are joined to it.
+    whole = F.col("k") == BASE_K
     along = Window.partitionBy("doc_id", "key", "template").orderBy("low", "diagonal")
     apart = (
-        F.col("base")
+        whole
         | F.lag("diagonal").over(along).isNull()
         | (F.abs(F.col("diagonal") - F.lag("diagonal").over(along)) > NEAR)
         | (F.col("low") > F.lag("high").over(along) + F.col("k") + NEAR)
@@ -123,14 +141,14 @@ def license_spans(docs: DataFrame) -> DataFrame:
         )
         .withColumn("cover", F.col("held") / F.col("t_grams"))
     )
-    return spans.filter(F.when(F.col("base"), F.col("held") == F.col("t_grams")).otherwise(F.col("cover") >= COVER)).select(
+    return spans.filter(F.when(whole, F.col("held") == F.col("t_grams")).otherwise(F.col("cover") >= COVER)).select(
         "doc_id", "key", "label", "base", "first_word", "end_word", "cover"
     )
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
+def scan_licenses(docs: DataFrame, notices: DataFrame | None = None, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` for every row."""
-    spans = license_spans(docs)
+    spans = license_spans(docs, notices, broadcast_grams)
     joined = lambda labels: F.array_join(F.array_sort(labels), ",")
     found = spans.groupBy(F.col("doc_id").alias("of_doc"), F.col("key").alias("of_key")).agg(
         F.count_if("base").alias("n_base"),

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from llm_helpers import DOCUMENTS, LOWER, SF_DIR, awkward_rows
 
 from harvestline.llm.license_scan import BASE, NOTICES, license_spans, scan_licenses
@@ -67,3 +68,32 @@ def test_awkward_rows_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], DOCUMENTS)).collect() == []
+
+
+@pytest.mark.parametrize("broadcast_grams", [10**6, 0])
+def test_notices_from_a_table(spark, broadcast_grams):
+    long = " ".join(f"w{i}" for i in range(400))
+    notices = [("Do Not Copy", "house"), (long, "long"), (long, "long"), ("one two three four five six", None), ("alone", "never"), ("", "never"), (None, "never")]
+    table = spark.createDataFrame([(*n, 1, 2) for n in notices], "phrase string, label string, gram int, template int")
+    texts = ["please do not copy, do NOT copy", "do not", long, " ".join(long.split()[:150]), "alone all rights reserved", "one two three four five six", None]
+    want = ["house", "", "long", "", "reserved", "", ""]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    got = scan_licenses(docs, table, broadcast_grams).collect()
+    check(rows, got)
+    assert [r["labels"] for r in sorted(got, key=lambda r: r["doc_id"])] == want
+    assert [r["score"] for r in sorted(got, key=lambda r: r["doc_id"])] == [1, 0, 1, 0, 1, 1, 0]
+    spans = license_spans(docs, table, broadcast_grams).filter("doc_id = 0").collect()
+    assert sorted((r["first_word"], r["end_word"], r["base"]) for r in spans) == [(1, 4, False), (4, 7, False)]
+
+
+def test_no_notices_leave_the_base_phrases(spark):
+    rows = [(1, "CC by permission is hereby granted free of charge to any person", "en", "a", 1)]
+    none = spark.createDataFrame([], "phrase string, label string")
+    (row,) = scan_licenses(spark.createDataFrame(rows, DOCUMENTS), none).collect()
+    assert row["labels"] == "cc-by"
+
+
+def test_shuffled_grams_find_what_broadcast_ones_do(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    assert sorted(scan_licenses(docs, broadcast_grams=0).collect(), key=repr) == sorted(scan_licenses(docs).collect(), key=repr)
