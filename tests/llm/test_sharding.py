@@ -1,6 +1,7 @@
 from collections import Counter
 
 from llm_helpers import DOCUMENTS, awkward_rows
+from pyspark.sql import functions as F
 
 from harvestline.llm.sharding import shard_documents, shard_report
 
@@ -48,3 +49,21 @@ def test_awkward_rows_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert shard_report(spark.createDataFrame([], DOCUMENTS), 100).collect() == []
+
+
+def test_depths_as_brute_force(spark):
+    rows = [(i, "x" * (i % 90 + 1 if i % 10 else 1500), "en", "a", 1) for i in range(2000)]
+    docs, limit = spark.createDataFrame(rows, DOCUMENTS), 3000
+    key = F.xxhash64("doc_id", F.isnull("doc_id"), "text").bitwiseAND(F.lit((1 << 40) - 1))
+    names = {r["doc_id"]: format(r["key"], "040b") for r in docs.select("doc_id", key.alias("key")).collect()}
+    size = {r[0]: len(r[1]) for r in rows}
+    depth = (2 * sum(size.values()) // limit).bit_length()
+    want, todo = {}, set(size)
+    while todo:
+        held = Counter()
+        for i in todo:
+            held[names[i][:depth]] += size[i]
+        fits = {i for i in todo if held[names[i][:depth]] <= limit}
+        want |= {i: (names[i][:depth], held[names[i][:depth]]) for i in fits}
+        todo, depth = todo - fits, depth + 1
+    assert {r["doc_id"]: (r["shard"], r["shard_bytes"]) for r in shard_report(docs, limit).collect()} == want
