@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from harvestline.model import SPECS
+from harvestline.model import FINGERPRINT_HEX, SPECS
 from harvestline.operators import specs as sp
 from harvestline.queries import inputs
 from harvestline.queries.book import Book
@@ -133,10 +133,36 @@ def spec_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add(
     "config_digest",
-    f"""SELECT {_ID} AS source_id, true AS stable, true AS moved FROM customer""",
+    f"""WITH v AS (SELECT {_ID} AS source_id, c_custkey AS n FROM customer), parts AS (
+      SELECT source_id,
+        CASE WHEN n % 10 <> 3 THEN '"url":"' || CASE WHEN n % 12 = 5 THEN 'ftp' ELSE 'https' END || '://v.invalid/' || n || '",'
+          ELSE '' END AS url,
+        CASE WHEN n % 5 = 0 THEN 'POST' WHEN n % 13 = 0 THEN 'PUT' ELSE 'GET' END AS method,
+        CASE WHEN n % 4 = 0 THEN 'Cursor' WHEN n % 17 = 0 THEN 'Spiral' ELSE 'None' END AS walk,
+        CASE WHEN n % 6 = 0 THEN 0 WHEN n % 6 = 1 THEN 25 ELSE 100 END AS page_size,
+        CASE WHEN n % 9 = 0 THEN -1 ELSE 0 END AS start_page,
+        CASE WHEN n % 8 = 0 THEN 7 ELSE 1000 END AS max_pages,
+        CASE WHEN n % 2 = 0 THEN '"query":[{{"key":"a","value":"' || n || '"}},{{"key":"b","value":"2"}}],' ELSE '' END AS query,
+        CASE WHEN n % 3 <> 0 THEN '"watermark":{{"record_field":"' || CASE WHEN n % 14 = 1 THEN '' ELSE 'at' END
+          || '","param":"since","format":"' || CASE WHEN n % 3 = 1 THEN 'UnixSeconds' ELSE 'RFC3339' END || '"}},'
+          ELSE '' END AS watermark,
+        CASE WHEN n % 7 < 2 THEN 'BigQuery' ELSE 'Stdout' END AS kind,
+        CASE WHEN n % 7 = 0 AND n % 11 <> 0 THEN '"project":"p",' ELSE '' END
+          || CASE WHEN n % 7 = 0 THEN '"dataset":"d","table":"t",' ELSE '' END AS place,
+        CASE WHEN n % 7 = 0 THEN 'Truncate' ELSE 'Append' END AS disposition,
+        CASE WHEN n % 21 = 0 THEN 'Shrug' WHEN n % 2 = 1 THEN 'Fail' ELSE 'Warn' END AS drift
+      FROM v)
+    SELECT source_id, substr(sha256(
+        '{{"source":{{"type":"HTTP",' || url || '"method":"' || method || '","auth_type":"None","pagination":{{"type":"' || walk
+        || '","page_size":' || page_size || ',"start_page":' || start_page || ',"max_pages":' || max_pages || '}},' || query
+        || '"timeout_seconds":30,"max_requests_per_second":0}},' || watermark
+        || '"destination":{{"type":"' || kind || '",' || place || '"write_disposition":"' || disposition
+        || '","create_if_missing":true}},"drift":"' || drift || '"}}'), 1, {FINGERPRINT_HEX}) AS config_digest,
+      true AS stable, true AS moved
+    FROM parts""",
 )
 def config_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest ignores what a run does not read, and moves with what it does."""
+    """The digest is of one canonical text, ignores what a run does not read, and moves with what it does."""
     specs = sp.with_defaults(_specs(spark, sf_dir))
     plain = sp.config_digest(specs)
     rescheduled = sp.config_digest(
@@ -148,6 +174,7 @@ def config_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = plain.join(rescheduled, "source_id").join(elsewhere, "source_id")
     return joined.select(
         "source_id",
+        "config_digest",
         (F.col("config_digest") == F.col("same")).alias("stable"),
         (F.col("config_digest") != F.col("other")).alias("moved"),
     )
