@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from harvestline.model import PAGINATION_TYPES
 
 RUN = ("source_id", "run_id")
+STRETCH = 1024  # page numbers that are collected together
 
 
 def walk_runs(facts: DataFrame) -> DataFrame:
@@ -19,13 +20,14 @@ def walk_runs(facts: DataFrame) -> DataFrame:
     ``truncated``           pages are missing before the end
     ``unsupported``         the pagination type is unknown
 
-    Pages past the cap would never have been requested and are ignored, so the
-    only per-run collection here (page numbers) is bounded by ``max_pages``.  A
-    page number below 1 fails the run.  Everything else combines map-side.
+    Pages past the cap would never have been requested and are ignored.  Page
+    numbers are collected in stretches of ``STRETCH``, of which one fact each goes
+    on, so no buffer grows with a run's length but one entry a stretch.  A page
+    number below 1 fails the run.  Everything else combines map-side.
     """
     number = F.when(F.col("page_no").between(1, F.col("max_pages")), F.col("page_no"))
     has_error = F.col("page_error").isNotNull()
-    runs = facts.groupBy(*RUN).agg(
+    stretches = facts.groupBy(*RUN, F.floor((number - 1) / STRETCH).alias("stretch")).agg(
         F.first("pagination_type").alias("pagination_type"),
         F.first("max_pages").alias("max_pages"),
         F.min(F.when(F.col("terminal") & ~has_error, number)).alias("stop_page"),
@@ -36,7 +38,24 @@ def walk_runs(facts: DataFrame) -> DataFrame:
         F.max("loops").alias("loops"),
     )
     # Sorted distinct page numbers equal their position up to the first gap.
-    reach = F.size(F.filter("seen", lambda p, i: p == i + 1))
+    begin = F.col("stretch") * STRETCH
+    unbroken = F.size(F.filter("seen", lambda p, i: p == begin + i + 1))
+    runs = stretches.groupBy(*RUN).agg(
+        F.first("pagination_type").alias("pagination_type"),
+        F.first("max_pages").alias("max_pages"),
+        F.min("stop_page").alias("stop_page"),
+        F.min("error_page").alias("error_page"),
+        F.min_by("page_error", "error_page").alias("page_error"),
+        F.sort_array(
+            F.collect_list(F.when(F.col("stretch").isNotNull(), F.struct(begin.cast("int").alias("begin"), unbroken.alias("pages"))))
+        ).alias("parts"),
+        F.sum("strays").alias("strays"),
+        F.max("loops").alias("loops"),
+    )
+    # A stretch counts where all before it are whole.
+    reach = F.aggregate(
+        "parts", F.lit(0), lambda so_far, part: so_far + F.when(part["begin"] == so_far, part["pages"]).otherwise(0)
+    )
     runs = runs.withColumn("reach", reach)
     stop, err = F.col("stop_page"), F.col("error_page")
     supported = F.col("pagination_type").isin(*PAGINATION_TYPES)

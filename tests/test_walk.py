@@ -129,3 +129,28 @@ def test_retried_page_is_read_once(pages_df, specs_df):
     decoded, walks = walk(pages_df(*rows), specs_df())
     assert outcome(walks) == ("complete", 1)
     assert explode_records(decoded).count() == 2
+
+
+def test_long_walks_end_at_their_first_gap(spark):
+    missing = {"whole": [], "late": [150_001], "edge": [1024], "after_edge": [1025, 4000], "first": [1], "many": list(range(2, 200_000, 2))}
+    stop = {"whole": 200_000, "after_edge": 1024, "edge": 1025}
+    numbers = spark.range(1, 200_001).selectExpr("CAST(id AS int) AS page_no").repartition(8)
+    gaps = spark.createDataFrame([(run, no) for run, out in missing.items() for no in out] or [("", 0)], "run_id string, page_no int")
+    runs = spark.createDataFrame([(run, stop.get(run)) for run in missing], "run_id string, stop int")
+    facts = (
+        numbers.crossJoin(runs)
+        .join(gaps, ["run_id", "page_no"], "left_anti")
+        .selectExpr(
+            "'s1' AS source_id", "run_id", "page_no", "1000000 AS max_pages", "'PageNumber' AS pagination_type",
+            "CAST(NULL AS string) AS page_error", "page_no <=> stop AS terminal", "false AS loops",
+        )
+    )
+    walks = {r.run_id: (r.walk_status, r.end_page) for r in walk_runs(facts).collect()}
+    assert walks == {
+        "whole": ("complete", 200_000),
+        "late": ("truncated", 150_000),
+        "edge": ("truncated", 1023),
+        "after_edge": ("complete", 1024),
+        "first": ("truncated", 0),
+        "many": ("truncated", 1),
+    }
