@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from harvestline.functions.text import canonical_json, digest
 from harvestline.plans.run import run_batch
+from harvestline.plans.staging import Staging
 from harvestline.plans.store import Store
 from harvestline.sources.pages import page_key
 
@@ -59,25 +60,36 @@ def ingest_stream(
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         batch_id = f"{name}-{query}-{epoch}"
         cutoff = None if expire_after is None else at - expire_after
-        concerned = batch.select(*RUN).distinct()
-        if cutoff is not None:
-            concerned = concerned.unionByName(_overdue(store, cutoff)).distinct()
-        every = batch.unionByName(store.open_pages(concerned))
-        outcome = run_batch(
-            store,
-            every,
-            specs,
-            requests,
-            batch_id=batch_id,
-            now=at,
-            dedupe=dedupe,
-            hold_open=True,
-            expire_before=cutoff,
-            snapshot_every=snapshot_every,
-        )
-        still = outcome.where(F.col("result") == "Running").select(*RUN)
-        store.keep_pages(batch.join(still, RUN, "left_semi"), batch_id)
-        store.forget_pages()
+        keep = Staging(batch.sparkSession, f"epoch-{batch_id}")
+        try:
+            if redelivery is not None:
+                # Each read of a batch that comes out of the state store would go through all of the state again.
+                batch = keep(batch, "pages")
+            concerned = batch.select(*RUN).distinct()
+            if cutoff is not None:
+                concerned = concerned.unionByName(_overdue(store, cutoff)).distinct()
+            concerned = keep(concerned, "concerned")
+            if concerned.isEmpty():
+                # An epoch that only moves the watermark of the state on.
+                return
+            every = batch.unionByName(store.open_pages(concerned))
+            outcome = run_batch(
+                store,
+                every,
+                specs,
+                requests,
+                batch_id=batch_id,
+                now=at,
+                dedupe=dedupe,
+                hold_open=True,
+                expire_before=cutoff,
+                snapshot_every=snapshot_every,
+            )
+            still = outcome.where(F.col("result") == "Running").select(*RUN)
+            store.keep_pages(batch.join(still, RUN, "left_semi"), batch_id)
+            store.forget_pages()
+        finally:
+            keep.clear()
 
     if redelivery is not None:
         pages = once_delivered(pages, redelivery)
