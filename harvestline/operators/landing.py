@@ -197,6 +197,25 @@ def not_landed(fresh: DataFrame, landed_digests: DataFrame) -> DataFrame:
     return fresh.join(landed_digests, ["source_id", "digest"], "left_anti")
 
 
+_RECORD = ',"record":'
+
+
+def ndjson_line(source_id: Column, run_id: Column, record: Column) -> Column:
+    """K1: a record and the run it is of, as one JSON document."""
+    run = F.to_json(F.struct(source_id.alias("_source_id"), run_id.alias("_run_id")))
+    return F.concat(F.substring(run, F.lit(1), F.length(run) - 1), F.lit(_RECORD), canonical_json(record), F.lit("}")).alias("value")
+
+
+def read_ndjson_line(line: Column) -> list[Column]:
+    """K1: ``value``, ``_source_id`` and ``_run_id`` of such a line; the record's text as it was written."""
+    # Quotes inside an id are escaped, so this is where the record begins.
+    at = F.instr(line, _RECORD)
+    start = at + len(_RECORD)
+    run = F.from_json(F.concat(F.substring(line, F.lit(1), at - 1), F.lit("}")), "_source_id string, _run_id string")
+    value = F.substring(line, start, F.length(line) - start)
+    return [value.alias("value"), run["_source_id"].alias("_source_id"), run["_run_id"].alias("_run_id")]
+
+
 def ndjson(records: DataFrame) -> DataFrame:
     """K1: one JSON document a line, ready for ``write.text``."""
     return records.select(canonical_json(F.col("record")).alias("value"))

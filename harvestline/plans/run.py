@@ -17,7 +17,6 @@ from datetime import datetime
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
-from harvestline.functions.text import canonical_json
 from harvestline.model import REQUESTS, SHAPE_CHANGE
 from harvestline.operators import drift, landing, resume, shape, walk
 from harvestline.operators.chains import number_pages
@@ -105,15 +104,18 @@ def read_batch(
     bounds: DataFrame,
     targets: DataFrame | None = None,
     keep: Callable[[DataFrame, str], DataFrame] = stage,
+    ready: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Pass 1, and the plan of pass 2: staged walks, and every record read with its verdict.
 
     ``targets``: ``(source_id, target)`` column maps of tables that exist
-    already; rows those would refuse are marked so.
+    already; rows those would refuse are marked so.  ``ready`` gives, of the walks,
+    those whose records are wanted.
     """
     decoded = decode_pages(one_answer(pages, keep), page_config(specs))
     walks = keep(walk.walk_runs(page_facts(decoded)), "walks")
-    records = explode_records(walk.keep_walked(decoded, walks))
+    wanted = walks if ready is None else keep(ready(walks), "ready")
+    records = explode_records(walk.keep_walked(decoded, wanted))
     marked = resume.mark_records(records, bounds, known_fields(bounds))
     if targets is None:
         return walks, marked
@@ -235,7 +237,17 @@ def _run(
         ).select("source_id", "target"),
         "targets",
     )
-    walks, marked = read_batch(pages, valid, bounds, targets, keep)
+    failed = keep(fetch_errors(pages), "fetch_errors")
+
+    def ready(walks: DataFrame) -> DataFrame:
+        """All but the walks of runs that will wait: their records are read when the rest has come."""
+        waiting = walks.where(F.col("walk_status") == "truncated").join(failed, RUN, "left_anti")
+        if expire_before is not None:
+            overdue = calls.where(F.coalesce("first_request", F.lit(now)) < F.lit(expire_before))
+            waiting = waiting.join(overdue, RUN, "left_anti")
+        return walks.join(waiting, RUN, "left_anti")
+
+    walks, marked = read_batch(pages, valid, bounds, targets, keep, ready if hold_open else None)
     marked = keep(landing.with_digest(marked), "records")
     profile = keep(shape.profile_runs(marked), "profile")
 
@@ -252,7 +264,7 @@ def _run(
         .join(full.select("source_id", "table_name", "destination", "violations"), "source_id")
         .join(bounds.select(*RUN, "kind", "backfill_id"), RUN, "left")
         .join(before.select(*RUN, "tried"), RUN, "left")
-        .join(fetch_errors(pages), RUN, "left")
+        .join(failed, RUN, "left")
         .join(walks.select(*RUN, "walk_status", "walk_error"), RUN, "left")
         .join(shape.summarise(profile), RUN, "left")
         .join(prints.select(*RUN, "schema_fingerprint"), RUN, "left")
@@ -314,7 +326,7 @@ def _run(
     broken = _write_tables(store, rows, writable, shapes, full, existing, batch_id, keep)
     if dedupe == "table":
         store.append_digests(rows.where(F.col("table_name").isNotNull()).withColumn("batch_id", F.lit(batch_id)))
-    _write_ndjson(store, rows, writable)
+    _write_ndjson(store, rows, writable, batch_id)
 
     if broken:
         told = F.lit(None).cast("string")
@@ -468,9 +480,8 @@ def _write_tables(
         # Rows of a run meet in few files; a hot run is split again by size.
         typed = typed.hint("rebalance", "_source_id", "_run_id")
         try:
-            typed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-                "_source_id", "_run_id"
-            ).parquet(store.table_path(table["table_name"], table["version"]))
+            # One folder a batch: one a run would be as many files as runs, made and moved one by one.
+            typed.write.mode("overwrite").parquet(store.table_part(table["table_name"], table["version"], batch_id))
         except PySparkException as failed:
             return table["table_name"], f"write {table['table_name']}: {failed.getCondition() or failed}"
 
@@ -483,18 +494,15 @@ def _write_tables(
     return broken
 
 
-def _write_ndjson(store: Store, rows: DataFrame, writable: DataFrame) -> None:
-    """K1: records of sources without a table, one JSON document a line."""
+def _write_ndjson(store: Store, rows: DataFrame, writable: DataFrame, batch_id: str) -> None:
+    """K1: records of sources without a table, one JSON document a line with the run it is of."""
     plain = writable.where(F.col("table_name").isNull())
     if plain.isEmpty():
         return
-    rows.where(F.col("table_name").isNull()).select(
-        canonical_json(F.col("record")).alias("value"),
-        F.col("source_id").alias("_source_id"),
-        F.col("run_id").alias("_run_id"),
-    ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "_source_id", "_run_id"
-    ).text(store.ndjson_path())
+    mine = rows.where(F.col("table_name").isNull())
+    mine.select(landing.ndjson_line(F.col("source_id"), F.col("run_id"), F.col("record"))).write.mode(
+        "overwrite"
+    ).text(store.ndjson_part(batch_id))
 
 
 def _write_dead_letters(

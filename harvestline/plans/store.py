@@ -14,12 +14,13 @@ snapshot and the generation after it, however old the ledger is.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
 from harvestline.model import DEAD_LETTERS, PAGES, RUNS
-from harvestline.operators.landing import landed_name
+from harvestline.operators.landing import landed_name, read_ndjson_line
 from harvestline.operators.foldstate import (
     fold_state,
     merge_states,
@@ -73,6 +74,7 @@ _ORDER = T.StructType(
 MADE = T.StructType([*COLUMNS.fields, T.StructField("at", _ORDER)])
 # What a table has beside its records' columns.
 TABLE_COLUMNS = ("_source_id", "_run_id", "_digest")
+_PART = "batch"  # the folders of a table version and of the NDJSON files
 DEAD = T.StructType([*DEAD_LETTERS.fields, T.StructField("table_name", T.StringType()), _BATCH])
 
 
@@ -80,6 +82,11 @@ def _bucket() -> Column:
     return F.pmod(F.xxhash64("source_id", "run_id"), F.lit(_BUCKETS)).cast("int")
 
 
+def _folder(batch_id: str) -> str:
+    """A batch's id as a folder's name."""
+    return sha256(batch_id.encode()).hexdigest()
+
+
 @dataclass(frozen=True)
 class Store:
     spark: SparkSession
@@ -283,9 +290,24 @@ class Store:
     def table_path(self, table_name: str, version: str) -> str:
         return self._path(f"tables/{table_name}/{version}")
 
+    def table_part(self, table_name: str, version: str, batch_id: str) -> str:
+        """Where a batch writes a table's rows; writing again replaces exactly those."""
+        return f"{self.table_path(table_name, version)}/{_PART}={_folder(batch_id)}"
+
     def ndjson_path(self) -> str:
         return self._path("ndjson")
 
+    def ndjson_part(self, batch_id: str) -> str:
+        return f"{self.ndjson_path()}/{_PART}={_folder(batch_id)}"
+
+    def _committed(self) -> DataFrame:
+        """Runs whose rows count, by the batch that committed them."""
+        return self.ledger().where(F.col("result") == "Succeeded").select(
+            F.col("source_id").alias("_source_id"),
+            F.col("run_id").alias("_run_id"),
+            F.sha2(F.col("batch_id"), 256).alias(_PART),
+        )
+
     def read_table(self, table_name: str) -> DataFrame:
         """Rows of a table's current version, those of committed runs only."""
         columns = self.columns().where(F.col("table_name") == table_name).sort("column_name").collect()
@@ -295,26 +317,28 @@ class Store:
         kinds = [(landed_name(c["column_name"], TABLE_COLUMNS), c["landing_type"]) for c in columns]
         schema = T.StructType(
             [
-                T.StructField("_digest", T.StringType()),
-                *[T.StructField(name, _LANDED[kind]) for name, kind in kinds],
                 T.StructField("_source_id", T.StringType()),
                 T.StructField("_run_id", T.StringType()),
+                T.StructField("_digest", T.StringType()),
+                *[T.StructField(name, _LANDED[kind]) for name, kind in kinds],
             ]
         )
-        rows = self.spark.read.schema(schema).parquet(self.table_path(table_name, columns[0]["version"]))
-        done = self.ledger().where(F.col("result") == "Succeeded").select(
-            F.col("source_id").alias("_source_id"), F.col("run_id").alias("_run_id")
+        path = self.table_path(table_name, columns[0]["version"])
+        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+        # The folder is no column, so a record's own key can't clash with it.
+        folder = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -2), f"{_PART}=", -1)
+        folder = F.substring_index(folder, "/", 1)
+        packed = rows.select(
+            F.struct("*").alias("row"), "_source_id", "_run_id", folder.alias(_PART)
         )
-        return rows.join(done, ["_source_id", "_run_id"], "left_semi")
+        return packed.join(self._committed(), ["_source_id", "_run_id", _PART], "left_semi").select("row.*")
 
     def read_ndjson(self) -> DataFrame:
-        rows = self.spark.read.schema(
-            "value string, _source_id string, _run_id string"
-        ).text(self.ndjson_path())
-        done = self.ledger().where(F.col("result") == "Succeeded").select(
-            F.col("source_id").alias("_source_id"), F.col("run_id").alias("_run_id")
+        lines = self.spark.read.schema(f"value string, {_PART} string").text(self.ndjson_path())
+        rows = lines.select(*read_ndjson_line(F.col("value")), _PART)
+        return rows.join(self._committed(), ["_source_id", "_run_id", _PART], "left_semi").select(
+            "_source_id", "_run_id", "value"
         )
-        return rows.join(done, ["_source_id", "_run_id"], "left_semi")
 
     def append_dead_letters(self, letters: DataFrame) -> None:
         self._write(letters, "dead_letters", DEAD)
@@ -335,7 +359,8 @@ class Store:
         Writing the same label again replaces what it wrote.
         """
         kept = pages.select(*PAGES.fieldNames()).withColumns({"bucket": _bucket(), "label": F.lit(label)})
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        # A bucket's pages meet in few files, however many tasks read them.
+        kept.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "bucket", "label"
         ).parquet(self._path("open_pages"))
 

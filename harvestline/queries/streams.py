@@ -15,12 +15,19 @@ from harvestline.sources.pages import decode_pages, explode_records, page_config
 from harvestline.streaming.ingest import dedup_stream, expire_runs, ingest_stream
 
 BOOK = Book()
+_ALL_FILES = 2**31 - 1
 
 
 def _folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _drain_part(spark: SparkSession, store: Store, zone: str, specs: DataFrame, state: str) -> None:
+    """One micro-batch of all files that have landed since the last; the stream goes on from its checkpoint."""
+    stream = read_page_stream(spark, zone, files_per_batch=_ALL_FILES)
+    ingest_stream(store, stream, specs, state, now=datetime(2024, 2, 1), dedupe=False).awaitTermination()
+
+
 @BOOK.add(
     "stream_incremental",
     f"""WITH {inputs.EVENTS_CTE}, last AS (SELECT source_id, max(run_id) AS last_run FROM ev GROUP BY source_id),
@@ -63,15 +70,14 @@ def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM ev GROUP BY source_id, run_id""",
 )
 def stream_split_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each run's pages land in three files, last ones first, one of them twice; a micro-batch takes one file."""
+    """Each run's pages land in three parts, last ones first, one of them twice; a micro-batch takes one part."""
     pages = inputs.event_pages(spark, sf_dir)
     zone, state = _folder(spark, "zone"), _folder(spark, "progress")
     store = Store(spark, _folder(spark, "store"))
     specs = inputs.event_specs(spark, sf_dir, watermark="NULL")
     for part in (2, 1, 0, 1):
-        pages.where(F.col("page_no") % 3 == part).coalesce(1).write.mode("append").parquet(zone)
-    stream = read_page_stream(spark, zone, files_per_batch=1)
-    ingest_stream(store, stream, specs, state, now=datetime(2024, 2, 1), dedupe=False).awaitTermination()
+        pages.where(F.col("page_no") % 3 == part).write.mode("append").parquet(zone)
+        _drain_part(spark, store, zone, specs, state)
     landed = store.read_ndjson().groupBy(F.col("_source_id").alias("source_id"), F.col("_run_id").alias("run_id"))
     return store.ledger().select("source_id", "run_id", "result", "rows_ingested").join(
         landed.agg(F.count("*").alias("rows_landed")), ["source_id", "run_id"]
@@ -165,9 +171,8 @@ def stream_open_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     comes = marked.where((F.col("source_id") != "view") | (F.col("page_no") < F.col("pages")) | (F.col("pages") == 1))
     comes = comes.drop("pages")
     for part in range(5):
-        comes.where(F.col("page_no") % 5 == part).coalesce(1).write.mode("append").parquet(zone)
-    stream = read_page_stream(spark, zone, files_per_batch=1)
-    ingest_stream(store, stream, specs, state, now=datetime(2024, 2, 1), dedupe=False).awaitTermination()
+        comes.where(F.col("page_no") % 5 == part).write.mode("append").parquet(zone)
+        _drain_part(spark, store, zone, specs, state)
     expire_runs(store, specs, datetime(2025, 1, 1), now=datetime(2025, 1, 2), batch_id="overdue")
     kept = store.open_pages().groupBy("source_id", "run_id").agg(F.count("*").alias("pages_kept"))
     return store.ledger().join(kept, ["source_id", "run_id"], "left").select(
