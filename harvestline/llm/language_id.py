@@ -6,10 +6,13 @@ vector machine a family tells the family from the rest; within the winning famil
 every pair of languages has a machine of its own and the language with most votes
 wins (sums of margins break ties).  All are trained here.
 
-Training reads a bounded sample: ``SAMPLE`` labelled documents in all, spread
-evenly over the languages, those whose hash is least.  Everything else covers
-whole tables and whole texts.  Families of well-known codes are stated below; a
-language not among them is a family of its own.
+Training reads every labelled document.  Rows are dealt by hash into blocks of about
+``BLOCK``; a task fits the machines of a block, and a machine's weights are the mean
+over the blocks, by the rows of the smaller of its two classes (parameter mixing).
+Rows of a language with few of them go to several blocks, so that each has about
+``_LEAST`` of every language or all there are.  Families of well-known codes are
+stated below; a language not among them is a family of its own.  A caller may ask
+for a bounded ``sample`` instead; nothing here does.
 
 Null text, or text without a letter: ``und``, score 0.  So is everything if
 nothing was learned.
@@ -17,10 +20,10 @@ nothing was learned.
 ``keep_identified`` rejects texts without a letter, and texts for which the
 machines don't speak: neither the margin of the winning family nor the winner's
 mean margin over its pairs reaches ``SLACK`` times what the weakest training row
-reaches, each in units of its median.  The training rows are measured by machines
-that didn't read them: half of the sample by those of the other half.  With fewer
-than ``CLEAN_ROWS`` measured rows, or one language only, there is no such bound,
-and every text with a letter stays; so it does if nothing was learned.
+reaches, each in units of its median (to four digits).  All training rows are
+measured, by machines that didn't read them: half of them by those of the other
+half.  With fewer than ``CLEAN_ROWS`` measured rows, or one language only, there is
+no such bound, and every text with a letter stays; so it does if nothing was learned.
 
 A null ``doc_id`` or ``lang`` is never learned from.
 Repeated rows give repeated results, an empty table an empty result.  Input
@@ -35,10 +38,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-SAMPLE = 4_000
+from harvestline.llm.common import Scratch
+
+BLOCK = 4_000  # rows that are fitted together
+_LEAST = 20  # rows of each language in a block, where there are as many
+_REMEMBERED = 1 << 16  # rows a task remembers, to pass on each once
+_FIXED = float(1 << 24)  # weights are summed as integers, in whatever order
 WIDTH = 4096
 _ROUNDS, _RATE, _DECAY = 150, 0.5, 1e-4
 _PIECE = 1 << 20  # bytes counted at a time
@@ -107,17 +115,23 @@ def _margins(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return x @ weights[..., :-1].T + _BIAS * weights[..., -1]
 
 
-def _machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A linear support vector machine (squared hinge), by gradient steps with momentum; classes weigh the same.
+def _machines(x: np.ndarray, sides: list[np.ndarray]) -> np.ndarray:
+    """Linear support vector machines (squared hinge), by gradient steps with momentum; classes weigh the same.
 
-    Rows whose ``y`` is 0 are of neither class.
+    One row of weights for each of ``sides``, which hold 1 or -1 for a row's class and 0 for rows of
+    neither.  All go through ``x`` together.
     """
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = np.zeros(x.shape[1] + 1, np.float32)
+    if not sides:
+        return np.zeros((0, x.shape[1] + 1), np.float32)
+    y = np.stack(sides, axis=1)
+    weight = np.where(y > 0, 0.5 / np.maximum(1, (y > 0).sum(axis=0)), 0.5 / np.maximum(1, (y < 0).sum(axis=0))).astype(np.float32)
+    w = np.zeros((len(sides), x.shape[1] + 1), np.float32)
     step = np.zeros_like(w)
     for _ in range(_ROUNDS):
         miss = np.maximum(0, 1 - y * _margins(x, w)) * y * weight
-        step = 0.9 * step + np.append(miss @ x, _BIAS * miss.sum()).astype(np.float32) - np.float32(_DECAY) * w
+        step = np.float32(0.9) * step - np.float32(_DECAY) * w
+        step[:, :-1] += miss.T @ x
+        step[:, -1] += _BIAS * miss.sum(axis=0)
         w += np.float32(_RATE) * step
     return w
 
@@ -131,19 +145,21 @@ def fit(x: np.ndarray, langs: list[str], use: np.ndarray | None = None) -> Model
     of = np.array([family_of(n) for n in langs])
     families = sorted(set(of[use]))
     side = lambda own, both: np.where(both, np.where(own, 1, -1), 0).astype(np.float32)
-    nothing = np.zeros(x.shape[1] + 1, np.float32)
-    heads = [_machine(x, side(of == f, use)) if len(families) > 1 else nothing for f in families]
-    members, pairs = [], []
-    for f in families:
-        own = sorted(set(names[use & (of == f)]))
+    heads = [side(of == f, use) for f in families] if len(families) > 1 else []
+    members, named, sides = [], [], []
+    for f, family in enumerate(families):
+        own = sorted(set(names[use & (of == family)]))
         members.append([str(n) for n in own])
-        machines = {}
         for i in range(len(own)):
             for j in range(i + 1, len(own)):
-                both = use & ((names == own[i]) | (names == own[j]))
-                machines[i, j] = _machine(x, side(names == own[i], both))
-        pairs.append(machines)
-    return Model([str(f) for f in families], members, np.stack(heads), pairs)
+                named.append((f, i, j))
+                sides.append(side(names == own[i], use & ((names == own[i]) | (names == own[j]))))
+    weights = _machines(x, heads + sides)
+    pairs: list[dict[tuple[int, int], np.ndarray]] = [{} for _ in families]
+    for (f, i, j), w in zip(named, weights[len(heads) :], strict=True):
+        pairs[f][i, j] = w
+    head_weights = weights[: len(heads)] if heads else np.zeros((len(families), x.shape[1] + 1), np.float32)
+    return Model([str(f) for f in families], members, head_weights, pairs)
 
 
 def _squash(margin: np.ndarray) -> np.ndarray:
@@ -203,7 +219,11 @@ def margin_bound(x: np.ndarray, langs: list[str]) -> np.ndarray | None:
     usual = np.array([np.median(m[~np.isnan(m)]) if (~np.isnan(m)).any() else np.inf for m in found.T])
     if (usual <= 0).any():
         return None
-    least = np.nanmax(found / usual, axis=1).min()
+    return _slack(np.nanmax(found / usual, axis=1).min(), usual)
+
+
+def _slack(least: float, usual: np.ndarray) -> np.ndarray:
+    """The bound, from the weakest row's margins in units of the usual ones."""
     return (least - (1 - SLACK) * abs(least)) * np.where(np.isinf(usual), 0, usual)
 
 
@@ -247,6 +267,180 @@ def _sample_of(labelled: DataFrame, sample: int) -> DataFrame | None:
     return once.select("lang", "text").mapInArrow(_feature_rows, "lang string, features binary")
 
 
+def _packed(row: np.ndarray) -> bytes:
+    """A row of features: which aren't zero, a bit each, then those."""
+    some = row != 0
+    return np.packbits(some).tobytes() + row[some].astype(np.float16).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    row = np.zeros(WIDTH, np.float16)
+    row[np.unpackbits(np.frombuffer(raw, np.uint8, WIDTH // 8)).astype(bool)] = np.frombuffer(raw, np.float16, offset=WIDTH // 8)
+    return row
+
+
+_DEALT = "lang string, features binary, place long, copies int"
+_FITTED = "part int, kind string, a string, b string, rows long, weights array<float>"
+
+
+def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed features of texts with a letter; of rows that repeat an id and a text, one a task as far as it remembers."""
+    known = set()
+    for batch in batches:
+        langs, texts, places = (batch.column(i).to_pylist() for i in range(3))
+        keep = []
+        for i, text in enumerate(texts):
+            if (langs[i], places[i]) not in known and has_letter(text):
+                if len(known) >= _REMEMBERED:
+                    known.clear()
+                known.add((langs[i], places[i]))
+                keep.append(i)
+        at = pa.array(keep, pa.int64())
+        rows = pa.array([_packed(features(texts[i])) for i in keep], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(at), rows, batch.column(2).take(at), batch.column(3).take(at)],
+            ["lang", "features", "place", "copies"],
+        )
+
+
+def _dealt(labelled: DataFrame) -> DataFrame | None:
+    """Features of all ``labelled`` rows (``doc_id, text, lang``) by ``block``; none without any.
+
+    ``place`` is the same for rows that repeat an id and a text; ``first`` marks one of a row's blocks.
+    """
+    usable = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    # One row a language.
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not counts:
+        return None
+    blocks = -(-sum(counts.values()) // BLOCK)
+    copies = labelled.sparkSession.createDataFrame(
+        [(lang, min(blocks, -(-_LEAST * blocks // n))) for lang, n in counts.items()], "_lang string, copies int"
+    )
+    rows = usable.select("lang", "text", F.xxhash64("doc_id", F.xxhash64("text"), F.lit(7)).alias("place"))
+    rows = rows.join(F.broadcast(copies), F.col("lang") == F.col("_lang")).select("lang", "text", "place", "copies")
+    found = rows.mapInArrow(_packed_rows, _DEALT)
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    block = F.pmod(F.pmod("place", F.lit(blocks)) + F.col("copy"), F.lit(blocks))
+    return found.select(block.alias("block"), "lang", "place", (F.col("copy") == 0).alias("first"), "features")
+
+
+def _block(table: pa.Table) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Features, languages, halves (by hash) and first marks of a block's rows, each once and in one order."""
+    langs, places, first, rows = (table.column(c).to_pylist() for c in ("lang", "place", "first", "features"))
+    once = {(lang, place): i for i, (lang, place) in enumerate(zip(langs, places, strict=True))}
+    order = sorted(once)
+    x = np.empty((len(order), WIDTH), np.float32)
+    for i, row in enumerate(order):
+        x[i] = _unpacked(rows[once[row]])
+    half = np.array([place >> 40 & 1 == 1 for _, place in order], bool)
+    return x, [lang for lang, _ in order], half, np.array([first[once[row]] for row in order], bool)
+
+
+def _named_machines(part: int, model: Model, langs: list[str]) -> Iterator[tuple]:
+    """Rows of ``_FITTED``: the languages of a model, and its machines, by the rows of the smaller class."""
+    many = {lang: langs.count(lang) for lang in set(langs)}
+    for f, family in enumerate(model.families):
+        own = model.langs[f]
+        yield from ((part, "lang", lang, "", many[lang], []) for lang in own)
+        rows = sum(many[lang] for lang in own)
+        if len(model.families) > 1:
+            yield part, "family", family, "", min(rows, len(langs) - rows), model.family_weights[f].tolist()
+        for (i, j), w in model.pairs[f].items():
+            yield part, "pair", own[i], own[j], min(many[own[i]], many[own[j]]), w.tolist()
+
+
+def _fitter(parts: int):
+    """The machines of a block: of all its rows, and of each half if there are three parts."""
+    kinds = pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.float32())
+    names = ["part", "kind", "a", "b", "rows", "weights"]
+
+    def fitted(table: pa.Table) -> pa.Table:
+        x, langs, half, _ = _block(table)
+        found = []
+        for part, use in enumerate((np.ones(len(langs), bool), half, ~half)[:parts]):
+            model = fit(x, langs, use)
+            if model is not None:
+                found += _named_machines(part, model, [lang for lang, u in zip(langs, use, strict=True) if u])
+        columns = zip(*found, strict=True) if found else [()] * len(kinds)
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return fitted
+
+
+def _mean_model(rows: list[Row]) -> Model | None:
+    """A model of the mean machines of one part; where no block had both classes there is none."""
+    langs = sorted(r["a"] for r in rows if r["kind"] == "lang")
+    if not langs:
+        return None
+    weights = {(r["kind"], r["a"], r["b"]): np.array([w["w"] for w in r["weights"]], np.float32) for r in rows if r["kind"] != "lang"}
+    families = sorted({family_of(lang) for lang in langs})
+    members = [[lang for lang in langs if family_of(lang) == f] for f in families]
+    nothing = np.zeros(WIDTH + 1, np.float32)
+    heads = np.stack([weights.get(("family", f, ""), nothing) for f in families])
+    pairs = [
+        {(i, j): weights["pair", own[i], own[j]] for i in range(len(own)) for j in range(len(own)) if ("pair", own[i], own[j]) in weights}
+        for own in members
+    ]
+    return Model(families, members, heads, pairs)
+
+
+def _mean_models(dealt: DataFrame, parts: int) -> list[Model | None]:
+    """The machines of all blocks, averaged: one model a part."""
+    each = dealt.groupBy("block").applyInArrow(_fitter(parts), _FITTED)
+    machine = ["part", "kind", "a", "b"]
+    places = each.select(*machine, "rows", F.posexplode_outer("weights").alias("at", "w"))
+    share = F.round(F.col("w").cast("double") * F.col("rows") * _FIXED).cast("long")
+    means = places.groupBy(*machine, "at").agg((F.sum(share) / F.sum("rows") / _FIXED).alias("w"))
+    # As many rows as there are machines and languages.
+    rows = means.groupBy(*machine).agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("weights")).collect()
+    return [_mean_model([r for r in rows if r["part"] == part]) for part in range(parts)]
+
+
+def _measured_bound(dealt: DataFrame, halves: list[Model | None], scratch: Scratch) -> np.ndarray | None:
+    """The bound of ``margin_bound``, from every row as the machines of the other half see it."""
+    shared = dealt.sparkSession.sparkContext.broadcast(halves)
+
+    def measure(table: pa.Table) -> pa.Table:
+        x, langs, half, first = _block(table)
+        found = [np.empty((0, 2))]
+        # The first of the halves' models read the rows that are marked.
+        for model, told in zip(shared.value, (~half, half), strict=True):
+            if model is not None:
+                learned = {lang for own in model.langs for lang in own}
+                rows = np.flatnonzero(told & first & np.array([lang in learned for lang in langs], bool))
+                found += [_judge(model, x[rows[at : at + 256]])[2] for at in range(0, len(rows), 256)]
+        margins = np.concatenate(found)
+        return pa.Table.from_arrays([pa.array(m, mask=np.isnan(m)) for m in margins.T], ["family", "pair"])
+
+    seen = dealt.groupBy("block").applyInArrow(measure, "family double, pair double")
+    seen = scratch.keep(seen.filter("family IS NOT NULL OR pair IS NOT NULL"), "margins")
+    kinds = "family", "pair"
+    row = seen.agg(F.count("*").alias("n"), *(F.percentile(F.round(k, 4), 0.5).alias(k) for k in kinds)).first()
+    usual = np.array([np.inf if row[k] is None else row[k] for k in kinds])
+    bound = None
+    if row["n"] >= CLEAN_ROWS and (usual > 0).all():
+        units = [F.col(k) / F.lit(float(u)) for k, u in zip(kinds, usual, strict=True)]
+        bound = _slack(seen.agg(F.min(F.greatest(*units))).first()[0], usual)
+    scratch.drop(seen)
+    return bound
+
+
+def _learned_from_all(labelled: DataFrame, bounded: bool) -> tuple[Model | None, np.ndarray | None]:
+    """A model of every labelled row and, if asked for, the bound that they set."""
+    dealt = _dealt(labelled)
+    if dealt is None:
+        return None, None
+    if not bounded:
+        return _mean_models(dealt, 1)[0], None
+    scratch = Scratch(labelled.sparkSession, "language-id")
+    dealt = scratch.keep(dealt, "features")
+    model, *halves = _mean_models(dealt, 3)
+    bound = None if model is None else _measured_bound(dealt, halves, scratch)
+    scratch.drop(dealt)
+    return model, bound
+
+
 def _learned(rows: DataFrame | None, bounded: bool) -> tuple[Model | None, np.ndarray | None]:
     """A model of a sample's rows and, if asked for, their bound.
 
@@ -269,9 +463,13 @@ def _learned(rows: DataFrame | None, bounded: bool) -> tuple[Model | None, np.nd
     return pickle.loads(row["learned"])
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model of ``labelled`` rows (``doc_id, text, lang``), of which ``sample`` are read at most."""
-    return _learned(_sample_of(labelled, sample), bounded=False)[0]
+def _taught(labelled: DataFrame, sample: int | None, bounded: bool) -> tuple[Model | None, np.ndarray | None]:
+    return _learned_from_all(labelled, bounded) if sample is None else _learned(_sample_of(labelled, sample), bounded)
+
+
+def train(labelled: DataFrame, sample: int | None = None) -> Model | None:
+    """A model of ``labelled`` rows (``doc_id, text, lang``): of all, or of ``sample`` at most."""
+    return _taught(labelled, sample, bounded=False)[0]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -303,17 +501,16 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return packed.mapInArrow(tell, schema)
 
 
-def language_report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def language_report(docs: DataFrame, sample: int | None = None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row; learns from rows that aren't held out."""
     model = train(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), sample)
     told = identify(docs.select("doc_id", "text"), model)
     return told.select("doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def keep_identified(docs: DataFrame, sample: int | None = None) -> DataFrame:
     """``docs`` without the rows of no language: no text, none with a letter, or margins below the bound."""
-    read = _sample_of(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), sample)
-    model, bound = _learned(read, bounded=True)
+    model, bound = _taught(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), sample, bounded=True)
     shared = docs.sparkSession.sparkContext.broadcast((model, bound) if bound is not None else None)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

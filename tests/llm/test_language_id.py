@@ -129,3 +129,56 @@ def test_the_bound_keeps_held_out_documents():
     assert li.speaks(li._judge(model, x[~read])[2], bound).all()
     assert not li.speaks(np.array([[0.9, 0.9]]) * bound, bound).any()
     assert li.speaks(np.array([[1.1, 0.0], [0.0, 1.1], [np.nan, 1.1], [np.nan, np.nan]]) * bound, bound).all()
+
+
+def _lettered(spark, n, rare=3):
+    """Documents of two common languages and a rare one, each of letters of its own."""
+    rng = np.random.default_rng(5)
+    own = {"de": "abcd", "nl": "abce", "fr": "pqrs"}
+    rows = []
+    for i in range(n):
+        lang = "fr" if i < rare * 3 else ("de", "nl")[i % 2]
+        rows.append((i, " ".join("".join(rng.choice(list(own[lang]), 4)) for _ in range(30)), lang, "a", 1))
+    return spark.createDataFrame(rows, DOCUMENTS)
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(li, "BLOCK", 40)
+    docs = _lettered(spark, 400)
+    dealt = li._dealt(docs).collect()
+    assert {(r["lang"], r["place"]) for r in dealt} == {(r["lang"], r["place"]) for r in dealt if r["first"]}
+    assert sum(r["first"] for r in dealt) == 400
+    blocks = {r["block"] for r in dealt}
+    assert len(blocks) == 10 and {r["block"] for r in dealt if r["lang"] == "fr"} == blocks
+    (model,) = li._mean_models(li._dealt(docs), 1)
+    assert model.langs == [["de", "nl"], ["fr"]] and list(model.pairs[0]) == [(0, 1)]
+    got = li.language_report(docs).collect()
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert all(r["lang_pred"] == truth[r["doc_id"]] for r in got)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, li.language_report(docs.repartition(7).unionByName(docs.limit(0))).collect()))
+
+
+def test_the_weakest_row_of_all_sets_the_bound(spark, monkeypatch):
+    # More rows than a sample of 4,000 held; the one row that differs sets the bound wherever it stands.
+    docs = spark.range(9_000).selectExpr(
+        "id AS doc_id", "concat(if(id % 2 = 0, 'abcd dcba abab ', 'abce ecba aeae '), 'acca ', id) AS text", "if(id % 2 = 0, 'de', 'nl') AS lang"
+    )
+    odd = spark.createDataFrame([(10**6, "abcd abce xyzw wzyx yyzz", "de")], "doc_id long, text string, lang string")
+    _, bound = li._learned_from_all(docs, bounded=True)
+    _, lower = li._learned_from_all(docs.unionByName(odd), bounded=True)
+    assert (lower[1:] < 0.9 * bound[1:]).all()
+
+
+def test_one_block_gives_the_machines_of_a_plain_fit(spark):
+    docs = _lettered(spark, 300)
+    (model,) = li._mean_models(li._dealt(docs), 1)
+    rows = sorted((r["lang"], r["place"], r["features"]) for r in li._dealt(docs).collect())
+    plain = li.fit(np.stack([li._unpacked(r[2]).astype(np.float32) for r in rows]), [r[0] for r in rows])
+    assert model.families == plain.families and np.allclose(model.family_weights, plain.family_weights, atol=1e-5)
+    assert all(np.allclose(model.pairs[0][k], w, atol=1e-5) for k, w in plain.pairs[0].items())
+
+
+def test_a_row_that_comes_often_is_learned_once(spark):
+    docs = _lettered(spark, 300)
+    a, b = (li._mean_models(li._dealt(d), 1)[0] for d in (docs, docs.unionByName(docs).unionByName(docs.limit(50))))
+    assert np.array_equal(a.family_weights, b.family_weights)
