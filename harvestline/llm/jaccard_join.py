@@ -57,7 +57,7 @@ _SHIFTS = (64 - FILTER_BITS, 19, 0)  # which bits of a hash name its places in t
 _WIDEN = (3, 2)  # a band's sizes reach to this times its least
 _REMEMBERED = 1 << 18  # sets a task remembers, to pass on each once
 _ROWS = 1 << 16  # questions in a batch, or one set's
-_PIECE = 4 << 20  # bytes of texts or sets in hand at a time
+_PIECE = 1 << 18  # bytes of texts or sets in hand at a time
 
 
 @dataclass(frozen=True)

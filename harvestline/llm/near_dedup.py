@@ -45,7 +45,7 @@ ROWS = HASHES // BANDS
 FILTER_BITS = 26
 CLASSES = 24  # of shingles, to bound intersections by
 ROUNDS = 1  # of random partners before what is left is compared one by one
-_SEGMENT = 4 << 20  # bytes hashed at a time
+_SEGMENT = 1 << 18  # bytes hashed at a time
 _BLOCK = 8192  # shingles taken through the minima at a time
 
 _random = np.random.default_rng(20_240_501)
