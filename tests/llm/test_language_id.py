@@ -182,3 +182,10 @@ def test_a_row_that_comes_often_is_learned_once(spark):
     docs = _lettered(spark, 300)
     a, b = (li._mean_models(li._dealt(d), 1)[0] for d in (docs, docs.unionByName(docs).unionByName(docs.limit(50))))
     assert np.array_equal(a.family_weights, b.family_weights)
+
+
+def test_no_row_that_was_learned_from_is_rejected(spark):
+    # The machines of all rows see a text of one letter weaker than those of a half do.
+    docs = spark.read.parquet(f"{SF_DIR.replace('0.001', '0.1')}/documents.parquet")
+    kept = {r["doc_id"] for r in li.keep_identified(docs).select("doc_id").collect()}
+    assert [r["doc_id"] for r in docs.collect() if li.has_letter(r["text"]) and r["doc_id"] not in kept] == []
