@@ -38,15 +38,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# Whether the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Staged tables of one operator; those that are no longer read are deleted.
 
     A table is written once into the cluster's shared folder, so a lost executor
-    costs its running tasks and nothing that is already written.
+    costs its running tasks and nothing that is already written.  With ``tidy``,
+    the shuffle files behind a table go as soon as it is written.
     """
 
-    def __init__(self, spark: SparkSession, label: str) -> None:
-        self.spark, self.label = spark, label
+    def __init__(self, spark: SparkSession, label: str, tidy: bool = False) -> None:
+        self.spark, self.label, self.tidy = spark, label, tidy
         self._kept: list[tuple[DataFrame, str]] = []
 
     def path(self, step: str) -> str:
@@ -54,8 +59,12 @@ class Scratch:
         return f"{shared_folder(self.spark)}/{self.label}-{step}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, step: str) -> DataFrame:
-        path = self.path(step)
-        df.write.parquet(path)
+        path, before = self.path(step), self.spark.conf.get(_TIDY, "false")
+        self.spark.conf.set(_TIDY, "true" if self.tidy else before)
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_TIDY, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self._kept.append((kept, path))
         return kept

@@ -27,6 +27,11 @@ A subset that only one component has is dropped, a node that can spend on subset
 of its own alone meets nothing, and a hot group, being one component, spends
 nothing.  No link is lost: any pair not yet connected has one side that looks for it.
 
+Sets that differ in at most H grams have all but H of a space's segments in common.
+So a set is passed over, before its grams are moved, in any space where it shares no
+more than that with whatever set; and by the second search where it shares no more
+than that with sets of other components.
+
 A null text is empty.  A document without words has no grams and is linked with
 nothing; with fewer words than a gram has, the whole sequence is the only one.  A
 null ``doc_id`` names no component with an id in it (``component_id`` is null where
@@ -176,23 +181,25 @@ def _ints(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array(np.concatenate(arrays).astype(np.uint64).view(np.int64) if arrays else np.zeros(0, np.int64), pa.int64())
 
 
-_SETS = "size long, node binary, place long, grams binary, sketches array<struct<space:int,bits:array<long>>>"
-_SKETCHES = pa.list_(pa.struct([("space", pa.int32()), ("bits", pa.list_(pa.int64()))]))
+_SETS = "size long, node binary, place long, grams binary"
 
 
 def _sets(k: int, rule: Similarity):
-    """Every row's size and node; of each node's rows in a task, as far as it remembers, the first has the set."""
+    """Every row's size and node; of each node's rows in a task, as far as it remembers, the first has the set.
+
+    Sets of so few grams that only equal ones are similar are left out.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, known = TaskContext.get().partitionId() << 40, set()
         for batch in batches:
             batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.binary())], ["row", "text"])
             for piece in _pieces(batch, 1):
-                sizes, nodes, places, grams, sketches = [], [], [], [], []
+                sizes, nodes, places, grams = [], [], [], []
                 for found in shingle_sets([raw or b"" for raw in piece.column(1).to_pylist()], k):
                     raw = found.tobytes()
                     node = hashlib.blake2b(raw, digest_size=16).digest() if raw else None
-                    new = bool(raw) and node not in known
+                    new = bool(raw) and node not in known and bool(spaces_of(len(found), rule))
                     if new:
                         if len(known) >= _REMEMBERED:
                             known.clear()
@@ -202,21 +209,23 @@ def _sets(k: int, rule: Similarity):
                     nodes.append(node)
                     places.append(place if new else None)
                     grams.append(raw if new else None)
-                    spaces = spaces_of(len(found), rule) if new else ()
-                    sketches.append([{"space": s.number, "bits": sketch(found, s)} for s in spaces] if new else None)
-                columns = (sizes, pa.int64()), (nodes, pa.binary()), (places, pa.int64()), (grams, pa.binary()), (sketches, _SKETCHES)
+                columns = (sizes, pa.int64()), (nodes, pa.binary()), (places, pa.int64()), (grams, pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), *(pa.array(values, kind) for values, kind in columns)],
-                    ["row", "size", "node", "place", "grams", "sketches"],
+                    ["row", "size", "node", "place", "grams"],
                 )
 
     return sets
 
 
-def _subsets(rule: Similarity):
-    """``hash, bits``: each subset of each node, the node by its first half."""
+def _subsets(rule: Similarity, twice):
+    """``hash, bits``: each subset of each node; of nodes that ``twice`` marks, the node's first half.
+
+    The others have one row, so that none of their subsets is met again as their own.
+    """
 
     def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        area = np.frombuffer(twice.value, np.uint8)
         for batch in (piece for whole in batches for piece in _pieces(whole, 1)):
             found, many, nodes = [], [], []
             for node, grams in zip(batch.column(0).to_pylist(), _grams(batch.column(1)), strict=True):
@@ -224,8 +233,9 @@ def _subsets(rule: Similarity):
                     found.append(segment_hashes(grams, space)[0])
                     many.append(len(found[-1]))
                     nodes.append(node)
-            halves = np.repeat(_first_halves(nodes).view(np.int64), many)
-            yield pa.RecordBatch.from_arrays([_ints(found), pa.array(halves, pa.int64())], ["hash", "bits"])
+            halves = np.repeat(_first_halves(nodes), many)
+            bits = pa.array(halves.view(np.int64), pa.int64(), mask=~_marked(area, halves))
+            yield pa.RecordBatch.from_arrays([_ints(found), bits], ["hash", "bits"])
 
     return subsets
 
@@ -240,7 +250,7 @@ def _marked(area: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _shared_subsets(rule: Similarity, shared):
-    """``hash, space, node, size, slack``: the subsets that a bitmap lets through.
+    """``hash, space, node, slack``: the subsets that a bitmap lets through.
 
     ``slack`` is how many segments of the space a set of this size need not spend on.
     """
@@ -255,17 +265,16 @@ def _shared_subsets(rule: Similarity, shared):
                     hashes = hashes[_marked(area, hashes)]
                     found.append(hashes)
                     slack = space.segments - space.spend(len(grams))
-                    about += [(space.number, node, len(grams), slack)] * len(hashes)
-            space, node, size, slack = zip(*about, strict=True) if about else ((), (), (), ())
+                    about += [(space.number, node, slack)] * len(hashes)
+            space, node, slack = zip(*about, strict=True) if about else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
                     _ints(found),
                     pa.array(space, pa.int32()),
                     pa.array(node, pa.binary()),
-                    pa.array(size, pa.int64()),
                     pa.array(slack, pa.int32()),
                 ],
-                ["hash", "space", "node", "size", "slack"],
+                ["hash", "space", "node", "slack"],
             )
 
     return subsets
@@ -313,16 +322,17 @@ def _questions(rule: Similarity):
     return questions
 
 
-def _answers(rule: Similarity, whole, without):
-    """``hash, deleted, node, size, space``: subsets that are asked for, and subsets that are with one deletion.
+def _answers(rule: Similarity, sought, whole, without):
+    """``hash, deleted, node, space``: subsets that are asked for, and subsets that are with one deletion.
 
-    ``whole`` marks the hashes that subsets may have, ``without`` those that they may have with a gram deleted.
+    Of nodes that ``sought`` marks. ``whole`` marks the hashes that subsets may have, ``without`` those that they
+    may have with a gram deleted.
     """
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = [np.frombuffer(area.value, np.uint8) for area in (whole, without)]
-        for batch in (piece for some in batches for piece in _pieces(some, 1)):
-            found, deleted, nodes, sizes, numbers = [], [], [], [], []
+        for batch in (piece for some in _marked_nodes(sought)(batches) for piece in _pieces(some, 1)):
+            found, deleted, nodes, numbers = [], [], [], []
             for node, grams in zip(batch.column(0).to_pylist(), _grams(batch.column(1)), strict=True):
                 for space in spaces_of(len(grams), rule):
                     hashes, segment, value = segment_hashes(grams, space)
@@ -331,16 +341,40 @@ def _answers(rule: Similarity, whole, without):
                         found.append(hits)
                         deleted += [bool(kind)] * len(hits)
                         nodes += [node] * len(hits)
-                        sizes += [len(grams)] * len(hits)
                         numbers += [space.number] * len(hits)
-            columns = (deleted, pa.bool_()), (nodes, pa.binary()), (sizes, pa.int64()), (numbers, pa.int32())
+            columns = (deleted, pa.bool_()), (nodes, pa.binary()), (numbers, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [_ints(found), *(pa.array(values, kind) for values, kind in columns)], ["hash", "deleted", "node", "size", "space"]
+                [_ints(found), *(pa.array(values, kind) for values, kind in columns)], ["hash", "deleted", "node", "space"]
             )
 
     return answers
 
 
+def _answered(equal, shorter):
+    """The questions that a bitmap lets through: ``equal`` those for a subset, ``shorter`` those with a gram deleted."""
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = [np.frombuffer(area.value, np.uint8) for area in (equal, shorter)]
+        for batch in batches:
+            hashes = batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64)
+            deleted = batch.column("deleted").to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(np.where(deleted, _marked(marks[1], hashes), _marked(marks[0], hashes))))
+
+    return answered
+
+
+def _marked_hashes(shared):
+    """The rows whose hash a bitmap lets through."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        area = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            hashes = batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(_marked(area, hashes)))
+
+    return marked
+
+
 def allocate(spend: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """0, 1 or 2 for each segment, ``spend`` in all or one more, from what spending 1 and 2 costs there.
 
@@ -387,6 +421,24 @@ def _marked_nodes(shared):
     return marked
 
 
+def _sketches(rule: Similarity, shared):
+    """``node, space, size, bits``: the sketches of the sets whose node a bitmap lets through."""
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for some in _marked_nodes(shared)(batches) for piece in _pieces(some, 1)):
+            nodes, spaces, sizes, bits = [], [], [], []
+            for node, grams in zip(batch.column(0).to_pylist(), _grams(batch.column(1)), strict=True):
+                for space in spaces_of(len(grams), rule):
+                    nodes.append(node)
+                    spaces.append(space.number)
+                    sizes.append(len(grams))
+                    bits.append(sketch(grams, space))
+            columns = (nodes, pa.binary()), (spaces, pa.int32()), (sizes, pa.int64()), (bits, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in columns], ["node", "space", "size", "bits"])
+
+    return sketches
+
+
 def _verify(rule: Similarity):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -420,22 +472,50 @@ def _node_bits(nodes: DataFrame) -> DataFrame:
 class _Join:
     def __init__(self, docs: DataFrame, key: str, k: int, rule: Similarity) -> None:
         self.spark, self.rule = docs.sparkSession, rule
-        self.scratch = Scratch(self.spark, "jaccard-join")
+        self.scratch = Scratch(self.spark, "jaccard-join", tidy=True)
         kind = docs.schema[key].dataType.simpleString()
-        self.rows = self.scratch.keep(docs.select(key, "text").mapInArrow(_sets(k, rule), f"row {kind}, {_SETS}"), "sets")
-        # A set of fewer grams than this is similar to equal ones only.
-        least = next((n for n in range(1, 10_000) if spaces_of(n, rule)), 1 << 62)
-        self.sets = self.rows.filter(F.col("place").isNotNull() & (F.col("size") >= least))
+        every = self.scratch.keep(docs.select(key, "text").mapInArrow(_sets(k, rule), f"row {kind}, {_SETS}"), "sets")
+        sets = every.filter(F.col("place").isNotNull()).select("node", "grams")
+        self.subsets = self.shared_subsets(sets)
+        # From here on, only sets that can be similar to another: ``node, grams``, each node once.
+        marks = self.shared(_node_bits(self.subsets.select("node")))
+        self.sets = self.scratch.keep(sets.mapInArrow(_marked_nodes(marks), sets.schema).dropDuplicates(["node"]), "near")
+        marks.destroy()
+        self.rows = self.scratch.keep(every.select("row", "size", "node"), "rows")
+        self.scratch.drop(every)
 
     def shared(self, hashes: DataFrame):
         return self.spark.sparkContext.broadcast(bitmap(hashes))
 
-    def sketches(self, nodes: DataFrame, side: str) -> DataFrame:
-        """``{side}, space, size_{side}, bits_{side}`` of distinct nodes; reads no grams."""
-        some = self.sets.select("node", "size", "sketches").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-        return some.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.inline("sketches")).withColumnRenamed(
-            "bits", f"bits_{side}"
+    def shared_subsets(self, sets: DataFrame) -> DataFrame:
+        """``node, space, slack, weight, hashes``: the subsets that others have too, where they are more than slack.
+
+        Similar sets have all but H subsets of a space in common.
+        """
+        twice = self.shared(_node_bits(sets.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")))
+        every = sets.mapInArrow(_subsets(self.rule, twice), "hash long, bits long")
+        ends = every.groupBy("hash").agg(
+            F.count("*").alias("n"), F.count("bits").alias("known"), F.min("bits").alias("least"), F.max("bits").alias("most")
         )
+        several = ends.filter("n > 1 AND (n - known + int(known > 0) > 1 OR least <> most)")
+        common = self.scratch.keep(several.select("hash", "n"), "common")
+        twice.destroy()
+        marks = self.shared(common.select("hash"))
+        found = sets.mapInArrow(_shared_subsets(self.rule, marks), "hash long, space int, node binary, slack int")
+        of_set = found.join(common, "hash").dropDuplicates(["hash", "node"]).groupBy("node", "space", "slack")
+        near = of_set.agg(F.sum("n").alias("weight"), F.collect_list("hash").alias("hashes")).filter(F.size("hashes") > F.col("slack"))
+        kept = self.scratch.keep(near, "subsets")
+        marks.destroy()
+        self.scratch.drop(common)
+        return kept
+
+    def sketches(self, nodes: DataFrame, step: str) -> DataFrame:
+        """``node, space, size, bits`` of these nodes, and a few more."""
+        marks = self.shared(_node_bits(nodes))
+        found = self.sets.mapInArrow(_sketches(self.rule, marks), "node binary, space int, size long, bits array<long>")
+        kept = self.scratch.keep(found, f"{step}-sketches")
+        marks.destroy()
+        return kept
 
     def may_be_similar(self) -> Column:
         """Of ``size_a, bits_a, size_b, bits_b``: not true only where the sets can't be similar."""
@@ -445,26 +525,10 @@ class _Join:
         near = of * F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")
         return near & ((of + least) * grams <= (of - least) * (F.col("size_a") + F.col("size_b")))
 
-    def subsets(self) -> DataFrame:
-        """``hash, space, node, size, slack``: subsets that several nodes have, each node once."""
-        every = self.sets.select("node", "grams").mapInArrow(_subsets(self.rule), "hash long, bits long")
-        ends = every.groupBy("hash").agg(F.min("bits").alias("least"), F.max("bits").alias("most"))
-        common = self.scratch.keep(ends.filter("least <> most").select("hash"), "common")
-        marks = self.shared(common)
-        found = self.sets.select("node", "grams").mapInArrow(
-            _shared_subsets(self.rule, marks), "hash long, space int, node binary, size long, slack int"
-        )
-        kept = self.scratch.keep(found.join(common, "hash", "left_semi").dropDuplicates(["hash", "node"]), "subsets")
-        marks.destroy()
-        self.scratch.drop(common)
-        return kept
-
     def grams_of(self, nodes: DataFrame) -> tuple[DataFrame, Broadcast]:
-        """``node, grams`` of distinct nodes, each once, by node; and the bitmap behind it."""
+        """``node, grams`` of distinct nodes, each once; and the bitmap behind it."""
         marks = self.shared(_node_bits(nodes))
-        some = self.sets.select("node", "grams", "place")
-        found = some.mapInArrow(_marked_nodes(marks), some.schema).join(nodes, "node", "left_semi")
-        return found.groupBy("node").agg(F.min_by("grams", "place").alias("grams")), marks
+        return self.sets.mapInArrow(_marked_nodes(marks), self.sets.schema).join(nodes, "node", "left_semi"), marks
 
     def verified(self, pairs: DataFrame, step: str) -> DataFrame:
         """The links among distinct pairs ``a, b``."""
@@ -480,37 +544,48 @@ class _Join:
         self.scratch.drop(pairs)
         return links
 
-    def first_links(self, subsets: DataFrame) -> DataFrame:
+    def first_links(self) -> DataFrame:
         """Each node and, of the centres of its subsets, the one it shares most with, if they are linked."""
-        many = subsets.groupBy("hash").agg(F.count("*").alias("n"))
-        weight = subsets.join(many, "hash").groupBy("node").agg(F.sum("n").alias("weight"))
-        centres = subsets.join(weight, "node").groupBy("hash").agg(F.max_by("node", F.struct("weight", "node")).alias("centre"))
-        met = subsets.join(centres, "hash").filter("node <> centre").groupBy("node", "space", "slack", "centre")
+        each = self.subsets.select("node", "space", "slack", "weight", F.explode("hashes").alias("hash"))
+        centres = each.groupBy("hash").agg(F.max_by("node", F.struct("weight", "node")).alias("centre"))
+        met = each.drop("weight").join(centres, "hash").filter("node <> centre").groupBy("node", "space", "slack", "centre")
         # Similar sets have all but H subsets in common.
         near = met.agg(F.count("*").alias("n")).filter("n > slack")
         best = near.groupBy(F.col("node").alias("a")).agg(F.max_by(F.struct("centre", "space"), F.struct("n", "centre")).alias("best"))
         best = self.scratch.keep(best.select("a", F.col("best.centre").alias("b"), F.col("best.space").alias("space")), "best")
-        a = self.sketches(best.select(F.col("a").alias("node")), "a")
-        b = self.sketches(best.select(F.col("b").alias("node")).distinct(), "b")
-        close = best.join(a, ["a", "space"]).join(b, ["b", "space"]).filter(self.may_be_similar())
-        links = self.verified(close.select("a", "b"), "first")
-        self.scratch.drop(best)
+        nodes = best.select(F.col("a").alias("node")).unionByName(best.select(F.col("b").alias("node")))
+        sketches = self.sketches(nodes, "first")
+        close = best.join(_of_side(sketches, "a"), ["a", "space"]).join(_of_side(sketches, "b"), ["b", "space"])
+        links = self.verified(close.filter(self.may_be_similar()).select("a", "b"), "first")
+        self.scratch.drop(best, sketches)
         return links
 
-    def searching(self, subsets: DataFrame, ranks: DataFrame) -> DataFrame:
-        """``node, spaces``: those that can't spend all on subsets that no larger component shares."""
-        ranked = _ranked(subsets, ranks)
-        top = ranked.groupBy("hash").agg(F.max("rank").alias("top"), F.min("rank").alias("bottom")).filter("top <> bottom")
-        met = ranked.join(top.select("hash", "top"), "hash").filter("rank < top")
-        short = met.groupBy("node", "space", "slack").agg(F.count("*").alias("n")).filter("n > slack")
-        return short.groupBy("node").agg(F.collect_list("space").alias("spaces"))
+    def outside(self, ranks: DataFrame) -> DataFrame:
+        """``node, space, slack, n, lower``: those that share more than slack with sets of other components.
+
+        ``n`` is how many subsets they share so, and ``lower`` how many of them with larger components.
+        """
+        by_rank = _ranked(self.subsets, ranks).select("rank", F.explode("hashes").alias("hash"))
+        tops = by_rank.groupBy("hash").agg(F.max("rank").alias("top"), F.min("rank").alias("bottom")).filter("top <> bottom")
+        tops = self.scratch.keep(tops.select("hash", "top"), "tops")
+        marks = self.shared(tops.select("hash"))
+        each = self.subsets.select("node", "space", "slack", F.explode("hashes").alias("hash"))
+        met = _ranked(each.mapInArrow(_marked_hashes(marks), each.schema), ranks).join(tops, "hash")
+        of_set = met.groupBy("node", "space", "slack").agg(F.count("*").alias("n"), F.count_if(F.expr("rank < top")).alias("lower"))
+        kept = self.scratch.keep(of_set.filter("n > slack"), "outside")
+        marks.destroy()
+        self.scratch.drop(tops)
+        return kept
 
-    def last_links(self, subsets: DataFrame, roots: DataFrame) -> DataFrame:
+    def last_links(self, roots: DataFrame) -> DataFrame:
         """All links between nodes of different components."""
         roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
         size = roots.groupBy("root").agg(F.count("*").alias("many"))
         ranks = self.scratch.keep(roots.join(size, "root").select("node", F.struct("many", F.xxhash64("root").alias("root")).alias("rank")), "ranks")
-        searching = self.scratch.keep(self.searching(subsets, ranks), "searching")
+        outside = self.outside(ranks)
+        # Those that can't spend all on subsets that no larger component shares.
+        searching = outside.filter("lower > slack").groupBy("node").agg(F.collect_list("space").alias("spaces"))
+        searching = self.scratch.keep(searching, "searching")
         own, marks = self.grams_of(searching.select("node"))
         asked = self.scratch.keep(
             own.join(searching, "node")
@@ -519,29 +594,31 @@ class _Join:
             "questions",
         )
         marks.destroy()
+        sought = self.shared(_node_bits(outside.select("node")))
         whole, without = self.shared(asked.select("hash")), self.shared(asked.filter("NOT deleted").select("hash"))
-        found = self.sets.select("node", "grams").mapInArrow(
-            _answers(self.rule, whole, without), "hash long, deleted boolean, node binary, size long, space int"
-        )
-        wanted = asked.select("hash").distinct()
-        answers = self.scratch.keep(
-            _ranked(found.join(wanted, "hash", "left_semi"), ranks).dropDuplicates(["hash", "deleted", "node"]), "answers"
-        )
-        whole.destroy()
-        without.destroy()
+        found = self.sets.mapInArrow(_answers(self.rule, sought, whole, without), "hash long, deleted boolean, node binary, space int")
+        answers = self.scratch.keep(_ranked(found.withColumnRenamed("deleted", "against"), ranks), "answers")
+        for marks in (sought, whole, without):
+            marks.destroy()
+        all_of = answers.groupBy("hash", "against").agg(F.count("*").alias("all"), F.max("rank").alias("top"), F.min("rank").alias("bottom"))
+        all_of = self.scratch.keep(all_of, "kinds")
+        # A set answers what it asks for itself; so an equal subset is of use where several components have it.
+        equal, shorter = self.shared(all_of.filter("against OR top <> bottom").select("hash")), self.shared(all_of.filter("NOT against").select("hash"))
+        useful = self.scratch.keep(asked.mapInArrow(_answered(equal, shorter), asked.schema), "useful")
+        equal.destroy()
+        shorter.destroy()
+        self.scratch.drop(asked)
         # What a node asks of each kind of answer; the second unit of a segment asks for everything but equal subsets.
-        equal, shorter = asked.filter("NOT deleted"), asked.filter("deleted")
+        equal, shorter = useful.filter("NOT deleted"), useful.filter("deleted")
         looks = (
             equal.withColumns({"against": F.lit(False), "unit": F.lit(1)})
             .unionByName(equal.withColumns({"against": F.lit(True), "unit": F.lit(2)}))
             .unionByName(shorter.withColumns({"against": F.lit(False), "unit": F.lit(2)}))
             .drop("deleted")
         )
-        kinds = answers.withColumnRenamed("deleted", "against")
-        all_of = kinds.groupBy("hash", "against").agg(F.count("*").alias("all"), F.max("rank").alias("top"))
-        own_of = kinds.groupBy("hash", "against", "rank").agg(F.count("*").alias("own"))
+        own_of = answers.groupBy("hash", "against", "rank").agg(F.count("*").alias("own"))
         # Only what meets a node of a larger component has a price; the rest is for nothing.
-        met = _ranked(looks.join(all_of, ["hash", "against"]), ranks).filter("rank < top")
+        met = _ranked(looks.join(all_of.drop("bottom"), ["hash", "against"]), ranks).filter("rank < top")
         met = self.scratch.keep(met.drop("top"), "met")
         priced = met.join(own_of, ["hash", "against", "rank"], "left")
         price = F.col("all") - F.coalesce("own", F.lit(0))
@@ -558,13 +635,15 @@ class _Join:
         chosen = self.scratch.keep(chosen.select("hash", "against", "space", F.col("node").alias("a"), "rank"), "chosen")
         lowest = chosen.groupBy("hash", "against").agg(F.min("rank").alias("lowest"))
         others = self.scratch.keep(
-            kinds.join(lowest, ["hash", "against"])
+            answers.join(lowest, ["hash", "against"])
             .filter("rank > lowest")
             .select("hash", "against", "space", F.col("node").alias("b"), F.col("rank").alias("rank_b")),
             "others",
         )
-        asking = chosen.join(self.sketches(searching.select("node"), "a"), ["a", "space"])
-        answering = others.join(self.sketches(others.select(F.col("b").alias("node")).distinct(), "b"), ["b", "space"])
+        nodes = chosen.select(F.col("a").alias("node")).unionByName(others.select(F.col("b").alias("node")))
+        sketches = self.sketches(nodes, "last")
+        asking = chosen.join(_of_side(sketches, "a"), ["a", "space"])
+        answering = others.join(_of_side(sketches, "b"), ["b", "space"])
         pairs = (
             asking.join(answering.drop("space"), ["hash", "against"])
             .filter((F.col("rank") < F.col("rank_b")) & self.may_be_similar())
@@ -572,10 +651,15 @@ class _Join:
             .distinct()
         )
         links = self.verified(pairs, "last")
-        self.scratch.drop(ranks, searching, asked, answers, met, spent, chosen, others)
+        self.scratch.drop(ranks, outside, searching, answers, all_of, useful, met, spent, chosen, others, sketches)
         return links
 
 
+def _of_side(sketches: DataFrame, side: str) -> DataFrame:
+    """``{side}, space, size_{side}, bits_{side}``."""
+    return sketches.select(F.col("node").alias(side), "space", F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}"))
+
+
 def _ranked(rows: DataFrame, ranks: DataFrame) -> DataFrame:
     """Rows with a node, and its component's rank: by number of nodes, then hash of the root."""
     alone = F.struct(F.lit(1).cast("long").alias("many"), F.xxhash64("node").alias("root"))
@@ -589,12 +673,11 @@ def similar_groups(docs: DataFrame, k: int = 3, least: int = 90, of: int = 100,
     null for documents without grams.
     """
     join = _Join(docs, key, k, Similarity(least, of))
-    subsets = join.subsets()
-    first = join.first_links(subsets)
-    last = join.last_links(subsets, components(first, join.scratch))
+    first = join.first_links()
+    last = join.last_links(components(first, join.scratch))
     roots = components(first.unionByName(last), join.scratch)
-    join.scratch.drop(subsets)
-    return join.rows.select("row", "size", "node").join(roots, "node", "left").select("row", F.col("size").alias("n_shingles"), F.coalesce("root", "node").alias("group"))
+    join.scratch.drop(join.subsets, join.sets)
+    return join.rows.join(roots, "node", "left").select("row", F.col("size").alias("n_shingles"), F.coalesce("root", "node").alias("group"))
 
 
 def join_report(docs: DataFrame, k: int = 3, least: int = 90, of: int = 100) -> DataFrame:

@@ -1,12 +1,19 @@
+import os
 import random
+import tempfile
+import time
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from llm_helpers import DOCUMENTS, SF_DIR, awkward_rows, near_components
 
+from pyspark.sql import functions as F
+
 from harvestline.llm import jaccard_join as jj
+from harvestline.llm.common import Scratch
 
 RULE = jj.Similarity(90, 100)
 
@@ -146,6 +153,54 @@ def test_chains_a_hot_group_and_pages_of_one_template(spark):
     check(rows, report(spark, rows))
 
 
+def test_similar_sets_share_more_subsets_than_slack():
+    rng = np.random.default_rng(12)
+    met = 0
+    for _ in range(400):
+        size = int(rng.integers(8, 400))
+        a, b = near_sets(rng, size, int(rng.integers(1, 3 + size // 5)))
+        if not similar(a, b, RULE) or np.array_equal(a, b):
+            continue
+        met += 1
+        common = set(jj.spaces_of(len(a), RULE)) & set(jj.spaces_of(len(b), RULE))
+        shared = {s: int((jj.segment_hashes(a, s)[0] == jj.segment_hashes(b, s)[0]).sum()) for s in common}
+        assert any(n > s.segments - min(s.spend(len(a)), s.spend(len(b))) for s, n in shared.items())
+    assert met > 50
+
+
+def test_only_sets_that_can_be_similar_are_moved(spark):
+    """However many others there are, and however many tasks have copies of them."""
+    rng = random.Random(21)
+    page = [f"p{i}" for i in range(100)]
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(120)), "en", "a", 1) for i in range(60)]
+    rows += [(100 + i, rows[0][1], "en", "a", 1) for i in range(9)]
+    # Half of a page in common is far from similar.
+    rows += [(200 + i, " ".join(page[:60] + [f"own{i}x{j}" for j in range(60)]), "en", "a", 1) for i in range(20)]
+    near = [(300 + i, " ".join(page + ["tail", f"end{i}"]), "en", "a", 1) for i in range(3)]
+    join = jj._Join(spark.createDataFrame(rows + near, DOCUMENTS).repartition(6), "doc_id", 3, RULE)
+    assert join.sets.count() == 3 and set(join.sets.columns) == {"node", "grams"}
+    assert join.subsets.select("node").distinct().count() == 3
+    assert join.rows.count() == len(rows) + 3
+    check(rows + near, report(spark, rows + near))
+
+
+def test_shuffle_files_go_with_the_step_that_wrote_them(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folder = spark.conf.get("spark.local.dir", None) or os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir()
+    before, scratch = spark.conf.get(key), Scratch(spark, "tidy", tidy=True)
+
+    def files():
+        return {str(p) for p in Path(folder).glob("**/blockmgr*/*/shuffle_*.data")}
+
+    had = files()
+    kept = scratch.keep(spark.range(20_000).groupBy("id").agg(F.max("id").alias("m")), "many")
+    until = time.time() + 10
+    while files() - had and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - had and spark.conf.get(key) == before
+    assert kept.count() == 20_000
+
+
 def test_awkward_rows_and_clashing_columns(spark):
     rows = awkward_rows()
     docs = spark.createDataFrame(rows, DOCUMENTS).selectExpr("*", "1 AS node", "2 AS hash", "3 AS `row`", "4 AS grams", "5 AS rank")
