@@ -458,7 +458,8 @@ def bitmap(hashes: DataFrame) -> bytes:
     # Spark's bitmaps are of 32,768 bits each.
     parts = hashes.select(F.explode(F.array(*each)).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
     area = bytearray((1 << FILTER_BITS) // 8)
-    for row in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).toLocalIterator():
+    # 8 MB at most, in one job; an iterator would run one for each partition.
+    for row in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect():
         begin = (row["bucket"] - 1) * 4096
         area[begin : begin + 4096] = row["bits"]
     return bytes(area)
