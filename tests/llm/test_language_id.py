@@ -189,3 +189,29 @@ def test_no_row_that_was_learned_from_is_rejected(spark):
     docs = spark.read.parquet(f"{SF_DIR.replace('0.001', '0.1')}/documents.parquet")
     kept = {r["doc_id"] for r in li.keep_identified(docs).select("doc_id").collect()}
     assert [r["doc_id"] for r in docs.collect() if li.has_letter(r["text"]) and r["doc_id"] not in kept] == []
+
+
+def test_machines_look_at_few_rows_and_take_the_same_steps(monkeypatch):
+    rng = np.random.default_rng(3)
+    own = rng.integers(0, 3, 600)
+    x = np.zeros((600, 90), np.float32)
+    x[:, :60] = rng.random((600, 60)) * (rng.random((600, 60)) < 0.3)
+    x[np.arange(600), own] += 3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sides = [np.where(own == 0, 1, -1), np.where(own == 1, 1, np.where(own == 2, -1, 0)), np.where(own > 0, 0, 1)]
+    sides = [s.astype(np.float32) for s in sides]
+
+    y = np.stack(sides, axis=1)
+    share = np.where(y > 0, 0.5 / np.maximum(1, (y > 0).sum(axis=0)), 0.5 / np.maximum(1, (y < 0).sum(axis=0)))
+    full = np.column_stack([x, np.full(len(x), li._BIAS)]).astype(np.float64)
+    w = step = np.zeros((3, 91))
+    for _ in range(li._ROUNDS):
+        miss = np.maximum(0, 1 - y * (full @ w.T)) * y * share
+        step = 0.9 * step - li._DECAY * w + miss.T @ full
+        w = w + li._RATE * step
+
+    seen, margins = [], li._margins
+    monkeypatch.setattr(li, "_margins", lambda rows, weights: seen.append(len(rows)) or margins(rows, weights))
+    assert np.allclose(li._machines(x, sides), w, atol=1e-4)
+    assert sum(seen) < 0.7 * li._ROUNDS * len(x)
+    assert li._machines(x[:0], [s[:0] for s in sides]).shape == (3, 91)
