@@ -38,6 +38,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sized(df: DataFrame, rows: int, a_task: int) -> DataFrame:
+    """``df``, whose size is known, in no more partitions than ``a_task`` rows each need."""
+    return df.coalesce(max(1, -(-rows // a_task)))
+
+
 # Whether the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -38,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harvestline.llm.common import SPACE_BYTES, Scratch
+from harvestline.llm.common import SPACE_BYTES, Scratch, sized
 
 HASHES, BANDS, BITS = 128, 32, 2
 ROWS = HASHES // BANDS
 FILTER_BITS = 26
 CLASSES = 24  # of shingles, to bound intersections by
 ROUNDS = 1  # of random partners before what is left is compared one by one
+_LINKS = 100_000  # links that a task takes at least
+_PAIRS = 1_000  # pairs of sets that a task compares at least
 _SEGMENT = 1 << 18  # bytes hashed at a time
 _BLOCK = 8192  # shingles taken through the minima at a time
 
@@ -266,34 +268,32 @@ def _near(threshold: float) -> float:
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """``node, root`` for every node of undirected ``links`` (a, b): the least node it is connected to."""
+    """``node, root`` for every node of undirected ``links`` (a, b): the least node it is connected to.
+
+    Each round reads its links in partitions of their own number, so few links are a matter of one task.
+    """
+    here, there = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
     edges = scratch.keep(
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges"
     )
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before = now
+        few = sized(edges, now[0], _LINKS)
+        both = few.select(F.explode(F.array(here, there)).alias("e")).select("e.a", "e.b")
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         # Large star: neighbours above a node go to the least of its neighbourhood.
-        large = scratch.keep(
-            both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large"
-        )
+        large = scratch.keep(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
         scratch.drop(edges)
         # Small star: a node and its neighbours below go to the least of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        edges = scratch.keep(
-            small.select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(least.select("a", F.col("m").alias("b")))
-            .filter("a <> b")
-            .distinct(),
-            "edges",
-        )
+        few = sized(large, now[0], _LINKS)
+        least = few.groupBy("a").agg(F.min("b").alias("m"))
+        small = few.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        edges = scratch.keep(small.filter("a <> b").distinct(), "edges")
         scratch.drop(large)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
 
 
 def _filter_bytes(nodes: DataFrame) -> bytes:
@@ -303,7 +303,8 @@ def _filter_bytes(nodes: DataFrame) -> bytes:
     # Spark's bitmaps are of 32,768 bits each.
     parts = nodes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
     area = bytearray((1 << FILTER_BITS) // 8)
-    for row in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).toLocalIterator():
+    # 8 MB at most, in one job; an iterator would run one for each partition.
+    for row in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect():
         begin = (row["bucket"] - 1) * 4096
         area[begin : begin + 4096] = row["bits"]
     return bytes(area)
@@ -379,10 +380,14 @@ def near_groups(docs: DataFrame, k: int = 5, least: int = 80, of: int = 100, key
     near = _near(least / of)
 
     def confirmed(pairs: DataFrame, step: str) -> DataFrame:
+        pairs = scratch.keep(pairs.select("a", "b"), f"{step}-pairs")
+        many = pairs.count()
         a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
         b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-        full = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b")
-        return scratch.keep(full.mapInArrow(_confirm(least, of), "a binary, b binary"), step)
+        full = pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b")
+        found = scratch.keep(sized(full, many, _PAIRS).mapInArrow(_confirm(least, of), "a binary, b binary"), step)
+        scratch.drop(pairs)
+        return found
 
     def similar(pairs: DataFrame, step: str) -> DataFrame:
         a = signed.select(F.col("node").alias("a"), F.col("bits").alias("bits_a"))

@@ -116,3 +116,40 @@ def test_components_of_random_graphs(spark):
         root[y] = x
     found = {bytes(r["node"]): bytes(r["root"]) for r in got}
     assert all(found.get(n, n) == find(n) for n in nodes)
+
+
+def ran(spark, work):
+    """Result, jobs and tasks of some work, with many partitions that nothing merges."""
+    many = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    context, group = spark.sparkContext, f"ran-{random.random()}"
+    for k, v in many.items():
+        spark.conf.set(k, v)
+    context.setJobGroup(group, "test")
+    try:
+        found = work()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    told = context.statusTracker()
+    jobs = told.getJobIdsForGroup(group)
+    stages = [told.getStageInfo(s) for s in {s for j in jobs for s in told.getJobInfo(j).stageIds}]
+    return found, len(jobs), sum(s.numCompletedTasks for s in stages if s)
+
+
+def test_few_links_take_few_tasks(spark):
+    links = [(bytes([i]), bytes([i + 1])) for i in range(0, 120, 2)] + [(bytes([200 + i]), bytes([201 + i])) for i in range(20)]
+    links = spark.createDataFrame(links, "a binary, b binary")
+    got, _, tasks = ran(spark, lambda: nd.components(links, nd.Scratch(spark, "test")).collect())
+    root = {r["node"][0]: r["root"][0] for r in got}
+    assert root == {i + 1: i for i in range(0, 120, 2)} | {201 + i: 200 for i in range(20)}
+    assert tasks < 4 * 64
+
+
+def test_the_bitmap_takes_one_job(spark):
+    nodes = spark.range(300).selectExpr("unhex(sha1(cast(id AS string))) AS node")
+    area, jobs, _ = ran(spark, lambda: nd._filter_bytes(nodes))
+    want = {int.from_bytes(r["node"][:8]) >> (64 - nd.FILTER_BITS) for r in nodes.collect()}
+    assert {8 * i + b for i, byte in enumerate(area) if byte for b in range(8) if byte >> b & 1} == want
+    assert jobs <= 2
