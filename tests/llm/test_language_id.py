@@ -215,3 +215,57 @@ def test_machines_look_at_few_rows_and_take_the_same_steps(monkeypatch):
     assert np.allclose(li._machines(x, sides), w, atol=1e-4)
     assert sum(seen) < 0.7 * li._ROUNDS * len(x)
     assert li._machines(x[:0], [s[:0] for s in sides]).shape == (3, 91)
+
+
+def _words(rng, letters, n):
+    return " ".join("".join(rng.choice(list(letters), 4)) for _ in range(n))
+
+
+def test_the_pipeline_learns_from_every_labelled_row(spark):
+    # Two languages come only in rows that op7 holds out, or that have no id.
+    rng = np.random.default_rng(6)
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 3 == 1][:10]
+    rare = [(i, _words(rng, "αβγδε", 30), "el", "a", 1) for i in held]
+    rare += [(None, _words(rng, "джзик", 30), "ru", "a", 1) for _ in range(10)]
+    docs = _lettered(spark, 400, rare=0).unionByName(spark.createDataFrame(rare, DOCUMENTS))
+    assert sorted(map(str, li.keep_identified(docs).collect())) == sorted(map(str, docs.collect()))
+    # op7 never reads them.
+    assert {r["lang_pred"] for r in li.language_report(docs).collect()} == {"de", "nl"}
+
+
+def test_a_short_row_sets_no_bound_for_long_texts(spark):
+    rng = np.random.default_rng(7)
+    # Letters that stand for every language say nothing.
+    short = [(1000 + i, t, lang, "a", 1) for i, (t, lang) in enumerate((t, lang) for t in ("x", "y.", "z") for lang in ("de", "nl", "fr"))]
+    strange = [(2000 + i, _words(rng, letters, n), None, "odd", 1) for i, (letters, n) in enumerate([("джзиклмн", 80), ("日月火水木金土", 60), ("mnop", 80)])]
+    docs = _lettered(spark, 400).unionByName(spark.createDataFrame(short, DOCUMENTS))
+    kept = li.keep_identified(docs.unionByName(spark.createDataFrame(strange, DOCUMENTS))).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, docs.collect()))
+
+
+def test_what_no_language_has_learned_is_rejected_from_a_larger_table(spark):
+    # The weakest of 10,000 rows, 'A.', is weaker than any long text of no language.
+    docs = spark.read.parquet(f"{SF_DIR.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    strange = [
+        "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί και φεύγει μακριά μέσα στο δάσος " * 2,
+        "敏捷的棕色狐狸跳过懒狗然后跑进森林而小鸟在树上唱着春天里最后一首歌给远方的朋友听",
+        "Быстрая коричневая лиса прыгает через ленивую собаку и убегает далеко в лес",
+    ]
+    more = spark.createDataFrame([(10**6 + i, t, None, "odd", len(t)) for i, t in enumerate(strange)], DOCUMENTS)
+    kept = {r["doc_id"] for r in li.keep_identified(docs.unionByName(more)).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.collect() if li.has_letter(r["text"])}
+
+
+def test_the_weakest_row_by_size():
+    least = li._least_by_size({2: (20, 0.1), 5: (40, 0.3), 7: (60, 0.7), 9: (10, 0.8)})
+    assert least.tolist() == [0.1] * 7 + [0.7] * 2 + [0.7] * 5
+    assert li._least_by_size({3: (49, 0.4), 8: (1, -0.2)}).tolist() == [-0.2] * 14
+    bound = li._slack(least, np.array([3.0, np.inf]))
+    assert np.allclose(bound[0], 1.5 * least) and not bound[1].any()
+    margins = np.array([[0.2, np.nan], [0.2, np.nan], [np.nan, np.nan]])
+    assert li.speaks(margins, bound, np.array([6, 7, 7])).tolist() == [True, False, True]
+
+
+def test_a_language_may_be_called_und(spark):
+    docs = _lettered(spark, 300).withColumn("lang", li.F.when(li.F.col("lang") == "fr", "und").otherwise(li.F.col("lang")))
+    assert li.keep_identified(docs).count() == docs.count()
