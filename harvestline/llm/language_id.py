@@ -59,6 +59,7 @@ _ROUNDS, _RATE, _DECAY = 150, 0.5, 1e-4
 _NEAR = 0.1  # of the rows are near their margins, or as many as miss them
 _ROUNDING = 1e-3  # of margins, at most
 _PIECE = 1 << 20  # bytes counted at a time
+_ALIKE = 64  # rows are judged together
 UNKNOWN = "und"
 SLACK = 0.5  # of the weakest training row's margins
 CLEAN_ROWS = 50
@@ -125,6 +126,15 @@ def _margins(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return x @ weights[..., :-1].T + _BIAS * weights[..., -1]
 
 
+def _margins_alike(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``_margins``, the same to the last digit whichever rows stand beside a row: each product is of as many rows."""
+    rest = -len(x) % _ALIKE
+    parts = [x[at : at + _ALIKE] for at in range(0, len(x), _ALIKE)]
+    if rest:
+        parts[-1] = np.pad(parts[-1], ((0, rest), (0, 0)))
+    return np.concatenate([_margins(part, weights) for part in parts] or [_margins(x, weights)])[: len(x)]
+
+
 def _machines(x: np.ndarray, sides: list[np.ndarray]) -> np.ndarray:
     """Linear support vector machines (squared hinge), by gradient steps with momentum; classes weigh the same.
 
@@ -194,7 +204,7 @@ def _squash(margin: np.ndarray) -> np.ndarray:
 def _judge(model: Model, x: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and the two margins (family, mean of the pairs; NaN if there are none) of each row of features."""
     found = np.full((len(x), 2), np.nan)
-    margins = _margins(x, model.family_weights)
+    margins = _margins_alike(x, model.family_weights)
     family = margins.argmax(axis=1)
     score = np.ones(len(x))
     if len(model.families) > 1:
@@ -208,7 +218,7 @@ def _judge(model: Model, x: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarr
             continue
         votes, sums, lead = (np.zeros((len(rows), len(langs))) for _ in range(3))
         for (i, j), w in model.pairs[f].items():
-            margin = _margins(x, w)[rows]
+            margin = _margins_alike(x, w[None])[rows, 0]
             won = _squash(margin)
             votes[:, i] += margin > 0
             votes[:, j] += margin <= 0
